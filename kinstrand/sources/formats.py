@@ -24,7 +24,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """id, descr, seq_raw, qual of each four-line record. Line numbers need the file whole, so each file is one task; split files beforehand for more."""
-    lines = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    lines = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     rows = lines.select("file", F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("x"))
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 4).cast("int") - 1), lambda i: F.struct(F.get("x", i * 4).alias("h"), F.get("x", i * 4 + 1).alias("s"), F.get("x", i * 4 + 3).alias("q"))))
     each = rows.where(F.size("x") >= 4).select("file", at.alias("n", "r"))
