@@ -23,7 +23,11 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -37,54 +41,77 @@ from kinstrand.llm.common import cut
 CAPACITY = 2048
 END_ID = 0
 #: Chunks whose ids a worker keeps; a full cache is emptied.
-CACHE = 400_000
+CACHE = 800_000
 #: Buckets that a length's pieces are ranked in, each on its own.
 BUCKETS = 64
 
 
+#: Characters whose lower case, normal form and class are sure: printable ASCII and the Latin-1 letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
+_MADE_OF = {"NFC", "Lowercase", "Split", "ByteLevel"}
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones as they are, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
+
+
 class Chunked:
     """Ids of whole texts through a cache of white-space-separated chunks."""
 
     def __init__(self, path: str) -> None:
+        # tasks are the parallelism; threads of the library's own would only contend
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Plain chunks of a tokenizer of the known make are split here, so that its words are cached and not its chunks only.
+        self.split = _SPLIT.findall if _MADE_OF <= set(re.findall(r'"type":\s*"(\w+)"', self.tokenizer.to_str()[:20_000])) and '\\\\p{N}]|' in self.tokenizer.to_str()[:20_000] else None
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 20, np.uint32)
-        self.at = np.zeros(1 << 18, np.int64)
+        self.known: dict[bytes, bytes] = {}  # chunk to its ids, little-endian 32 bits
+        self.parts: dict[str, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        fresh = sorted(chunks)
-        for a in range(0, len(fresh), 1000):
-            part = fresh[a : a + 1000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                n, ids = len(self.number), found.ids
-                end = self.at[n] + len(ids)
-                if end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-                if n + 1 >= len(self.at):
-                    self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-                self.ids[self.at[n] : end] = ids
-                self.at[n + 1] = end
-                self.number[chunk] = n
+        slow, known, parts, plain, split, bpe = [], self.known, self.parts, _PLAIN.fullmatch, self.split, self.tokenizer.model.tokenize
+        for chunk in chunks:
+            text = chunk.decode()
+            if split is None or not plain(text) or "<|" in text:
+                slow.append((chunk, text))
+                continue
+            out = []
+            for part in split(text.lower()):
+                ids = parts.get(part)
+                if ids is None:
+                    shown = part if part.isascii() else "".join([_BYTES[b] for b in part.encode()])
+                    ids = parts[part] = _packed([t.id for t in bpe(shown)])
+                out.append(ids)
+            known[chunk] = out[0] if len(out) == 1 else b"".join(out)
+        for a in range(0, len(slow), 1000):
+            some = slow[a : a + 1000]
+            for (chunk, _), found in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                known[chunk] = _packed(found.ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
-        unknown = set(words).difference(self.number)
+        unknown = set(words).difference(self.known)
         if unknown:
-            if len(self.number) + len(unknown) > CACHE:
+            if len(self.known) + len(unknown) > CACHE:
                 self.clear()
                 unknown = set(words)
             self.learn(unknown)
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        starts, counts = self.at[which], self.at[which + 1] - self.at[which]
-        total = int(counts.sum())
-        # for each id its place in the cache: runs of consecutive places
-        places = np.arange(total) + np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]] if len(which) else starts, counts)
-        return self.ids[places]
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
 
 
 _CODERS: dict[str, Chunked] = {}
