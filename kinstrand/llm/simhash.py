@@ -24,7 +24,6 @@ ids keep a row each. Other columns are ignored. An empty table gives an empty re
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +38,10 @@ from kinstrand.llm.components import components
 SEED = 42
 #: A slot with more entries than this is cut by its remaining bits before pairs are looked at.
 DENSE = 2048
+#: Segments of a fingerprint. Three of 21 or 22 bits have balls of one bit at distance 4: 3 entries and about 32 look-ups
+#: a fingerprint, whatever the table's size. From some 10**9 distinct fingerprints on, two segments of 32 bits
+#: (balls of two bits) meet fewer entries by chance than they cost in look-ups.
+SEGMENTS = 3
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -76,16 +79,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(id_key().alias("d"), "text").mapInArrow(run, "d long, fp long")
 
 
-def segments_for(entries: int, distance: int) -> int:
-    """The number of segments with the least expected work: look-ups, and entries met in them."""
-
-    def work(m: int) -> float:
-        balls = m * sum(math.comb(64 // m, r) for r in range(distance // m + 1))
-        return balls * (1 + entries / 2.0 ** (64 // m))
-
-    return min((m for m in range(1, distance + 2) if distance // m <= 2), key=work)
-
-
 def bounds(segments: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment."""
     edges = [64 * i // segments for i in range(segments + 1)]
@@ -217,14 +210,15 @@ def _batch(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def links(fps: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, segments: int = SEGMENTS) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fp`` that span the components of all links."""
-    segments = segments or segments_for(fps.count(), distance)
+    if distance // segments > 2:
+        raise ValueError("balls beyond two bits are too large: take more segments")
     slots = fps.mapInArrow(_entries(segments, distance), "segment int, slot long, ask boolean, fp long")
     return slots.repartition("segment", "slot").sortWithinPartitions("segment", "slot").mapInArrow(_links(distance), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach, the row's own included.
