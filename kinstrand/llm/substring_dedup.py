@@ -266,7 +266,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     needs = met.groupBy("d").agg(F.collect_set("h").alias("anchors"))
 
     copied = rows.join(copies, "d", "left").withColumn("first", F.try_element_at("firsts", F.col("t"))).drop("firsts")
-    candidates = copied.join(needs, "d", "left").select("d", "t", "text", "anchors", F.col("first").isNotNull().alias("copy"))
+    # Both joins ask for the same columns of ``copied``, so its texts are dealt once and the exchange is used again.
+    candidates = copied.join(needs, "d", "left").select("doc_id", "d", "t", "text", "anchors", F.col("first").isNotNull().alias("copy"))
     looked = candidates.mapInArrow(_look_up, _ROWS)
     hits = looked.repartition("w1", "w2").sortWithinPartitions("kind", "w1", "w2", "d", "p").mapInArrow(_sources, _HITS)
     hits = hits.groupBy("d").agg(F.collect_list(F.struct("p", "s", "q")).alias("hits"))
