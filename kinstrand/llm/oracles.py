@@ -63,7 +63,7 @@ FROM j GROUP BY doc_id
 def _op10() -> str:
     tokens = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = " UNION ALL ".join(
-        f"SELECT doc_id, s - 1 AS at, '{label}' AS label, 1.0 AS score FROM p WHERE " + " AND ".join(f"w[s + {i}] = '{x}'" for i, x in enumerate(phrase.split())) for phrase, label in PHRASES.items()
+        f"SELECT doc_id, s - 1 AS place, '{label}' AS label, 1.0 AS score FROM p WHERE " + " AND ".join(f"w[s + {i}] = '{x}'" for i, x in enumerate(phrase.split())) for phrase, label in PHRASES.items()
     )
     rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in sorted(set(t.split())))}])" for t, label in TEMPLATES.items())
     return f"""
@@ -73,11 +73,11 @@ base AS ({phrases}),
 b AS (SELECT doc_id, {tokens.format("x")} AS tokens FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
 t AS (SELECT * FROM (VALUES {rows}) AS v(label, need)),
 near AS (
-  SELECT doc_id, NULL::BIGINT AS at, label, len(list_intersect(need, tokens)) / len(need) AS score FROM b, t
+  SELECT doc_id, NULL::BIGINT AS place, label, len(list_intersect(need, tokens)) / len(need) AS score FROM b, t
   WHERE list_has_any(tokens, need) AND len(list_intersect(need, tokens)) >= ceil({CONTAINMENT} * len(need) - 1e-9)),
 a AS (SELECT * FROM base UNION ALL SELECT * FROM near),
 g AS (
-  SELECT doc_id, count(at) AS n, min(at) AS f, max(at) AS l, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (at IS NOT NULL) AS base_labels,
+  SELECT doc_id, count(place) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place IS NOT NULL) AS base_labels,
     string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
   FROM a GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
