@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, about.
-BLOCK_ROWS = 10_000
+BLOCK_ROWS = 50_000
 PROJECTIONS = 48
 THRESHOLD = 0.5
 _FOUND = "query_id long, vec_id long, score double"
@@ -48,53 +48,48 @@ class Block:
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
         self.least = max(1, math.ceil(threshold * projections))
-        # a line's value differs by about the distance times a normal number; half of them by 0.67 of it
-        self.reach = 0.6745
-        self.step = 2.0**0.25
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the ``k`` nearest found."""
         n = len(self.ids)
-        centre = query @ self.lines
-        low = np.array([np.searchsorted(s, c, "left") for s, c in zip(self.sorted, centre, strict=True)])
-        high = low.copy()
-        hits = np.zeros(n, np.int16)
-        distance = np.full(n, np.inf)
         open_ = self.ids != query_id
         k = min(k, int(open_.sum()))
         if not k:
-            return self.ids[:0], distance[:0]
-        # the first radius: windows that hold a few entries on the typical line
-        near = np.minimum(low + 8, n - 1)
-        radius = max(float(np.median(np.abs(self.sorted[np.arange(len(low)), near] - centre))), 1e-12)
+            return self.ids[:0], np.empty(0)
+        centre = query @ self.lines
+        # radii from where a typical line's window holds a hundredth of the block to where all hold everything
+        middle = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
+        near = np.clip(middle + max(4, n // 200), 0, n - 1)
+        first = max(float(np.median(np.abs(self.sorted[np.arange(len(centre)), near] - centre))), 1e-9) / REACH
+        last = max(float(np.abs(self.sorted[:, [0, -1]] - centre[:, None]).max()) / REACH, first)
+        radii = first * STEP ** np.arange(math.ceil(math.log(last / first, STEP)) + 2)
+        low = np.array([np.searchsorted(s, c - REACH * radii, "left") for s, c in zip(self.sorted, centre, strict=True)])
+        high = np.array([np.searchsorted(s, c + REACH * radii, "right") for s, c in zip(self.sorted, centre, strict=True)])
+        hits = np.zeros(n, np.int64)
+        distance = np.full(n, np.inf)
         verified = 0
-        while True:
-            width = radius * self.reach
-            for j, s in enumerate(self.sorted):
-                a, b = np.searchsorted(s[: low[j]], centre[j] - width, "left"), high[j] + np.searchsorted(s[high[j] :], centre[j] + width, "right")
-                if a < low[j]:
-                    hits[self.order[j, a : low[j]]] += 1
-                if b > high[j]:
-                    hits[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = a, b
+        for t, radius in enumerate(radii):
+            if t:
+                enter = [x for o, a, b, c, d in zip(self.order, low[:, t], low[:, t - 1], high[:, t - 1], high[:, t], strict=True) for x in (o[a:b], o[c:d])]
+            else:
+                enter = [o[a:b] for o, a, b in zip(self.order, low[:, 0], high[:, 0], strict=True)]
+            hits += np.bincount(np.concatenate(enter), minlength=n)
             fresh = np.flatnonzero(open_ & (hits >= self.least))
             if len(fresh):
                 distance[fresh] = np.sqrt(((self.vectors[fresh] - query) ** 2).sum(axis=1))
                 open_[fresh] = False
                 verified += len(fresh)
-            everything = (high - low).min() == n
-            if everything and open_.any():
-                rest = np.flatnonzero(open_)
-                distance[rest] = np.sqrt(((self.vectors[rest] - query) ** 2).sum(axis=1))
-                open_[rest] = False
-            if everything or verified >= k and np.partition(distance, k - 1)[k - 1] <= radius / SAFETY:
+            if verified >= k and np.partition(distance, k - 1)[k - 1] <= radius / SAFETY:
                 break
-            radius *= self.step
         best = np.flatnonzero(np.isfinite(distance))
         best = best[np.lexsort((self.ids[best], distance[best]))][:k]
         return self.ids[best], distance[best]
 
 
+#: A line's value differs by the distance times a normal number; half of such numbers are below this.
+REACH = 0.6745
+#: Windows of a step are this much wider than before.
+STEP = 2.0**0.5
 #: The windows stand for this many times the distance of the k-th neighbour before a search ends.
 SAFETY = 1.25
 
