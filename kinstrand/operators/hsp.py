@@ -31,8 +31,8 @@ def top_strand(hits: DataFrame) -> DataFrame:
 
 
 def last_round(hits: DataFrame) -> DataFrame:
-    """Hits of the last search round: a round begins where the score goes up again within a query's list in ``hsp_no`` order."""
-    w = Window.partitionBy("qid").orderBy("hsp_no")
+    """Hits of the last search round: a round begins where the score goes up again within a query's list in the order of ``hsp_no``, then ``sid``."""
+    w = Window.partitionBy("qid").orderBy("hsp_no", "sid")
     up = F.when(F.col("score") > F.lag("score").over(w), 1).otherwise(0)
     rounds = hits.withColumn("__u", up).withColumn("__r", F.sum("__u").over(w)).withColumn("__m", F.max("__r").over(Window.partitionBy("qid")))
     return rounds.where("__r = __m").drop("__u", "__r", "__m")

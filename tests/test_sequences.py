@@ -268,3 +268,11 @@ def test_stream_of_duplicates_and_clusters(spark, families, tmp_path):
     assert all(truth[r.seq_idx] == truth[r.rep_idx] for r in members.collect())
     assert np.isclose(members.where("is_rep").count(), 6, atol=6)
     assert members.select(F.countDistinct("seq_idx")).first()[0] == 24
+
+
+def test_last_round_over_several_subjects(spark):
+    rows = [(1, 2, 1, 90.0), (1, 1, 1, 80.0), (1, 3, 1, 70.0), (1, 1, 2, 60.0), (2, 9, 1, 10.0), (2, 5, 1, 20.0)]
+    wanted = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (2, 5, 1), (2, 9, 1)]
+    for order in (rows, rows[::-1]):  # rounds don't depend on the order of the table
+        hits = spark.createDataFrame(order, "qid long, sid long, hsp_no long, score double").coalesce(1)
+        assert sorted((r.qid, r.sid, r.hsp_no) for r in hsp.last_round(hits).collect()) == wanted
