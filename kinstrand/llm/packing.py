@@ -7,13 +7,16 @@ driver works in multiplicities:
 
 1. *Reduction.* For each length, longest first: if a set of at most three pieces with it dominates
    every alternative, as many sequences as the counts allow are fixed for good. The cases are: nothing else fits;
-   a piece that fills the sequence exactly; the longest that fits, where no two fit or no two
-   come to more than it; the longest pair, where no three fit and the pair covers every other pair.
-2. *Best fit.* The remainder goes longest first to the fullest open sequence that takes it.
+   a piece that fills the sequence exactly; the longest that fits, where no number of the others
+   that fit come to more than it; the longest pair, where no three fit and the pair covers every other pair.
+2. *Best fit.* The remainder goes longest first to the fullest open sequence that takes it. Where this needs more
+   sequences than the sum of all lengths does, the remainder is also packed sequence by sequence, each with the
+   longest piece left and the company that fills it best, and the better of both counts.
 
 The plan is a list of ranges (length, first rank, last rank) -> sequences, offset.
-Pieces get their rank within their length from counts by (length, bucket), so a length that a third
-of all pieces have is ranked by many tasks, and one join with the plan places each.
+Pieces get their rank within their length from counts by (length, bucket); a length has as many buckets as
+its pieces ask for, so one that a third of all pieces have is ranked by many tasks. Each bucket gets
+the few ranges of the plan that its ranks meet, and one join on (length, bucket) places each piece.
 
 Texts are tokenised by white-space-separated chunks with a bounded cache of chunk to
 ids; the tokenizer never merges across white space, which the tests check.
@@ -42,8 +45,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Chunks whose ids a worker keeps; a full cache is emptied.
 CACHE = 800_000
-#: Buckets that a length's pieces are ranked in, each on its own.
-BUCKETS = 64
+#: Pieces of a length that are ranked together, about.
+BUCKET_ROWS = 4096
 
 
 #: Characters whose lower case, normal form and class are sure: printable ASCII and the Latin-1 letters.
@@ -142,6 +145,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+def _fullest(sizes: list[int], count: dict[int, int], room: int) -> int:
+    """The most that pieces of ``sizes``, each as often as there are, come to within ``room``."""
+    reach, inside = 1, (1 << room + 1) - 1  # bit i: i can be made
+    for s in sizes:
+        left, step = min(count[s], room // s), 1
+        while left:
+            take = min(step, left)
+            reach |= reach << take * s & inside
+            left, step = left - take, 2 * step
+    return reach.bit_length() - 1
+
+
 def _dominant(sizes: list[int], count: dict[int, int], j: int, capacity: int) -> tuple[int, ...] | None:
     """The pieces that dominate every other company of j, the longest left; None: no such set is found.
 
@@ -170,9 +185,10 @@ def _dominant(sizes: list[int], count: dict[int, int], j: int, capacity: int) ->
         if (a < b or count[sizes[a]] > 1) and total > top:
             top, pair = total, (sizes[b], sizes[a])
         a += 1
-    if top <= best:
+    pairs_only = len(small) < 3 or sum(small) > room
+    if top <= best and (pairs_only or _fullest(sizes[:fits], count, room) <= best):
         return (best,)
-    if len(small) < 3 or sum(small) > room:
+    if pairs_only:
         # no three fit: a pair covers all others if it has the longest piece that fits and, beside it, a second piece as long as any second piece
         second = bisect_right(sizes, room - best)
         while second and sizes[second - 1] == best and count[best] < 2:
@@ -187,46 +203,81 @@ def _dominant(sizes: list[int], count: dict[int, int], j: int, capacity: int) ->
     return None
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int]], dict[str, int]]:
-    """Ranges (length, first rank, first sequence, offset), each up to the next one's first rank, and what was done.
-
-    The n-th piece of a range goes to the n-th of its sequences. Ranges are as many as
-    the steps taken: each step uses up a length or a group of equal sequences.
-    """
-    left = {s: n for s, n in histogram.items() if n > 0}
-    sizes = sorted(left)
-    used = dict.fromkeys(left, 0)
-    out: list[tuple[int, int, int, int]] = []
-    stats = {"sequences": 0, "fixed": 0, "ranges": 0}
-
-    def take(size: int, n: int, sequence: int, offset: int) -> None:
-        out.append((size, used[size], sequence, offset))
-        used[size] += n
-        left[size] -= n
-        if not left[size]:
-            del left[size]
-            sizes.pop(bisect_left(sizes, size))
-
-    # reduction: longest first; a length with no dominating set is left to best fit
-    for j in sizes[::-1]:
-        while j in left:
-            left[j] -= 1
-            view = sizes if left[j] else [s for s in sizes if s != j]
-            company = _dominant(view, left, j, capacity)
-            left[j] += 1
+def _fullest_set(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
+    """Pieces of ``sizes`` that come to as much within ``room`` as any do, long ones first."""
+    reach, inside, steps = 1, (1 << room + 1) - 1, []
+    for s in sizes:
+        left, step = min(count[s], room // s), 1
+        while left:
+            take = min(step, left)
+            steps.append((s, take, reach))
+            reach |= reach << take * s & inside
+            left, step = left - take, 2 * step
+    at, out = reach.bit_length() - 1, []
+    for s, take, before in reversed(steps):
+        if not before >> at & 1:
+            out += [s] * take
+            at -= take * s
+    return out
+
+
+class _Work:
+    """What is left of a histogram, and the ranges made so far."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.left = {s: n for s, n in histogram.items() if n > 0}
+        self.sizes = sorted(self.left)
+        self.used = dict.fromkeys(self.left, 0)
+        self.ranges: list[tuple[int, int, int, int]] = []
+        self.sequences = 0
+
+    def copy(self) -> _Work:
+        other = _Work(self.left)
+        other.used, other.ranges, other.sequences = dict(self.used), list(self.ranges), self.sequences
+        return other
+
+    def take(self, size: int, n: int, sequence: int, offset: int) -> None:
+        self.ranges.append((size, self.used[size], sequence, offset))
+        self.used[size] += n
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.left[size]
+            self.sizes.pop(bisect_left(self.sizes, size))
+
+    def group(self, pieces: tuple[int, ...] | list[int]) -> int:
+        """As many sequences of these pieces as there are pieces for."""
+        times = min(self.left[s] // pieces.count(s) for s in set(pieces))
+        offset = 0
+        for s in pieces:
+            self.take(s, times, self.sequences, offset)
+            offset += s
+        self.sequences += times
+        return times
+
+    def beside(self, j: int) -> list[int]:
+        """The lengths that are left beside one j."""
+        return self.sizes if self.left[j] > 1 else [s for s in self.sizes if s != j]
+
+
+def _reduce(work: _Work, capacity: int) -> int:
+    """Fixes dominating sets, longest piece first; a length without one is left. How many pieces were fixed."""
+    fixed = 0
+    for j in work.sizes[::-1]:
+        while j in work.left:
+            view = work.beside(j)
+            work.left[j] -= 1
+            company = _dominant(view, work.left, j, capacity)
+            work.left[j] += 1
             if company is None:
                 break
-            group = (j, *company)
-            times = min(left[s] // group.count(s) for s in set(group))
-            offset = 0
-            for s in group:
-                take(s, times, stats["sequences"], offset)
-                offset += s
-            stats["sequences"] += times
-            stats["fixed"] += times * len(group)
-    # best fit: open sequences by room; each entry is (first sequence, how many)
+            fixed += work.group((j, *company)) * (1 + len(company))
+    return fixed
+
+
+def _best_fit(work: _Work, capacity: int) -> None:
+    """Longest first, each piece to the fullest open sequence that takes it."""
     rooms: list[int] = []
-    opened: dict[int, list[tuple[int, int]]] = {}
+    opened: dict[int, list[tuple[int, int]]] = {}  # by room: (first sequence, how many)
 
     def leave(room: int, first: int, n: int) -> None:
         if room:
@@ -235,29 +286,56 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
                 insort(rooms, room)
             opened[room].append((first, n))
 
-    while sizes:
-        s = sizes[-1]
+    while work.sizes:
+        s = work.sizes[-1]
         k = bisect_left(rooms, s)
         if k == len(rooms):
-            per = min(capacity // s, left[s])
-            n = left[s] // per
+            per = min(capacity // s, work.left[s])
+            n = work.left[s] // per
             for i in range(per):
-                take(s, n, stats["sequences"], i * s)
-            leave(capacity - per * s, stats["sequences"], n)
-            stats["sequences"] += n
+                work.take(s, n, work.sequences, i * s)
+            leave(capacity - per * s, work.sequences, n)
+            work.sequences += n
         else:
             room = rooms[k]
             first, have = opened[room].pop()
-            n = min(have, left[s])
+            n = min(have, work.left[s])
             if n < have:
                 opened[room].append((first + n, have - n))
             if not opened[room]:
                 del opened[room]
                 rooms.pop(k)
-            take(s, n, first, capacity - room)
+            work.take(s, n, first, capacity - room)
             leave(room - s, first, n)
-    stats["ranges"] = len(out)
-    return out, stats
+
+
+def _fullest_first(work: _Work, capacity: int) -> None:
+    """Each sequence has the longest piece left and the company that fills it best. A step uses up a length."""
+    while work.sizes:
+        j = work.sizes[-1]
+        view = work.beside(j)
+        work.left[j] -= 1
+        company = _fullest_set(view, work.left, capacity - j)
+        work.left[j] += 1
+        work.group([j, *company])
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int]], dict[str, int]]:
+    """Ranges (length, first rank, first sequence, offset), each up to the next one's first rank, and what was done.
+
+    The n-th piece of a range goes to the n-th of its sequences. Ranges are as many as
+    the steps taken: each step uses up a length or a group of equal sequences.
+    """
+    work = _Work(histogram)
+    least = -(-sum(s * n for s, n in work.left.items()) // capacity)
+    fixed = _reduce(work, capacity)
+    done, other = work.copy(), work
+    _best_fit(done, capacity)
+    if done.sequences > least:  # perhaps one could do with fewer
+        _fullest_first(other, capacity)
+        if other.sequences < done.sequences:
+            done = other
+    return done.ranges, {"sequences": done.sequences, "fixed": fixed, "ranges": len(done.ranges)}
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -268,23 +346,27 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     # Equal pieces are interchangeable: all columns but binary ones decide the bucket, and the order within it.
     order = [c for c, kind in parts.dtypes if kind != "binary"]
-    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
+    # at most ``capacity`` rows, here and in the broadcast
+    histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in histogram.items()], "length long, buckets long")
+    keyed = parts.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets"))).drop("buckets")
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    # at most ``capacity`` rows
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    upto = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+
     full = histogram.pop(capacity, 0)
     ranges, stats = plan(histogram, capacity)
     if full:
         ranges.append((capacity, 0, stats["sequences"], 0))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
-    # At most capacity x BUCKETS rows of counts; a range of the plan starts where another ends.
-    ranked = keyed.withColumn("rank", rank).join(F.broadcast(offsets), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # Some ten ranges for each length, however many pieces. A range of the plan starts where another one ends.
     steps = spark.createDataFrame(ranges, "length long, low long, first long, offset long")
-    steps = steps.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "first", "offset"))).alias("steps"))
-    # at most ``capacity`` rows, and as many structs as the plan has steps
-    placed = ranked.join(F.broadcast(steps), "length").withColumn("step", F.element_at(F.filter("steps", lambda x: x.low <= F.col("rank")), -1))
+    steps = steps.withColumn("high", F.lead("low").over(Window.partitionBy("length").orderBy("low")))
+    met = spans.join(steps, "length").where((F.col("low") < F.col("upto")) & (F.col("high").isNull() | (F.col("high") > F.col("before"))))
+    met = met.groupBy("length", "bucket", "before").agg(F.array_sort(F.collect_list(F.struct("low", "first", "offset"))).alias("steps"))
+
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
+    ranked = keyed.withColumn("inside", rank).join(met, ["length", "bucket"]).withColumn("rank", F.col("inside") + F.col("before"))
+    placed = ranked.withColumn("step", F.element_at(F.filter("steps", lambda x: x.low <= F.col("rank")), -1))
     return placed.select(*parts.columns, (F.col("step.first") + F.col("rank") - F.col("step.low")).alias("sequence_id"), F.col("step.offset").alias("offset"))
 
 

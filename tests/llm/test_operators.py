@@ -165,6 +165,65 @@ def test_reduction_keeps_an_optimum(seed):
     assert _optimum(items, 20) <= stats["sequences"] <= _optimum(items, 20) + 1
 
 
+def _rest(histogram, ranges, fixed):
+    """Counts of lengths that are left after the first ``fixed`` pieces of a plan's ranges in the order in which they were made."""
+    left = dict(histogram)
+    for (size, low, _, _), high in zip(ranges, [None] * len(ranges), strict=True):
+        nxt = min((lo for s, lo, _, _ in ranges if s == size and lo > low), default=histogram[size])
+        n = min(nxt - low, fixed)
+        left[size] -= n
+        fixed -= n
+        if not fixed:
+            break
+    return left
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_fixed_sets_are_in_an_optimum(seed):
+    """What the reduction fixes, and the best packing of what is left, is a best packing of all."""
+    rng = random.Random(1000 + seed)
+    capacity = 20
+    items = sorted((rng.choice([1, 2, 3, 3, 4, 4, 5, 6, 7, 8, 10, 11, 13]) for _ in range(9)), reverse=True)
+    histogram = {s: items.count(s) for s in set(items)}
+    ranges, stats = packing.plan(histogram, capacity)
+    left = _rest(histogram, ranges, stats["fixed"])
+    sequences = len({first + k for size, low, first, _ in _until(ranges, stats["fixed"], histogram) for k in range(_)})
+    assert sequences + _optimum([s for s, n in sorted(left.items(), reverse=True) for _ in range(n)], capacity) == _optimum(items, capacity)
+
+
+def _until(ranges, fixed, histogram):
+    """(length, low, first sequence, how many) of the ranges that the first ``fixed`` pieces take."""
+    for size, low, first, _ in ranges:
+        if not fixed:
+            return
+        n = min(min((lo for s, lo, _, _ in ranges if s == size and lo > low), default=histogram[size]) - low, fixed)
+        fixed -= n
+        yield size, low, first, n
+
+
+@pytest.mark.parametrize(("histogram", "capacity", "least"), [({10: 1, 8: 1, 4: 3, 3: 3}, 20, 2), ({90: 1, 46: 2, 8: 1, 3: 3}, 100, 2)])
+def test_triples_are_no_smaller_than_they_are(histogram, capacity, least):
+    assert packing.plan(histogram, capacity)[1]["sequences"] == least
+
+
+def test_many_pieces_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
+    sizes = [2048] * 300 + [1024] * 200 + [600, 700, 748] * 50 + [30] * 5
+    parts = spark.createDataFrame([(i % 290, 0, 0, n, i % 3, b"x") for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    rows = packing.place(parts).collect()
+    assert sorted(r.length for r in rows) == sorted(sizes)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) == 300 + 100 + 51
+
+
 def test_chunks_tokenize_as_whole_texts():
     from tokenizers import Tokenizer
 
