@@ -9,10 +9,12 @@ are two exchanges of fixed-width rows; texts are dealt by document once.
    go back to their documents.
 2. *Look-up.* Windows over a repeated anchor meet by a 96-bit hash and learn the
    smallest (doc_id, start) that holds the same words: their source.
-3. *Parse.* Going left to right, a factor grows while the next window's source is
-   the next word of the same reference; where it isn't, the factor ends and the
-   window across the boundary is judged by its own source. A factor of 20 words or more
-   is a duplicate span.
+3. *Parse.* Going left to right, a factor starts at the first window with a source and grows
+   a word at a time while the reference goes on with the document's words, which the next window's
+   source tells. Where it doesn't, the factor ends, and the windows across its end are judged by
+   their own sources: the first that has one starts the next factor, which may overlap the last
+   one. A factor has a window's words at least and is a duplicate span; the words of all spans,
+   and no others, are removed.
 
 Whatever one task sees twice is settled there, and only one row for each hash
 and batch is sent: a passage that a third of all documents share
@@ -214,40 +216,48 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((start, row))
         row, start, s, at, length = (x[order] for x in (row, start, s, at, length))
         edge = np.searchsorted(row, np.arange(len(texts) + 1))
-        kept, totals, removed, factors = [], [], [], []
+        kept, totals, removed, found = [], [], [], []
         for i, text in enumerate(batch.column("text")):
             words = (text.as_py() or "").encode().split()
             n, mine = len(words), slice(edge[i], edge[i + 1])
-            spans, gone = [], 0
+            factors = np.empty((0, 4), np.int64)
             if copy_of[i] is not None and n >= WINDOW:
-                spans, gone, words = [(0, n, copy_of[i], 0)], n, []
+                factors = np.array([[0, n, copy_of[i], 0]])  # the whole text is one factor
             elif edge[i] < edge[i + 1]:
-                spans, covered = _factors(start[mine], length[mine], s[mine], at[mine], n)
-                gone = int(covered.sum())
-                words = [words[k] for k in np.flatnonzero(~covered)]
+                factors = parse(start[mine], length[mine], s[mine], at[mine])
+            if len(factors):
+                stays = ~duplicate_words(factors, n)
+                words = [words[k] for k in np.flatnonzero(stays)]
             kept.append(b" ".join(words))
             totals.append(n)
-            removed.append(gone)
-            factors.append([{"start": a, "length": b, "ref_doc_id": c, "ref_start": e} for a, b, c, e in spans])
+            removed.append(n - len(words))
+            found.append([{"start": a, "length": b, "ref_doc_id": c, "ref_start": e} for a, b, c, e in factors.tolist()])
         kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "ref_doc_id", "ref_start")]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(factors, kind)],
+            [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, kind)],
             names=["doc_id", "n_words", "n_removed", "kept_text", "factors"],
         )
 
 
-def _factors(start: np.ndarray, length: np.ndarray, ref: np.ndarray, at: np.ndarray, n: int) -> tuple[list, np.ndarray]:
-    """The greedy parse of one document from its runs of sourced windows, and which words the factors cover."""
-    spans: list[list[int]] = []
-    edges = np.zeros(n + 1, np.int64)
-    for a, k, r, b in zip(start.tolist(), length.tolist(), ref.tolist(), at.tolist(), strict=True):
-        edges[a] += 1
-        edges[min(n, a + k - 1 + WINDOW)] -= 1
-        if spans and (last := spans[-1])[2] == r and a - last[0] == b - last[3] and a <= last[0] + last[1] - WINDOW + 1:
-            last[1] = max(last[1], a + k - 1 + WINDOW - last[0])
-        else:
-            spans.append([a, k - 1 + WINDOW, r, b])
-    return spans, np.cumsum(edges[:-1]) > 0
+def parse(start: np.ndarray, length: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The greedy factors (start, length, reference, start there) of one document.
+
+    ``start`` (ascending), ``length``, ``ref`` and ``at`` are its runs of windows with a source: the k-th window of a run
+    starts at start + k and its source at ``at`` + k of ``ref``. A run that goes on where the last one
+    ended, in the same reference, makes the factor grow; any other starts a factor of its own.
+    """
+    grows = (start[1:] == start[:-1] + length[:-1]) & (ref[1:] == ref[:-1]) & (at[1:] == at[:-1] + length[:-1])
+    first = np.flatnonzero(np.r_[True, ~grows])
+    last = np.r_[first[1:], len(start)] - 1
+    words = start[last] + length[last] - 1 + WINDOW - start[first]
+    return np.stack([start[first], words, ref[first], at[first]], axis=1)
+
+
+def duplicate_words(factors: np.ndarray, n: int) -> np.ndarray:
+    """Which of a document's ``n`` words are in a factor of a window's words or more."""
+    long_ = factors[factors[:, 1] >= WINDOW]
+    steps = np.bincount(long_[:, 0], minlength=n + 1) - np.bincount(long_[:, 0] + long_[:, 1], minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

@@ -59,9 +59,20 @@ def test_substring_dedup(docs, empty):
         for f in r.factors:  # a factor's words stand at its source
             if f.ref_doc_id in words and f.length >= 20:
                 assert words[r.doc_id][f.start : f.start + f.length] == words[f.ref_doc_id][f.ref_start : f.ref_start + f.length]
+    for r in found.collect():  # the factors, and nothing else, decide what goes
+        covered = {k for f in r.factors for k in range(f.start, f.start + f.length)}
+        assert len(covered) == r.n_removed and all(f.length >= 20 for f in r.factors)
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_greedy_factors():
+    """Factors of a document against one made of copied passages, by hand."""
+    runs = np.array([[0, 3, 7, 10], [3, 1, 7, 13], [4, 2, 9, 0], [40, 1, 9, 36]])
+    factors = substring_dedup.parse(*runs.T)
+    assert factors.tolist() == [[0, 23, 7, 10], [4, 21, 9, 0], [40, 20, 9, 36]]
+    assert np.flatnonzero(substring_dedup.duplicate_words(factors, 70)).tolist() == [*range(25), *range(40, 60)]
+
+
 def test_simhash(docs, empty):
     same(simhash.near_duplicates(docs).collect(), brute.simhash(texts()))
     assert simhash.near_duplicates(empty).count() == 0
