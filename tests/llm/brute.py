@@ -152,14 +152,14 @@ def license_labels(text, templates, containment=0.8):
 
 
 def nearest(vectors, every=100, k=10):
-    good = {i: np.array(v, float) for i, v in vectors if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    good = [(i, np.array(v, float)) for i, v in vectors if v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     out = {}
-    ids = np.array(sorted(good))
-    array = np.stack([good[i] for i in ids.tolist()])
-    for q in ids[ids % every == 0].tolist():
-        distance = np.sqrt(((array - good[q]) ** 2).sum(axis=1))
-        order = [i for i in np.lexsort((ids, distance)) if ids[i] != q][:k]
-        out[q] = [(int(ids[i]), float(distance[i])) for i in order]
+    ids = np.array([i for i, _ in good])
+    array = np.stack([v for _, v in good])
+    for row in np.flatnonzero(ids % every == 0).tolist():
+        distance = np.sqrt(((array - array[row]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, distance)) if i != row][:k]
+        out[int(ids[row])] = [(int(ids[i]), float(distance[i])) for i in order]
     return out
 
 

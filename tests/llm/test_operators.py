@@ -324,29 +324,52 @@ def test_isotonic_is_monotone():
     assert (np.diff(knots) >= 0).all() and (np.diff(levels) >= 0).all() and 0 <= levels.min() and levels.max() <= 1
 
 
+def _neighbours(table, **more):
+    found = {}
+    for r in ann.nearest(table, **more).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in found.items()}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 32))
     rows = [(i, [float(x) for x in centres[i % 8] + 0.4 * rng.normal(size=32)], 0) for i in range(1200)]
-    rows += [(2000 + i, rows[0][1], 0) for i in range(30)] + [(3000, None, 0), (3100, [0.0] * 32, 0), (3200, [float("nan")] * 32, 0), (3300, [1.0, None], 0), (3400, [float("inf")] * 32, 0), (0, rows[0][1], 0), (None, rows[1][1], 0)]
+    rows += [(2001 + i, rows[0][1], 0) for i in range(30)] + [(3000, None, 0), (3100, [0.0] * 32, 0), (3200, [float("nan")] * 32, 0), (3300, [1.0, None], 0), (3400, [float("inf")] * 32, 0), (None, rows[1][1], 0)]
+    rows += [(7, rows[0][1], 0), (7, rows[0][1], 0), (11, rows[3][1], 0)]  # ids of several rows
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
-    found = {}
-    for r in ann.nearest(table, block_rows=400).collect():
-        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    found = _neighbours(table, block_rows=400)
     wanted = brute.nearest(rows_of(rows))
     assert set(found) == set(wanted)
     hits = total = 0
     for q, best in wanted.items():
-        got = sorted(found[q])
+        got = found[q]
         assert [x[0] for x in got] == list(range(1, len(got) + 1)) and [x[2] for x in got] == sorted(x[2] for x in got)
         distances = [x[2] for x in got]
         hits += sum(any(abs(d - x) < 1e-12 for x in distances) for _, d in best)
         total += len(best)
     assert hits / total >= 0.9
-    assert [x[1] for x in sorted(found[0])][:10] == list(range(2000, 2010))
+    assert [x[1] for x in found[0]] == [7, 7, *range(2001, 2009)]
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_a_query_row_finds_others_of_its_id(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [1.0, 1.0]), (5, [2.0, 1.0, 0.0])]
+    got = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == sorted([(1, 100, 0.0), (2, 3, 1.0), (3, 100, 2**0.5)] * 2 + [(1, 3, 1.0), (2, 100, 2**0.5), (3, 100, 2**0.5)])
+
+
+@pytest.mark.parametrize("size", [1e-170, 1e-300, 1e160, 1e300])
+def test_distances_beyond_squares(spark, size):
+    rng = np.random.default_rng(4)
+    plain = rng.integers(-9, 10, size=(60, 8)) + 0.5
+    small = _neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(plain)], "vec_id long, embedding array<double>"), every=20)
+    large = _neighbours(spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(plain)], "vec_id long, embedding array<double>"), every=20)
+    for q, best in small.items():
+        assert len(large[q]) == 10
+        assert all(abs(y[2] / size - x[2]) < 1e-9 * x[2] for x, y in zip(best, large[q], strict=True))
+
+
 def rows_of(rows):
     return [(i, v) for i, v, _ in rows if i is not None and (v is None or len(v) == 32)]
 
