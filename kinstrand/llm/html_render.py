@@ -7,15 +7,20 @@ and tables have a blank line around them, list items get a bullet or their numbe
 indent, and table cells are padded to columns. No step recurses, so depth is no limit, and each
 character is looked at a bounded number of times.
 
+Cells are padded to the width of the widest one of their column, as long as all padding comes to no more than sixteen times the page and a
+megabyte (beyond it two blanks part the cells of a table, so no page grows without bound); cells that span rows or columns take the places
+that they cover, and what a browser shows of formulas and drawings (``math``, the text elements of ``svg``) is text as well.
+
 Null html gives null text; an empty page an empty text. Broken markup is rendered as far as a browser would:
 unknown end tags are ignored, an unfinished tag at the end is dropped, a lone ``<`` is text.
-Null ids, repeated rows and other columns are kept. An empty table gives an empty result.
+Null ids, repeated rows and other columns are kept; a column of the input that is called as the result gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,15 +29,17 @@ from pyspark.sql import DataFrame
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object canvas audio video svg math datalist area base col colgroup link meta param source track embed".split())
+SHOWN_RAW = frozenset("textarea xmp".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object canvas audio video datalist annotation annotation-xml area base col colgroup link meta param source track embed".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure fieldset hr menu".split())
 BLOCKS = SPACED | frozenset("html body address article aside details dialog dd div dt figcaption footer form header hgroup legend li main nav section summary tr caption optgroup option center search".split())
 CLOSES_P = SPACED | frozenset("address article aside details div footer form header hgroup main nav section dd dt li figcaption center dialog search summary".split())
+#: Of a drawing, what is shown as text; and what never is.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_HIDDEN = frozenset("title desc defs metadata symbol".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 
-#: Columns of a table are padded up to this width.
-WIDEST = 40
 #: Of a start tag: which open elements it closes, and what stops the search for them.
 IMPLIED_ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset({"li"}), frozenset("ul ol menu table td th body".split())),
@@ -126,8 +133,8 @@ def _events(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             body = page[at : end.start() if end else n]
-            if body and tag == "textarea":
-                yield "text", body, None
+            if body and tag in SHOWN_RAW:
+                yield "raw" if tag == "xmp" else "text", body, None
             yield "end", tag, None
             if not end:
                 return
@@ -169,7 +176,9 @@ def build(page: str) -> Node:
     nowhere: frozenset[str] = frozenset()
     cells = frozenset({"td", "th", "caption", "table"})
     for kind, value, attributes in _events(page):
-        if kind == "text":
+        if kind in ("text", "raw"):
+            if kind == "raw" and "&" in value:
+                value = value.replace("&", "&amp;")
             if head is not None and not value.isspace() and stack[-1] is head:
                 stack.pop()
                 head = None
@@ -299,40 +308,96 @@ class _Flow:
         return self.lines
 
 
-def _laid_out(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """A table's lines: cells as (lines, columns they span), padded to columns."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], min(WIDEST, max(map(len, lines), default=0)))
-            at += span
+class Cell:
+    """A table cell: its lines, and how many columns and rows it spans."""
+
+    __slots__ = ("columns", "lines", "rows")
+
+    def __init__(self, lines: list[str], columns: int = 1, rows: int = 1) -> None:
+        self.lines, self.columns, self.rows = lines, columns, rows
+
+
+#: A browser's greatest spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _places(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """Of each row, its cells with their first columns; columns that a cell of a row above reaches into are taken."""
+    taken: dict[int, int] = {}  # column -> rows for which it is taken yet
     out = []
     for row in rows:
-        for k in range(max(len(lines) for lines, _ in row)):
-            parts, at = [], 0
-            for lines, span in row:
-                width = sum(widths[at : at + span]) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            out.append("  ".join(parts).rstrip(" "))
+        at, placed = 0, []
+        fresh: dict[int, int] = {}
+        for cell in row:
+            while taken.get(at, 0):
+                at += 1
+            placed.append((at, cell))
+            for c in range(at, at + cell.columns):
+                if cell.rows > 1:
+                    fresh[c] = cell.rows - 1
+            at += cell.columns
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | fresh
+        out.append(placed)
     return out
 
 
+def _laid_out(rows: list[list[Cell]], room: int) -> tuple[list[str], int]:
+    """A table's lines, cells padded to columns. A cell that needs more than the columns it spans widens the last of them.
+
+    Also what is left of ``room``, the blanks that may be spent.
+    """
+    placed = _places(rows)
+    widths: dict[int, int] = {}
+    for row in placed:
+        for at, cell in row:
+            if cell.columns == 1:
+                widths[at] = max(widths.get(at, 0), max(map(len, cell.lines), default=0))
+    used = sorted({c for c, w in widths.items() if w} | {at for row in placed for at, cell in row if cell.lines})
+    for _, at, cell in sorted(((cell.columns, at, cell) for row in placed for at, cell in row if cell.columns > 1 and cell.lines), key=lambda x: x[:2]):
+        inside = used[bisect_left(used, at) : bisect_left(used, at + cell.columns)]
+        lack = max(map(len, cell.lines)) - sum(widths.get(c, 0) + 2 for c in inside) + 2
+        if lack > 0:
+            widths[inside[-1]] = widths.get(inside[-1], 0) + lack
+    starts, x = {}, 0
+    for c in used:
+        starts[c] = x
+        x += widths.get(c, 0) + 2
+    spent = sum(starts[row[-1][0]] * max(len(cell.lines) for _, cell in row) for row in ([x for x in row if x[1].lines] for row in placed) if row)
+    if spent > room:
+        starts, spent = dict.fromkeys(starts, 0), 0
+    out = []
+    for row in placed:
+        shown = [(starts[at], cell.lines) for at, cell in row if cell.lines]
+        for k in range(max((len(lines) for _, lines in shown), default=0)):
+            parts, x = [], 0
+            for start, lines in shown:
+                if k < len(lines):
+                    pad = max(start - x, 2 if parts else 0)
+                    parts.append(" " * pad + lines[k])
+                    x += pad + len(lines[k])
+            out.append("".join(parts).rstrip(" "))
+    return out, room - spent
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attributes.get(name, "1").strip()
+    return min(most, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
 def render(page: str) -> str:
     """The visible text of a page."""
     flows = [_Flow()]
     lists: list[list] = []  # [ordered, next number]
-    tables: list[list[list[tuple[list[str], int]]]] = []
-    pre = 0
+    tables: list[list[list[Cell]]] = []
+    pre, room = 0, 16 * len(page) + (1 << 20)
+    shown: list[bool] = []  # of open drawings and texts in them: whether characters there are shown
     todo: list[tuple[bool, Node | str]] = [(False, build(page))]
     while todo:
         leave, node = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if shown and not shown[-1]:
+                continue
             value = html_lib.unescape(node) if "&" in node else node
             if tables and len(flows) == len(tables) and not value.strip():
                 continue
@@ -353,8 +418,11 @@ def render(page: str) -> str:
             continue
         tag = node.tag
         if not leave:
-            if not visible(node):
+            if not visible(node) or shown and tag in SVG_HIDDEN:
                 continue
+            if tag == "svg" or shown and tag in SVG_TEXT:
+                flow.space = True  # parts of a drawing stand apart
+                shown.append(tag != "svg")
             if tag == "br":
                 flow.line_break()
                 continue
@@ -385,7 +453,7 @@ def render(page: str) -> str:
                 flow.marker = marker
             elif tag in ("dd", "blockquote"):
                 flow.prefix.append("  ")
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 pre += 1
                 if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                     node.children[0] = node.children[0][1:]
@@ -397,14 +465,16 @@ def render(page: str) -> str:
             todo += [(False, c) for c in reversed(node.children)]
             continue
         if tag in ("td", "th") and tables:
-            cell = flows.pop().done()
-            span = node.attributes.get("colspan", "1")
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((cell, min(50, max(1, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1))
+            tables[-1][-1].append(Cell(flows.pop().done(), _span(node, "colspan", MOST_COLUMNS), _span(node, "rowspan", MOST_ROWS)))
             continue
+        if shown and (tag == "svg" or tag in SVG_TEXT):
+            shown.pop()
+            flow.space = True
         if tag == "table":
-            flow.whole_lines(_laid_out(tables.pop()))
+            lines, room = _laid_out(tables.pop(), room)
+            flow.whole_lines(lines)
             flow.margin()
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
@@ -420,7 +490,7 @@ def render(page: str) -> str:
             flow.prefix.pop()
             if tag == "blockquote":
                 flow.margin()
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             pre -= 1
             flow.margin()
         elif tag in SPACED:

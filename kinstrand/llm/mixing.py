@@ -14,7 +14,7 @@ above is shared again by weight among the others. A target over the source's siz
 takes every document once and those below the threshold twice.
 
 Null text has size 0. A null doc_id has a place of its own; rows that share a doc_id are taken alike. Other
-columns are kept. An empty table gives an empty result.
+columns are kept, whatever their names, but for those of the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +30,14 @@ WEIGHTS = (5, 2, 1)
 BITS, LEVELS = 12, 3
 
 
+#: Columns that :func:`mix` adds; columns of these names in its input give way to them.
+RESULT = ("size", "source_size", "target", "times", "taken")
+
+
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` with ``size`` and ``place``, the hash's upper 36 bits."""
+    """``docs`` with ``__size`` and ``__place``, the hash's upper 36 bits."""
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_key()), 64 - BITS * LEVELS)
-    return docs.withColumns({"size": F.size(words(F.col("text"))).cast("long"), "place": place})
+    return docs.withColumns({"__size": F.size(words(F.col("text"))).cast("long"), "__place": place})
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -84,20 +88,29 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def taken(sized_docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """``sized_docs`` with source_size, target and ``taken``, the words that the mix takes of each document."""
-    limits = limits.withColumnRenamed("source", "__source")
+    """``sized_docs`` with the columns of ``RESULT``; taken: the words that the mix takes of each document."""
+    limits = limits.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "once", "below")))
     joined = sized_docs.join(limits, F.col("source").eqNullSafe(F.col("__source")))
-    times: Column = F.col("once") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
-    return joined.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop("__source", "once", "below", "place")
+    times: Column = F.col("__once") + F.when(F.col("__place") < F.col("__below"), 1).otherwise(0)
+    own = [F.col(f"`{c}`") for c in sized_docs.columns if c not in RESULT and c not in ("__size", "__place")]
+    return joined.withColumn("__times", times).select(
+        *own, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__times").alias("times"),
+        (F.col("__size") * F.col("__times")).alias("taken"),
+    )
+
+
+def _limits(small: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    sizes = small.select("source", F.col("__size").alias("size"), F.col("__place").alias("place"))
+    return thresholds(sizes, cut(targets(sizes, weights, share, most), "targets"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """``docs`` (doc_id, text, source) with size, source_size, target, times and taken."""
-    small = cut(sized(docs, seed).select("source", "size", "place"), "sizes")
-    return taken(sized(docs, seed), thresholds(small, cut(targets(small, weights, share, most), "targets")))
+    small = cut(sized(docs, seed).select("source", "__size", "__place"), "sizes")
+    return taken(sized(docs, seed), _limits(small, weights, share, most))
 
 
 def mix_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """As :func:`mix`, without texts and other columns: texts are read once."""
-    small = cut(sized(docs, seed).select("doc_id", "source", "size", "place"), "sizes")
-    return taken(small, thresholds(small, cut(targets(small, weights, share, most), "targets")))
+    small = cut(sized(docs, seed).select("doc_id", "source", "__size", "__place"), "sizes")
+    return taken(small, _limits(small, weights, share, most))

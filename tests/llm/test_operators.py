@@ -276,6 +276,12 @@ def test_mixing(spark, docs, empty):
     assert all(abs(r.target - wanted[r.source]) < 1e-6 * (1 + r.target) for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
     assert mixing.mix(empty).count() == 0 and mixing.mix_sizes(empty).count() == 0
+    names = ["once", "below", "place", "rank", "weight", "budget", "bucket"]
+    more = docs.withColumns({n: F.lit(n) for n in [*names, "size", "target", "times", "a.b"]})
+    clash = mixing.mix(more)
+    assert sorted(clash.columns) == sorted([*docs.columns, *names, "a.b", *mixing.RESULT])
+    assert all(r[n] == n for r in clash.collect() for n in [*names, "a.b"])
+    assert sorted(map(str, clash.select(*mixing.mix(docs).columns).collect())) == sorted(map(str, rows))
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 50).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, (F.col("id") % 4).cast("string")).alias("source"))
     for r in mixing.mix_sizes(many).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect():
         assert abs(r.t - r.target) <= 50
@@ -395,6 +401,13 @@ def rows_of(rows):
         ("<p>open <a href='never", "open"),
         ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
         ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
+        (f"<table><tr><td>{'w' * 70}<td>b<tr><td>c<td>d</table>", f"{'w' * 70}  b\nc{' ' * 71}d"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>cc<tr><td>d<td>e</table>", "a  b\n   cc\nd  e"),
+        ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td colspan=3>f</table>", "a  b  c\nd     e\nf"),
+        (f"<table><tr><td colspan=900>a<td>b<tr>{'<td>' * 900}<td>c</table>", "a  b\n   c"),
+        ("x <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>TeX</annotation></math> y", "x a+b y"),
+        ("x<svg><title>t</title><text>one</text><path d=z>no</path><g><text>two</text></g></svg>y", "x one two y"),
+        ("<xmp> <b>a</b>\n  &amp; c</xmp>z", " <b>a</b>\n  &amp; c\n\nz"),
     ],
 )
 def test_render(page, text):
@@ -406,6 +419,9 @@ def test_render_is_linear_and_deep():
     assert html_render.render("<table><tr><td>" * 3000 + "x").strip() == "x"
     assert html_render.render("<a '" * 20_000 + "<p>x") is not None
     assert html_render.render("</p>" * 2000 + "x") == "x"
+    rows = "<tr><td>a<td>b" * 20_000
+    wide = html_render.render(f"<table><tr><td>{'w' * 200_000}<td>x{rows}</table>")
+    assert wide.split("\n")[1] == "a  b" and len(wide) < 400_000
 
 
 def test_render_round_trip():
@@ -435,3 +451,6 @@ def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (None, "v", ""), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(map(tuple, html_render.extract(pages).collect()), key=str) == sorted([(1, "u", "a"), (2, None, None), (None, "v", ""), (1, "u", "a")], key=str)
     assert html_render.extract(pages.limit(0)).count() == 0
+    clash = pages.selectExpr("*", "'mine' AS text", "7 AS `a b`", "page_id AS tag")
+    assert sorted(map(tuple, html_render.extract(clash).select("page_id", "url", "text", "`a b`", "tag").collect()), key=str)[0][3:] == (7, 1)
+    assert html_render.extract(clash).columns == ["page_id", "url", "a b", "tag", "text"]
