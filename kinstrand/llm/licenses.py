@@ -1,13 +1,16 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text; its tokens are the set of its words. A block matches a template if it has
-at least ``containment`` of the template's tokens. The join is exact: tokens are ordered by how
-many documents of the scanned table have them, rarest first; a match needs one of the first
-``size - need + 1`` tokens of that order (prefix filter), at least ``need`` tokens in the block (length
-filter), and, from the first shared prefix token on, enough tokens left on either side (positional
-filter); what passes is verified by intersection. The template index is a few rows made from a
-fixed list; blocks are generated, filtered and verified within their own row, so the join needs no
-shuffle, whatever words are frequent.
+A block is any run of consecutive words, across line ends, half as long again as the template it is held against; its tokens
+are the set of its words. A block matches a template if it has at least ``containment`` of the
+template's tokens. The join is exact: tokens are ordered by how many documents of the scanned table
+have them, rarest first; a match needs one of the first ``size - need + 1`` tokens of that order (prefix filter), at
+least ``need`` of the template's tokens near it (length filter), and, from the first shared prefix token on, enough
+tokens left (positional filter); what passes is verified by counting distinct tokens. The template index is a
+few rows made from a fixed list; blocks are generated, filtered and verified within their own row, so
+the join needs no shuffle, whatever words are frequent.
+
+Texts are read once: what is kept of one, in a stored table, is its number of words and the places of the words that
+phrases and templates are made of. Frequencies come from that table.
 
 Words are maximal runs of characters other than ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased. Null
 text is empty: no words, labels are empty strings, score 0. A null doc_id and repeated rows keep a row
@@ -17,13 +20,12 @@ each. Other columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinstrand.llm.common import ascii_lower
+from kinstrand.llm.common import cut
 
 #: Phrases whose places are counted, with their labels.
 PHRASES: Mapping[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -41,111 +43,115 @@ TEMPLATES: Mapping[str, str] = {
 }
 CONTAINMENT = 0.8
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-_NO_LETTERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The only letter beyond A-Z whose lower case is one of a-z.
+_KELVIN = "\u212a"
 
 
-def _tokens(text: Column) -> Column:
-    """Lower-cased words; case doesn't matter to the split but that A-Z are no separators."""
-    return F.array_remove(F.split(text, _NO_LETTERS + "+", -1), "")
+def block_words(template: str) -> int:
+    """How many words a block has that is held against ``template``."""
+    n = len(template.split())
+    return n + (n + 1) // 2
 
 
-def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
+def placed_words(docs: DataFrame, vocabulary: set[str]) -> DataFrame:
+    """doc_id, n_words and hits, the places (p from 0, in order) of the words w of ``vocabulary``, for each row of ``docs``."""
+    # lower case beyond A-Z changes no word of a-z, once the one letter that becomes one is out of the way
+    text = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit(_KELVIN), F.lit("\u0138")))
+    rows = docs.select("doc_id", F.split(text, _SEPARATORS + "+", -1).alias("w"))
+    lead = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0)
+    trail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
+    at = F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(sorted(vocabulary)), i)))
+    rows = rows.select("doc_id", (F.size("w") - lead - trail).cast("long").alias("n_words"), lead.alias("lead"), at.alias("at"), "w")
+    return rows.select("doc_id", "n_words", F.transform("at", lambda i: F.struct((i - F.col("lead")).alias("p"), F.get("w", i).alias("w"))).alias("hits"))
+
+
+def document_frequencies(placed: DataFrame, vocabulary: set[str]) -> dict[str, int]:
     """How many documents have each word of ``vocabulary``, a bounded set."""
-    some = "|".join(sorted(map(re.escape, vocabulary)))
-    inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    found = F.regexp_extract_all("text", F.lit(f"(?<!{inside})(?i:{some})(?!{inside})"), 0)
-    seen = docs.select(F.explode(F.array_distinct(F.transform(found, F.lower))).alias("w"))
-    counts = dict.fromkeys(vocabulary, 0)
-    return counts | {r.w: r.n for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    seen = placed.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x.w))).alias("w"))
+    return dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
 class Index:
-    """Templates with their tokens in the global order, and their prefixes."""
+    """Templates with their tokens in the global order, their prefixes, and the length of their blocks."""
 
     def __init__(self, frequencies: Mapping[str, int], templates: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> None:
         self.rows = []
         for text, label in templates.items():
             tokens = sorted(set(text.split()), key=lambda w: (frequencies[w], w))
             need = math.ceil(containment * len(tokens) - 1e-9)
-            self.rows.append((label, tokens, need, len(tokens) - need + 1))
-        self.prefixes = sorted({w for _, tokens, _, n in self.rows for w in tokens[:n]})
+            self.rows.append((label, tokens, need, block_words(text)))
+        self.prefixes = sorted({w for _, tokens, need, _ in self.rows for w in tokens[: len(tokens) - need + 1]})
+
+
+def _array(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def _best_block(hits: Column, anchors: Column, tokens: list[str], need: int, length: int) -> Column:
+    """(distinct tokens, first word) of the best block with a prefix token of the template, the earliest of equals; null: none meets ``need``."""
+    prefix = tokens[: len(tokens) - need + 1]
 
-    def postings(self) -> Column:
-        """token -> array of (template, place of the token in its order)."""
-        at: dict[str, list[tuple[int, int]]] = {w: [] for w in self.prefixes}
-        for i, (_, tokens, _, n) in enumerate(self.rows):
-            for place, w in enumerate(tokens[:n]):
-                at[w].append((i, place))
-        pairs = [x for w in self.prefixes for x in (F.lit(w), F.array(*(F.struct(F.lit(i).alias("t"), F.lit(p).alias("p")) for i, p in at[w])))]
-        return F.create_map(*pairs)
+    def blocks(anchor: Column) -> Column:
+        near = F.filter(F.slice(hits, F.greatest(anchor["k"] - (length - 1), F.lit(0)) + 1, 2 * length - 1), lambda x: x["w"].isin(tokens) & (F.abs(x["p"] - anchor["p"]) < length))
+        starts = F.filter(near, lambda x: x["p"] <= anchor["p"])
 
-    def templates(self) -> Column:
-        return F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, tokens)).alias("tokens"), F.lit(need).alias("need")) for label, tokens, need, _ in self.rows))
+        def counted(start: Column) -> Column:
+            inside = F.filter(near, lambda x: (x["p"] >= start["p"]) & (x["p"] < start["p"] + length))
+            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["w"]))).alias("n"), (-start["p"]).alias("o"))
 
+        return F.when(F.size(near) >= need, F.array_max(F.transform(starts, counted)))
 
-def _matches(block: Column, index: Index) -> Column:
-    """(label, containment) for each template that the token set ``block`` meets."""
-    rows = index.templates()
-    met = F.flatten(F.transform(F.array_intersect(block, F.array(*map(F.lit, index.prefixes))), lambda w: F.element_at(index.postings(), w)))
+    order = _array(tokens)  # a token's place there is counted from 1
+    mine = F.filter(anchors, lambda a: a["w"].isin(prefix) & (len(tokens) - F.array_position(order, a["w"]) + 1 >= need))
+    best = F.array_max(F.array_compact(F.transform(mine, blocks)))
+    return F.when(best["n"] >= need, best)
 
-    def may(x: Column) -> Column:
-        row = F.get(rows, x["t"])
-        # the first shared token of the prefix is at p or before: at most size - p tokens of the template are left
-        return (F.size(block) >= row["need"]) & (F.size(row["tokens"]) - x["p"] >= row["need"])
 
-    candidates = F.array_distinct(F.transform(F.filter(met, may), lambda x: x["t"]))
-    checked = F.transform(candidates, lambda t: F.struct(F.get(rows, t)["label"].alias("label"), F.size(F.array_intersect(block, F.get(rows, t)["tokens"])).alias("n"), F.get(rows, t)["need"].alias("need"), F.size(F.get(rows, t)["tokens"]).alias("size")))
-    return F.transform(F.filter(checked, lambda x: x.n >= x.need), lambda x: F.struct(x.label.alias("label"), (x.n / x["size"]).alias("score")))
+def _phrase_places(hits: Column, phrase: str) -> Column:
+    """The first words of all places where the phrase's words stand one after the other."""
+    first, *rest = phrase.split()
+
+    def stands(x: Column, k: Column) -> Column:
+        ok = x["w"] == first
+        for i, word in enumerate(rest, 1):
+            other = F.get(hits, k + i)
+            ok = ok & F.coalesce((other["w"] == word) & (other["p"] == x["p"] + i), F.lit(False))
+        return ok
+
+    return F.transform(F.filter(hits, stands), lambda x: x["p"])
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks of every row of ``docs`` (doc_id, text).
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches of every row of ``docs`` (doc_id, text).
 
-    blocks are the matching lines: (line, label, score). score is the best containment; 1 where a phrase stands.
+    matches are the best blocks: (label, score, first_word). score is the best containment; 1 where a phrase stands.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    index = Index(document_frequencies(docs, {w for t in templates for w in t.split()}), templates, containment)
-
-    # Phrases: only texts where one may stand are taken apart; a word's neighbours are blanks of its own.
-    gap = _NO_LETTERS + "+"
-    maybe = F.rlike("text", F.lit("(?i:" + "|".join(gap.join(p.split()) for p in PHRASES) + ")"))
-    rare = F.rlike("text", F.lit("(?i:" + "|".join(map(re.escape, index.prefixes)) + ")"))
-    rows = docs.select("doc_id", "text", F.size(_tokens(F.col("text"))).cast("long").alias("n_words"), maybe.alias("maybe"), rare.alias("rare"))
-    joined = F.concat(F.lit(" "), F.array_join(_tokens(ascii_lower(F.col("text"))), "  "), F.lit(" "))
-    rows = rows.withColumn("joined", F.when(F.col("maybe"), joined).otherwise(F.lit("")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit("(?i:" + "|".join(map(re.escape, index.prefixes)) + ")")))
-    blocks = F.transform(lines, lambda x: F.array_distinct(_tokens(ascii_lower(x))))
-    rows = rows.withColumn("blocks", F.when(F.col("rare"), blocks).otherwise(F.array().cast("array<array<string>>"))).drop("text", "maybe", "rare")
-    rows = rows.withColumn("found", F.flatten(F.transform("blocks", lambda b: _matches(b, index)))).drop("blocks")
-
-    def count(phrase: str) -> Column:
-        mark = "".join(f" {w} " for w in phrase.split())
-        return ((F.length("joined") - F.length(F.replace("joined", F.lit(mark), F.lit("")))) / len(mark)).cast("long")
-
-    def first(phrase: str) -> Column:
-        mark = "".join(f" {w} " for w in phrase.split())
-        return F.when(F.instr("joined", mark) > 0, _words_in(F.substring_index("joined", mark, 1)))
-
-    def last(phrase: str) -> Column:
-        mark = "".join(f" {w} " for w in phrase.split())
-        return F.when(F.instr("joined", mark) > 0, F.col("n_words") - _words_in(F.substring_index("joined", mark, -1)) - len(phrase.split()))
-
-    base = F.array_compact(F.array(*(F.when(F.instr("joined", "".join(f" {w} " for w in p.split())) > 0, F.lit(label)) for p, label in PHRASES.items())))
-    rows = rows.withColumn("base", F.when(F.col("joined") != "", base).otherwise(F.array().cast("array<string>")))
-    hit = F.size("base") > 0
+    vocabulary = {w for t in [*templates, *PHRASES] for w in t.split()}
+    placed = cut(placed_words(docs, vocabulary), "license-words")
+    index = Index(document_frequencies(placed, vocabulary), templates, containment)
+    hits = F.col("hits")
+    anchors = F.filter(F.transform(hits, lambda x, k: F.struct(k.alias("k"), x["p"].alias("p"), x["w"].alias("w"))), lambda x: x["w"].isin(index.prefixes))
+    rows = placed.withColumn("anchors", anchors)
+    found = []
+    for label, tokens, need, length in index.rows:
+        best = _best_block(hits, F.col("anchors"), tokens, need, length)
+        found.append(F.when(F.size("anchors") > 0, best).alias(label))
+    names = [f"t{i}" for i in range(len(found))]
+    rows = rows.select("doc_id", "n_words", *(_phrase_places(hits, p).alias(f"p{i}") for i, p in enumerate(PHRASES)), *(c.alias(n) for c, n in zip(found, names, strict=True)))
+    matches = F.array_compact(
+        F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.lit(label).alias("label"), (F.col(n)["n"] / len(tokens)).alias("score"), (-F.col(n)["o"]).cast("long").alias("first_word"))) for n, (label, tokens, _, _) in zip(names, index.rows, strict=True)))
+    )
+    every = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
+    base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
+    rows = rows.select("doc_id", "n_words", every.alias("places"), base.alias("base"), matches.alias("matches"))
     return rows.select(
         "doc_id",
         "n_words",
-        F.when(hit, sum((count(p) for p in PHRASES), F.lit(0).cast("long"))).otherwise(F.lit(0)).cast("long").alias("n_base"),
-        F.when(hit, F.least(*map(first, PHRASES))).alias("first_word"),
-        F.when(hit, F.greatest(*map(last, PHRASES))).alias("last_word"),
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.transform("found", lambda x: x.label))), ",").alias("labels"),
-        F.greatest(F.when(hit, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda x: x.score)), F.lit(0.0))).alias("score"),
-        F.col("found").alias("matches"),
+        F.array_join(F.array_sort(F.array_union("base", F.transform("matches", lambda x: x.label))), ",").alias("labels"),
+        F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("matches", lambda x: x.score)), F.lit(0.0))).alias("score"),
+        "matches",
     )
-
-
-def _words_in(part: Column) -> Column:
-    """Words in a piece of ``joined``, each of which has a blank at either side."""
-    return ((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("long")

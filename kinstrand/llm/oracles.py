@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinstrand.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES
+from kinstrand.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, block_words
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -65,16 +65,17 @@ def _op10() -> str:
     phrases = " UNION ALL ".join(
         f"SELECT doc_id, s - 1 AS place, '{label}' AS label, 1.0 AS score FROM p WHERE " + " AND ".join(f"w[s + {i}] = '{x}'" for i, x in enumerate(phrase.split())) for phrase, label in PHRASES.items()
     )
-    rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in sorted(set(t.split())))}])" for t, label in TEMPLATES.items())
+    rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in sorted(set(t.split())))}], {block_words(t)})" for t, label in TEMPLATES.items())
     return f"""
-WITH d AS (SELECT doc_id, {tokens.format("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+WITH d AS (SELECT doc_id, {tokens.format("coalesce(text, '')")} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
 base AS ({phrases}),
-b AS (SELECT doc_id, {tokens.format("x")} AS tokens FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
-t AS (SELECT * FROM (VALUES {rows}) AS v(label, need)),
+t AS (SELECT label, len(need) AS size, block, unnest(need) AS x FROM (VALUES {rows}) AS v(label, need, block)),
+hit AS (SELECT doc_id, s, label, size, block, x FROM (SELECT doc_id, s, w[s] AS x FROM p) JOIN t USING (x)),
 near AS (
-  SELECT doc_id, NULL::BIGINT AS place, label, len(list_intersect(need, tokens)) / len(need) AS score FROM b, t
-  WHERE list_has_any(tokens, need) AND len(list_intersect(need, tokens)) >= ceil({CONTAINMENT} * len(need) - 1e-9)),
+  SELECT a.doc_id, NULL::BIGINT AS place, a.label, count(DISTINCT b.x) / a.size AS score
+  FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.label = b.label AND b.s >= a.s AND b.s < a.s + a.block
+  GROUP BY a.doc_id, a.label, a.size, a.s HAVING count(DISTINCT b.x) >= ceil({CONTAINMENT} * a.size - 1e-9)),
 a AS (SELECT * FROM base UNION ALL SELECT * FROM near),
 g AS (
   SELECT doc_id, count(place) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place IS NOT NULL) AS base_labels,

@@ -141,14 +141,15 @@ def licenses(docs):
 
 
 def license_labels(text, templates, containment=0.8):
-    labels = set()
-    for line in (text or "").split("\n"):
-        tokens = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line)))
-        for t, label in templates.items():
-            need = set(t.split())
-            if len(tokens & need) >= containment * len(need) - 1e-9:
-                labels.add(label)
-    return labels
+    """label -> best share of the template's words in a block of so many words and half as many again."""
+    out = {}
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    for t, label in templates.items():
+        need, n = set(t.split()), len(t.split())
+        best = max((len(need.intersection(w[i : i + n + (n + 1) // 2])) for i in range(len(w))), default=0)
+        if best >= containment * len(need) - 1e-9:
+            out[label] = max(out.get(label, 0), best / len(need))
+    return out
 
 
 def nearest(vectors, every=100, k=10):

@@ -287,17 +287,33 @@ def test_mixing(spark, docs, empty):
         assert abs(r.t - r.target) <= 50
 
 
-def test_licenses(docs, empty):
+def test_licenses(spark, docs, empty):
     rows = licenses.scan(docs).collect()
     same([tuple(r)[:6] for r in rows], brute.licenses(texts()))
-    by_text = {}
-    for d, t in texts():
-        by_text.setdefault(d, []).append(brute.license_labels(t, licenses.TEMPLATES))
-    for r in rows:
-        base = set(filter(None, r.base_labels.split(",")))
-        assert any(",".join(sorted(x | base)) == r.labels for x in by_text[r.doc_id])
-        assert 0 <= r.score <= 1
     assert licenses.scan(empty).count() == 0
+    rng = random.Random(8)
+    notices = list(licenses.TEMPLATES)
+    filler = ["the", "under", "and", "is", "work", "wor\u212a", "license", "x1", "É", "version", "2", "0"]
+    cases = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 6)):
+            notice = rng.choice(notices).split()
+            for _ in range(rng.randrange(0, 4)):
+                k = rng.randrange(len(notice) + 1)
+                notice[k : k + rng.randrange(2)] = [rng.choice(filler)] * rng.randrange(3)
+            parts += [rng.choice(filler) for _ in range(rng.randrange(12))] + notice
+        cases.append((i, rng.choice(["", " ", "\n"]) + "".join(w.title() + rng.choice([" ", "\n", ", "]) for w in parts) + rng.choice(["", "end"])))
+    got = licenses.scan(spark.createDataFrame(cases, "doc_id long, text string")).collect()
+    same([tuple(r)[:6] for r in got], brute.licenses(cases))
+    found = 0
+    for r, text in [*((r, dict(cases)[r.doc_id]) for r in got), *((r, dict(texts())[r.doc_id]) for r in rows if r.doc_id != 80)]:
+        wanted = brute.license_labels(text, licenses.TEMPLATES)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert r.labels == ",".join(sorted(base | set(wanted)))
+        assert r.score == (1.0 if base else max(wanted.values(), default=0.0))
+        found += len(wanted)
+    assert found > 100
 
 
 def test_toxicity(spark, docs, empty):
