@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -184,3 +185,91 @@ def check_packing(rows, docs, tokenizer, capacity=2048):
             at += length
         assert at <= capacity
     return len(sequences), math.ceil(sum(r[3] for r in rows) / capacity)
+
+
+def toxic_features(text, insults, threats, second, odds):
+    """name -> value of the features that are counts of words, and of nearness, by loops over all words."""
+    w = re.findall(r"\w+(?:['’]\w+)*", text.lower())
+    n = len(w)
+    if not n:
+        return {}
+    near = lambda places: sum(1 / max(1, min(abs(i - j) for j, y in enumerate(w) if y in second)) for i in places) if any(y in second for y in w) else 0.0
+    rude = [i for i, x in enumerate(w) if x in insults]
+    known = [i for i, x in enumerate(w) if x in odds]
+    return {
+        "insults": len(rude), "threats": sum(x in threats for x in w), "learned": sum(odds[w[i]] for i in known), "learned_top": max((odds[w[i]] for i in known), default=0.0),
+        "insult_rate": 100 * len(rude) / n, "learned_rate": 100 * len(known) / n, "second_person": 100 * sum(x in second for x in w) / n, "near_insult": near(rude), "near_learned": near(known),
+        "exclamations": sum(c == "!" for c in text) / n, "log_words": math.log(1 + n), "repeats": 1 - len(set(w)) / n,
+    }
+
+
+def best_gain(x, grad, hess, least, ridge):
+    """The greatest gain of any split of these rows at any value of any feature."""
+    g, h, best = sum(grad), sum(hess), 0.0
+    for f in range(x.shape[1]):
+        for cut in sorted(set(x[:, f]))[:-1]:
+            left = x[:, f] <= cut
+            gl, hl = grad[left].sum(), hess[left].sum()
+            if hl >= least and h - hl >= least:
+                best = max(best, gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge))
+    return best
+
+
+def monotone_fit(score, y, prior):
+    """Isotonic levels of each row by the min-max formula over blocks of scores, with half a row of the prior in each block found."""
+    order = sorted(range(len(y)), key=lambda i: (score[i], i))
+    v = [y[i] for i in order]
+    n = len(v)
+    sums = [0.0]
+    for a in v:
+        sums.append(sums[-1] + a)
+    plain = [max(min((sums[j + 1] - sums[i]) / (j + 1 - i) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+    level, out, a = 0.0, [0.0] * n, 0
+    while a < n:
+        b = a
+        while b + 1 < n and abs(plain[b + 1] - plain[a]) < 1e-12:
+            b += 1
+        level = max(level, (sum(v[a : b + 1]) + 0.5 * prior) / (b - a + 1.5))
+        for k in range(a, b + 1):
+            out[order[k]] = level
+        a = b + 1
+    return out
+
+
+class _Visible(HTMLParser):
+    """The words of what is outside of hidden elements, by the standard library's parser."""
+
+    HIDDEN = frozenset("script style head title template noscript iframe object canvas audio video select datalist".split())
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag in self.VOID:
+            self.out.append(" ")
+            return
+        style = re.sub(r"\s", "", (a.get("style") or "").lower())
+        hidden = tag in self.HIDDEN or "hidden" in a or "display:none" in style or "visibility:hidden" in style
+        self.stack.append((tag, hidden))
+        self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.out.append(" ")
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.stack):
+            self.out.append(data)
+
+
+def visible_letters(page):
+    """All visible letters and digits of a page, in order."""
+    parser = _Visible()
+    parser.feed(page)
+    parser.close()
+    return re.sub(r"[\W_]+", "", "".join(parser.out))

@@ -339,6 +339,49 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, marks)).count() == 0
 
 
+def test_toxicity_against_plain_versions():
+    """Features by loops, every split of every tree against all possible ones, leaves and calibration by their formulas."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(60)] + ["idiot", "you", "kill", "your", "scum", "Don't", "u"]
+    said = [" ".join(rng.choice(vocabulary) + rng.choice(["", "!", "?!", "."]) for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    y = np.array([float("idiot" in s or "scum" in s) if rng.random() < 0.9 else float(rng.random() < 0.5) for s in said])
+    lexicon = toxicity.Lexicon({"v3": 2.0, "v7": 1.6, "scum": 3.0})
+    rows = [toxicity.features(s, lexicon) for s in said]
+    for s, row in zip(said, rows, strict=True):
+        for name, value in brute.toxic_features(s, toxicity.INSULTS, toxicity.THREATS, toxicity.SECOND_PERSON, lexicon.odds).items():
+            assert row[toxicity.FEATURES.index(name)] == pytest.approx(value, abs=1e-9), name
+    x = np.array(rows)[:, :9].round(2)  # fewer values than bins, so every split is open to the trees
+    model = toxicity.Boosted.fit(x, y, rounds=6, bins=4000)
+    margin = np.full(len(y), model.start)
+    assert model.start == pytest.approx(np.log(y.mean() / (1 - y.mean())))
+    for tree in model.trees:
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, p * (1 - p)
+        at = {0: (np.arange(len(y)), 0)}
+        for node in range(len(tree.feature)):
+            rows_, level = at[node]
+            g, h = grad[rows_].sum(), hess[rows_].sum()
+            assert tree.value[node] == pytest.approx(-g / (h + 1.0))
+            best = brute.best_gain(x[rows_], grad[rows_], hess[rows_], 2.0, 1.0) if level < 3 else 0.0
+            if tree.feature[node] < 0:
+                assert level == 3 or best <= 2e-6
+                continue
+            right = x[rows_, tree.feature[node]] > tree.cut[node]
+            gl, hl = grad[rows_[~right]].sum(), hess[rows_[~right]].sum()
+            gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+            assert gain == pytest.approx(best, rel=1e-6)
+            at[tree.left[node]], at[tree.left[node] + 1] = (rows_[~right], level + 1), (rows_[right], level + 1)
+        margin += model.rate * tree.predict(x)
+    assert margin == pytest.approx(model.margin(x))
+    scores = np.round(rng_normal(200), 3)
+    knots, levels = toxicity.isotonic(scores, y)
+    assert np.interp(np.sort(scores), knots, levels) == pytest.approx(sorted(brute.monotone_fit(scores.tolist(), y.tolist(), float(y.mean()))), abs=0.02)
+
+
+def rng_normal(n):
+    return np.random.default_rng(9).permutation(np.linspace(-3, 3, n))
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     s = rng.normal(size=500)
@@ -463,6 +506,18 @@ def test_render_round_trip():
         assert html_render.render("".join(x for x, _ in parts)) == "\n\n".join(y for _, x in parts for y in x)
 
 
+def test_pages_against_a_plain_version(spark):
+    """All visible letters of the provided pages, in order, by another parser."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    found = {r.page_id: r.text for r in html_render.extract(pages).collect()}
+    assert found
+    import re
+
+    for r in pages.collect():
+        shown = re.sub(r"(?m)^\s*\d+\. ", "", found[r.page_id])  # numbers of lists are no text of the page
+        assert re.sub(r"[\W_]+", "", shown) == brute.visible_letters(r.html), r.page_id
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (None, "v", ""), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(map(tuple, html_render.extract(pages).collect()), key=str) == sorted([(1, "u", "a"), (2, None, None), (None, "v", ""), (1, "u", "a")], key=str)
