@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Shares of k-words kept at 60, 70, 80, 90, 95 and 100 % identity, tolerance 2; k = 5, 4, 3, 2.
-KEPT_WORDS = {60: (3, 8, 16, 31), 70: (11, 18, 29, 45), 80: (27, 35, 46, 60), 90: (55, 62, 71, 80), 95: (74, 78, 84, 89), 100: (92, 93, 95, 97)}
+from kinstrand.functions.storage import stored
+
+# Percent of k-words kept, k = 5, 4, 3, 2, by tolerance and percent identity.
+KEPT_WORDS = {
+    1: {
+        40: (0, 0, 0, 7), 50: (0, 0, 4, 16), 60: (0, 4, 13, 28), 70: (5, 12, 25, 42), 75: (10, 20, 32, 50),
+        80: (18, 29, 41, 59), 85: (31, 43, 54, 68), 90: (45, 54, 65, 75), 95: (64, 71, 78, 85), 100: (91, 93, 95, 97),
+    },
+    2: {
+        40: (0, 0, 1, 9), 50: (0, 2, 8, 19), 60: (3, 8, 16, 31), 70: (11, 18, 29, 45), 75: (17, 25, 36, 52),
+        80: (27, 35, 46, 60), 85: (41, 50, 60, 70), 90: (55, 62, 71, 80), 95: (74, 78, 84, 89), 100: (92, 93, 95, 97),
+    },
+    3: {
+        40: (0, 0, 2, 11), 50: (1, 4, 9, 20), 60: (5, 10, 18, 32), 70: (13, 21, 31, 47), 75: (20, 29, 38, 53),
+        80: (30, 37, 48, 62), 85: (44, 53, 61, 71), 90: (60, 66, 72, 81), 95: (86, 88, 90, 92), 100: (94, 95, 97, 98),
+    },
+    4: {
+        40: (0, 1, 4, 13), 50: (2, 5, 11, 22), 60: (8, 12, 20, 34), 70: (17, 24, 34, 48), 75: (23, 31, 41, 55),
+        80: (34, 42, 51, 63), 85: (49, 56, 64, 73), 90: (68, 72, 77, 83), 95: (91, 92, 93, 94), 100: (95, 96, 97, 98),
+    },
+    5: {
+        40: (1, 2, 6, 15), 50: (4, 8, 14, 25), 60: (11, 16, 24, 37), 70: (22, 29, 37, 51), 75: (29, 36, 45, 57),
+        80: (40, 46, 54, 65), 85: (63, 67, 73, 78), 90: (85, 86, 87, 89), 95: (92, 93, 94, 94), 100: (97, 98, 98, 99),
+    },
+}
 
 
 def words(seq: str | Column, k: int) -> Column:
@@ -45,32 +66,77 @@ def shared_words(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return pairs.agg(F.sum(F.least("n", "m")).cast("long").alias("shared"), F.min("word").alias("first_word"))
 
 
-def kept_share(identity: float, k: int) -> float:
-    """The share of ``k``-words that survive at an identity (tolerance 2), between the known rows in a straight line; 0..1."""
-    percent, column = 100 * identity, 5 - k
-    if not 2 <= k <= 5 or percent < 60:
+#: Words in more targets than this are common: :func:`pairs_sharing` leaves them to its end.
+COMMON = 12
+
+
+def pairs_sharing(queries: DataFrame, targets: DataFrame, need: DataFrame, within: bool, common: int = COMMON) -> DataFrame:
+    """(q, r, shared, first_word) as :func:`shared_words` gives them, of the pairs that share at least as many words as ``need`` (q, need) asks for.
+
+    ``queries`` and ``targets`` are stored posting tables; ``within``: they are the same one, and only r < q counts.
+    Exact, without joining common words to each other: a word's targets are listed, up to ``common`` of them. A query whose
+    common words come to fewer than it needs must share the others, so these lists make its candidates, with a bound that the
+    common words lower; only candidates look their common words up. The few queries of which most words are common are
+    joined by these as well.
+    """
+    place = F.row_number().over(Window.partitionBy("word").orderBy("rank"))
+    few = targets.withColumn("n", place).where(F.col("n") <= common + 1)
+    lists = few.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "cnt"))).alias("at"))
+    if within:
+        lists = lists.where(F.size("at") > 1)  # others are in their own sequence alone
+    lists = stored(lists)
+    rare, usual = lists.where(F.size("at") <= common), lists.where(F.size("at") > common).select("word")
+    if within:
+        pair = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", 1, i), lambda y: F.struct(x["rank"].alias("q"), y["rank"].alias("r"), F.least(x["cnt"], y["cnt"]).alias("m")))))
+        met = rare.select("word", F.explode(pair).alias("x")).select("word", "x.*")
+    else:
+        met = queries.join(rare, "word").select("word", F.col("rank").alias("q"), "cnt", F.explode("at").alias("y")).select("word", "q", F.col("y.rank").alias("r"), F.least("cnt", "y.cnt").alias("m"))
+    found = stored(met.groupBy("q", "r").agg(F.sum("m").alias("shared"), F.min("word").alias("first_word")))
+
+    late = stored(queries.join(usual, "word").select(F.col("rank").alias("q"), "word", F.col("cnt").alias("n")))
+    of = (late.withColumnsRenamed({"q": "r", "n": "m"}) if within else targets.select(F.col("rank").alias("r"), "word", F.col("cnt").alias("m")))
+    left = late.groupBy("q").agg(F.sum("n").alias("left"))
+    asked = stored(need.join(left, "q", "left").select("q", "need", F.coalesce("left", F.lit(0)).alias("left"), (F.coalesce("left", F.lit(0)) >= F.col("need")).alias("all")))
+    # candidates by rare words, completed by the common words of both
+    candidates = found.join(asked.where("not all"), "q").where(F.col("shared") >= F.col("need") - F.col("left"))
+    more = candidates.select("q", "r").join(late, "q").join(of, ["r", "word"]).groupBy("q", "r").agg(F.sum(F.least("n", "m")).alias("more"), F.min("word").alias("other"))
+    first = candidates.join(more, ["q", "r"], "left").select("q", "r", (F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared"), F.least("first_word", "other").alias("first_word"), "need")
+    # queries whose common words might do by themselves
+    whole = asked.where("all").select("q", "need")
+    wide = late.join(whole.select("q"), "q", "left_semi").join(of, "word")
+    wide = (wide.where("r < q") if within else wide).select("q", "r", F.least("n", "m").alias("m"), "word")
+    wide = wide.unionByName(found.join(whole.select("q"), "q", "left_semi").select("q", "r", F.col("shared").alias("m"), F.col("first_word").alias("word")))
+    second = wide.groupBy("q", "r").agg(F.sum("m").alias("shared"), F.min("word").alias("first_word")).join(whole, "q").select("q", "r", "shared", "first_word", "need")
+    return stored(first.where("shared >= need")).unionByName(stored(second.where("shared >= need"))).select("q", "r", F.col("shared").cast("long").alias("shared"), "first_word")
+
+
+def kept_share(identity: float, k: int, tolerance: int = 2) -> float:
+    """The share of ``k``-words that survive at an identity; 0..1. Between known rows the lower one counts, so that no pair is lost."""
+    if not 2 <= k <= 5 or not tolerance:
         return 0.0
-    rows = sorted(KEPT_WORDS)
-    for low, high in zip(rows, rows[1:], strict=False):
-        if low <= percent <= high:
-            a, b = KEPT_WORDS[low][column], KEPT_WORDS[high][column]
-            return math.floor(a + (b - a) * (percent - low) / (high - low)) / 100
-    return KEPT_WORDS[100][column] / 100
+    known = KEPT_WORDS[tolerance]
+    below = [p for p in known if p <= int(100 * identity)]
+    return known[max(below)][5 - k] / 100 if below else 0.0
 
 
-def required_words(length: str | Column, identity: float, k: int, small: int = 2, tolerance: bool = True, nucleotides: bool = False) -> dict[str, Column]:
+def required_words(length: str | Column, identity: float, k: int, small: int = 2, tolerance: int = 2, nucleotides: bool = False, distance: float | None = None) -> dict[str, Column]:
     """Least numbers of matches, of ``small``-words and of ``k``-words for a sequence of ``length``.
 
     ``worst`` counts what is left if every mismatch spoils as many words as it can; the
-    statistical figure is a share of the length; long sequences lean to the latter.
+    statistical figure is a share of the length; long sequences lean to the latter. With a ``distance``, words between two
+    errors that are as far apart as it allows on average are what is asked for.
     """
     n = (F.col(length) if isinstance(length, str) else length).cast("double")
+    if distance is not None:
+        apart = int(1 / (distance + 1e-9))
+        few = lambda w: F.greatest(F.lit(1), F.least(F.lit(apart - w), n - w + 1)).cast("long")
+        return {"required_aa1": few(small), "required_aas": few(small), "required_aan": few(k)}
     share_small, share_k = 1 - small * (1 - identity), 1 - k * (1 - identity)
-    if not nucleotides and tolerance:
-        share_small, share_k = max(share_small, kept_share(identity, 2)), max(share_k, kept_share(identity, k))
+    if not nucleotides:
+        share_small, share_k = max(share_small, kept_share(identity, 2, tolerance)), max(share_k, kept_share(identity, k, tolerance))
 
     def worst(w: int) -> Column:
-        return F.greatest(F.lit(0.0), (n - small) - F.floor(F.lit(w) * F.ceil(F.lit(1 - identity) * n)))
+        return F.greatest(F.lit(0.0), (n - w) - F.floor(F.lit(w) * F.ceil(F.lit(1 - identity) * n)))
 
     rest = (n - k) / (n * k)
     start = 1 - rest

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
@@ -15,40 +15,63 @@ def exact(ranked: DataFrame) -> DataFrame:
     return ranked.join(groups, "seq").withColumn("is_rep", F.col("rank") == F.col("rep_rank"))
 
 
-def _blocks(rows: DataFrame, pieces: int, width: int, keep: list[str]) -> DataFrame:
-    """Each of the ``pieces`` equal blocks of the first ``width`` letters with its number."""
-    step = width // pieces
-    cut = F.array(*(F.struct(F.lit(i).alias("i"), F.substring("seq", i * step + 1, step if i < pieces - 1 else width - i * step).alias("b")) for i in range(pieces)))
-    return rows.select(*keep, F.explode(cut).alias("x")).select(*keep, "x.i", "x.b")
+#: Sequences meet first by so many letters.
+HEAD = 12
+
+
+def _head(n: Column | int) -> Column:
+    return F.substr("seq", F.lit(1), F.lit(n) if isinstance(n, int) else n)
+
+
+def _exact_prefixes(classes: DataFrame) -> DataFrame:
+    """(q, r): q is the beginning of the longer r.
+
+    Two levels: sequences that begin alike know which lengths occur among them, so a sequence makes a hash only for a
+    length at which it may meet another. Sequences of fewer than ``HEAD`` letters are looked up at each such length that occurs.
+    """
+    keyed = classes.withColumn("head", F.when(F.col("len") >= HEAD, F.xxhash64(_head(HEAD))))
+    lengths = keyed.where("head is not null").groupBy("head").agg(F.collect_set("len").alias("ls"))
+    short = classes.where(F.col("len") < HEAD).agg(F.collect_set("len").alias("shorts"))  # HEAD numbers at most
+    at = keyed.join(lengths, "head", "left").crossJoin(F.broadcast(short))
+    at = at.withColumn("l", F.explode(F.filter(F.concat("shorts", F.coalesce("ls", F.array().cast("array<int>"))), lambda x: x < F.col("len"))))
+    heads = at.select(F.col("rank").alias("r"), F.xxhash64(_head(F.col("l"))).alias("h"), "l")
+    whole = classes.select(F.col("rank").alias("q"), F.xxhash64("seq").alias("h"), F.col("len").alias("l"))
+    return whole.join(heads, ["h", "l"]).where("r < q").select("q", "r")
+
+
+def _blocks(rows: DataFrame, pieces: int, width: Column) -> DataFrame:
+    """(rank, w, i, b): hashes of the ``pieces`` blocks of the first ``width`` letters; an empty block is one, too."""
+    rows = rows.withColumn("w", width)
+    end = lambda i: F.floor(F.col("w") * i / pieces).cast("int")
+    cut = F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64(F.substr("seq", end(i) + 1, end(i + 1) - end(i))).alias("b")) for i in range(pieces)))
+    return rows.select("rank", "w", F.explode(cut).alias("x")).select("rank", "w", "x.i", "x.b")
 
 
 def prefix_pairs(ranked: DataFrame, errors: int = 0, same_length: bool = False) -> DataFrame:
     """(q, r, exact): r < q and q differs from the first len(q) letters of r in ``errors`` places at most.
 
-    errors 0: one equi-join on the prefix, at the distinct lengths that occur. Else by pigeonhole: the shortest
-    length cut into errors + 1 blocks; a pair agrees in one of them at least. Equal sequences are joined as one.
+    Hashes are what is dealt; texts are fetched for the pairs found, and compared. With errors, by pigeonhole: of errors + 1 blocks a
+    pair agrees in one. Blocks are those of the whole sequence if lengths must be equal, else of its
+    first 2**k letters for the greatest such number; a longer sequence has them for each k. Equal sequences are joined as one.
     """
     classes = ranked.groupBy("seq", "len").agg(F.min("rank").alias("rank"))
     if same_length and not errors:
         return _none(ranked)
+    classes = greedy.stored(classes.select("rank", "len", "seq").where("len > 0"))
     if not errors:
-        lengths = classes.select(F.col("len").alias("l")).distinct()
-        lists = lengths.agg(F.array_sort(F.collect_set("l")).alias("ls"))  # as many numbers as there are lengths
-        heads = classes.crossJoin(F.broadcast(lists)).select("rank", "len", F.explode(F.filter("ls", lambda x: x < F.col("len"))).alias("l"), "seq")
-        heads = heads.select(F.col("rank").alias("r"), F.xxhash64(F.substr("seq", F.lit(1), F.col("l"))).alias("h"), "l", F.substr("seq", F.lit(1), F.col("l")).alias("head"))
-        whole = classes.select(F.col("rank").alias("q"), F.col("len").alias("l"), F.xxhash64("seq").alias("h"), "seq")
-        return whole.join(heads, ["h", "l"]).where("seq = head and r < q").select("q", "r", F.lit(False).alias("exact"))
-    least = classes.agg(F.min("len")).first()[0] or 0
-    if least < errors + 1:
-        raise ValueError(f"sequences must have more than {errors} letters")
-    blocks = _blocks(classes, errors + 1, least, ["rank", "len", "seq"])
-    a = blocks.select(F.col("rank").alias("q"), F.col("len").alias("ql"), F.col("seq").alias("qs"), "i", "b")
-    b = blocks.select(F.col("rank").alias("r"), F.col("len").alias("rl"), F.col("seq").alias("rs"), "i", "b")
-    pairs = a.join(b, ["i", "b"]).where("r < q")
-    if same_length:
-        pairs = pairs.where("ql = rl")
-    pairs = pairs.select("q", "r", "qs", F.substr("rs", F.lit(1), F.col("ql")).alias("rs")).distinct()
-    return pairs.where(S.mismatches("qs", "rs") <= errors).select("q", "r", F.lit(False).alias("exact"))
+        pairs = _exact_prefixes(classes)
+    elif same_length:
+        blocks = greedy.stored(_blocks(classes, errors + 1, F.col("len")))
+        pairs = blocks.withColumnRenamed("rank", "q").join(blocks.withColumnRenamed("rank", "r"), ["w", "i", "b"]).where("r < q").select("q", "r").distinct()
+    else:
+        level = F.floor(F.log2("len")).cast("int")
+        own = _blocks(classes, errors + 1, F.pow(F.lit(2), level).cast("int")).withColumnRenamed("rank", "q")
+        every = classes.withColumn("k", F.explode(F.sequence(F.lit(0), level)))
+        pairs = own.join(_blocks(every, errors + 1, F.pow(F.lit(2), "k").cast("int")).withColumnRenamed("rank", "r"), ["w", "i", "b"]).where("r < q").select("q", "r").distinct()
+    of = lambda x: classes.select(F.col("rank").alias(x), F.col("seq").alias(f"{x}s"))
+    both = pairs.join(of("q"), "q").join(of("r"), "r").withColumn("rs", F.substr("rs", F.lit(1), F.length("qs")))
+    alike = S.mismatches("qs", "rs") <= errors if errors else F.col("qs") == F.col("rs")
+    return both.where(alike).select("q", "r", F.lit(False).alias("exact"))
 
 
 def _none(ranked: DataFrame) -> DataFrame:

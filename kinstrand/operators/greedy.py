@@ -4,85 +4,43 @@ A sequence becomes a representative unless a representative of smaller rank pass
 it; so the representatives are the lexicographically first maximal independent set of the
 passing pairs. It is found in rounds: sequences whose smaller neighbours are all decided decide
 themselves, all at once. A round is two joins on the pairs still open; tables between rounds are written
-to the shared folder.
+to the shared folder, and deleted when a later round has replaced them.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinstrand.functions.storage import forget, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only for a local master without that setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="kinstrand-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/kinstrand/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: So many open pairs or fewer are decided one after the other in one task, in place of further rounds.
-FEW_PAIRS = 500_000
-
-
-def _one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sequential rule on at most ``FEW_PAIRS`` pairs."""
-    pairs = pd.concat(list(batches), ignore_index=True)
-    smaller: dict[int, list[int]] = {}
-    for q, r in zip(pairs.q.tolist(), pairs.r.tolist(), strict=True):
-        smaller.setdefault(q, []).append(r)
-    is_rep: dict[int, bool] = dict.fromkeys(set(pairs.r), True)
-    for q in sorted(smaller):
-        is_rep[q] = not any(is_rep[r] for r in smaller[q])
-    yield pd.DataFrame({"rank": list(is_rep), "is_rep": list(is_rep.values())})
+__all__ = ["assign", "number_representatives", "representatives", "shared_folder", "stored"]
 
 
-def representatives(pairs: DataFrame, most_rounds: int = 200, few: int = FEW_PAIRS) -> DataFrame:
+def representatives(pairs: DataFrame) -> DataFrame:
     """(rank, is_rep) of every rank in ``pairs`` (q, r with r < q): representatives and redundant ones.
 
-    Ranks without pairs are representatives; they don't appear.
+    Ranks without pairs are representatives; they don't appear. Each round decides the smallest open rank at least, and
+    as a rule nearly all; rounds go on until none is open.
     """
     spark = pairs.sparkSession
     open_ = stored(pairs.select("q", "r").where("r < q").distinct())
-    decided: DataFrame | None = None
-    for _ in range(most_rounds):
-        left = open_.count()
-        if left <= few:
-            if left:
-                last = open_.coalesce(1).mapInPandas(_one_by_one, "rank long, is_rep boolean")
-                decided = last if decided is None else decided.union(last)
-            break
-        # undecided: all ranks in open pairs. Without a smaller open neighbour: representative.
-        reps = open_.select(F.col("r").alias("rank")).distinct().join(open_.select(F.col("q").alias("rank")).distinct(), "rank", "left_anti")
-        reps = stored(reps)
+    decided: list[DataFrame] = []
+    while not open_.isEmpty():
+        # without a smaller open neighbour: a representative; its greater neighbours are redundant
+        reps = stored(open_.select(F.col("r").alias("rank")).distinct().join(open_.select(F.col("q").alias("rank")).distinct(), "rank", "left_anti"))
         gone = stored(open_.join(reps.select(F.col("rank").alias("r")), "r", "left_semi").select(F.col("q").alias("rank")).distinct())
-        new = reps.withColumn("is_rep", F.lit(True)).union(gone.withColumn("is_rep", F.lit(False)))
-        # redundant ones take all their pairs with them; what is left of a rank without open pairs is a representative
-        kept = open_.join(gone.select(F.col("rank").alias("q")), "q", "left_anti").join(gone.select(F.col("rank").alias("r")), "r", "left_anti")
-        kept = stored(kept)
-        left = open_.select(F.col("q").alias("rank")).union(open_.select("r")).distinct()
-        free = left.join(new.select("rank"), "rank", "left_anti").join(kept.select(F.col("q").alias("rank")).union(kept.select("r")).distinct(), "rank", "left_anti")
-        new = stored(new.union(free.withColumn("is_rep", F.lit(True))))
-        decided = new if decided is None else decided.union(new)
+        # redundant ones take all their pairs with them; who has no pair left by that is a representative
+        kept = stored(open_.join(gone.select(F.col("rank").alias("q")), "q", "left_anti").join(gone.select(F.col("rank").alias("r")), "r", "left_anti"))
+        closed = reps.union(gone).union(kept.select(F.col("q").alias("rank"))).union(kept.select("r"))
+        free = open_.select(F.explode(F.array("q", "r")).alias("rank")).distinct().join(closed, "rank", "left_anti")
+        decided.append(stored(reps.union(free).withColumn("is_rep", F.lit(True)).union(gone.withColumn("is_rep", F.lit(False)))))
+        forget(open_, reps, gone)
         open_ = kept
-    else:
-        raise RuntimeError(f"representatives were not settled in {most_rounds} rounds")
-    return decided if decided is not None else spark.createDataFrame([], "rank long, is_rep boolean")
+    forget(open_)
+    if not decided:
+        return spark.createDataFrame([], "rank long, is_rep boolean")
+    return spark.read.schema(decided[0].schema).parquet(*(x.inputFiles()[0].rsplit("/", 1)[0] for x in decided if x.inputFiles()))
 
 
 def assign(ranked: DataFrame, pairs: DataFrame, mode: str = "fast") -> DataFrame:

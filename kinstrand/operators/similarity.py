@@ -1,6 +1,6 @@
 """Clustering and two-set comparison by alignment identity.
 
-Plan: k-mer postings -> equi-join on words -> pairs with enough shared words and fitting lengths ->
+Plan: k-mer postings -> rare words listed, common ones looked up -> pairs with enough shared words and fitting lengths ->
 Arrow-batched banded alignment of those pairs only -> accepted pairs -> greedy selection.
 """
 
@@ -28,7 +28,7 @@ class Options:
     """What a clustering run may be told; the defaults are those of residues."""
 
     alphabet: str = "aa"
-    identity: float = 0.9
+    identity: float | None = None  # 0.9 for residues, 0.95 for nucleotides
     word: int = 5
     band: int = 20
     least_length: int = 10
@@ -66,6 +66,15 @@ class Options:
         low, longest = (0.4, 5) if self.alphabet == "aa" else (0.8, 12)
         if self.alphabet not in ("aa", "nt"):
             raise ValueError("alphabet must be aa or nt")
+        if self.distance is not None:
+            if self.identity is not None:
+                raise ValueError("identity and distance exclude each other")
+            if not 0 <= self.distance <= 1:
+                raise ValueError("distance must be in 0..1")
+            if self.distance * self.word >= 1:
+                warnings.warn("words are too long for this distance: one shared word will do", stacklevel=3)
+        if self.identity is None:
+            object.__setattr__(self, "identity", 0.9 if self.alphabet == "aa" else 0.95)
         if not low <= self.identity <= 1:
             raise ValueError(f"identity must be in {low}..1")
         if not 2 <= self.word <= longest:
@@ -85,12 +94,12 @@ class Options:
 
     @classmethod
     def nucleotide(cls, **more) -> Options:
-        return cls(**({"alphabet": "nt", "identity": 0.95, "word": 10, "both_strands": True} | more))
+        return cls(**({"alphabet": "nt", "word": 10, "both_strands": True} | more))
 
     @classmethod
     def pyro(cls, **more) -> Options:
         """Duplicates of pyrosequencing reads: same start, short indels."""
-        return cls(**({"alphabet": "nt", "identity": 0.98, "word": 10, "band": 10, "longest_gap": 1, "mismatch": -1, "gap": -3} | more))
+        return cls(**({"alphabet": "nt", "identity": None if "distance" in more else 0.98, "word": 10, "band": 10, "longest_gap": 1, "mismatch": -1, "gap": -3} | more))
 
     def scoring(self) -> A.Scoring:
         if self.alphabet == "aa":
@@ -121,18 +130,18 @@ def candidates(queries: DataFrame, targets: DataFrame, options: Options, within:
 
     ``within``: one ranked table against itself, r < q; else every target may be joined.
     """
-    target = greedy.stored(_postings(targets, options))
-    found = K.shared_words(greedy.stored(_postings(queries, options)) if not within else target, target).withColumn("strand", F.lit("+"))
-    if options.both_strands:
-        flipped = queries.select("rank", S.reverse_complement("seq").alias("seq"))
-        found = found.unionByName(K.shared_words(_postings(flipped, options), target).withColumn("strand", F.lit("-")))
-    if within:
-        found = found.where("r < q")
-    need = K.required_words("len", options.identity, options.word, 2 if options.alphabet == "aa" else 4, options.tolerance > 0, options.alphabet == "nt")
+    need = K.required_words("len", options.identity, options.word, 2 if options.alphabet == "aa" else 4, options.tolerance, options.alphabet == "nt", options.distance)
     floor = 1 if options.alphabet == "nt" else 0
     q = queries.select(F.col("rank").alias("q"), F.col("len").alias("q_len"), *(F.greatest(c, F.lit(floor)).alias(n) for n, c in need.items()))
+    asked = q.select("q", F.greatest("required_aan", F.lit(1)).alias("need"))
+    target = greedy.stored(_postings(targets, options))
+    found = K.pairs_sharing(target if within else greedy.stored(_postings(queries, options)), target, asked, within).withColumn("strand", F.lit("+"))
+    if options.both_strands:
+        flipped = greedy.stored(_postings(queries.select("rank", S.reverse_complement("seq").alias("seq")), options))
+        other = K.pairs_sharing(flipped, target, asked, within=False).withColumn("strand", F.lit("-"))
+        found = found.unionByName(other.where("r < q") if within else other)
     r = targets.select(F.col("rank").alias("r"), F.col("len").alias("r_len"))
-    pairs = found.join(q, "q").where("shared >= required_aan").join(r, "r")
+    pairs = found.join(q, "q").join(r, "r")
     pairs = pairs.where(F.col("r_len") <= S.upper_length("q_len", options.length_share, options.length_gap, options.cover_long, options.cover_long_gap))
     if not within:
         pairs = pairs.where(F.col("r_len") >= S.lower_length("q_len", options.length_share2, options.length_gap2))
@@ -175,7 +184,7 @@ def _accept(row: dict, q: np.ndarray, r: np.ndarray, a: A.Alignment, o: Options)
     if not a.ok:
         return None
     matches = a.matches if o.global_identity else a.local_matches
-    if matches < row["required_aa1"] and o.distance is None:
+    if matches < row["required_aa1"]:
         return None
     short, long_ = min(len(q), len(r)), max(len(q), len(r))
     length = short - a.masked if o.global_identity else a.local_length - a.masked

@@ -86,29 +86,33 @@ _add("kmer_index", lambda s, d: _post(s, d).groupBy("word").agg(F.count("*").ali
 _SHARED = f"WITH rk AS ({ranked_sql()}), {_POST}, sh AS (SELECT a.rank AS q, b.rank AS r, sum(least(a.cnt, b.cnt))::BIGINT AS shared, min(word) AS first_word FROM post a JOIN post b USING (word) WHERE b.rank < a.rank GROUP BY 1, 2)"
 
 
-def _shared(s, d):
+def _shared(s, d, need=None):
+    """Pairs of ranks that share ``need`` words or more."""
     p = greedy.stored(_post(s, d))
-    return K.shared_words(p, p).where("r < q")
+    asked = ranked(s, d).select(F.col("rank").alias("q"), need.alias("need"))
+    return K.pairs_sharing(p, p, asked, within=True)
 
 
-_add("shared_words", lambda s, d: _shared(s, d).where("shared >= 20"), f"{_SHARED} SELECT * FROM sh WHERE shared >= 20")
+_add("shared_words", lambda s, d: _shared(s, d, F.lit(20)), f"{_SHARED} SELECT * FROM sh WHERE shared >= 20")
 _add("length_bounds", lambda s, d: ranked(s, d).select("seq_idx", S.upper_length("len", s=0.8, S=40).alias("longest"), S.lower_length("len", 0.9, 5).alias("shortest"), S.coverage_minimum("len", 0.8, 30, 10).alias("cover")),
      f"SELECT seq_idx, least(floor(len::FLOAT / 0.8), len + 40)::BIGINT AS longest, least(len - 5, floor(len * 0.9))::BIGINT AS shortest, greatest(floor(len * 0.8), len - 30, 10)::BIGINT AS cover FROM ({ranked_sql()})")
 
 
 def _required_sql(c: float, k: int) -> str:
     ss, sk = max(1 - 2 * (1 - c), K.kept_share(c, 2)), max(1 - k * (1 - c), K.kept_share(c, k))
-    return f"""WITH q AS (SELECT seq_idx, len::DOUBLE AS n FROM ({ranked_sql()})), w AS (SELECT *, greatest(0, n - 2 - floor(2 * ceil({1 - c} * n))) AS w2, greatest(0, n - 2 - floor({k} * ceil({1 - c} * n))) AS wk, (n - {k}) / (n * {k}) AS rest FROM q),
+    return f"""WITH q AS (SELECT seq_idx, len::DOUBLE AS n FROM ({ranked_sql()})), w AS (SELECT *, greatest(0, n - 2 - floor(2 * ceil({1 - c} * n))) AS w2, greatest(0, n - {k} - floor({k} * ceil({1 - c} * n))) AS wk, (n - {k}) / (n * {k}) AS rest FROM q),
   f AS (SELECT *, CASE WHEN {c} > 1 - rest THEN ({c} - (1 - rest)) / rest ELSE 0 END AS fnew FROM w)
   SELECT seq_idx, floor(fnew * w2 + (1 - fnew) * (floor({c} * n) - 1))::BIGINT AS required_aa1, floor(fnew * w2 + (1 - fnew) * floor({ss} * n))::BIGINT AS required_aas, floor(fnew * wk + (1 - fnew) * floor({sk} * n))::BIGINT AS required_aan FROM f"""
 
 
 _add("required_words", lambda s, d: ranked(s, d).select("seq_idx", *(v.alias(n) for n, v in K.required_words("len", 0.9, 5).items())), _required_sql(0.9, 5))
+_add("required_words_distance", lambda s, d: ranked(s, d).select("seq_idx", *(v.alias(n) for n, v in K.required_words("len", 0.95, 10, 4, nucleotides=True, distance=0.03).items())),
+     f"SELECT seq_idx, greatest(1, least(33 - 4, len - 3))::BIGINT AS required_aa1, greatest(1, least(33 - 4, len - 3))::BIGINT AS required_aas, greatest(1, least(33 - 10, len - 9))::BIGINT AS required_aan FROM ({ranked_sql()})")
 
 
 def _passing(s, d):
-    rk = ranked(s, d)
-    return _shared(s, d).join(rk.select(F.col("rank").alias("q"), "len"), "q").where("10 * shared >= 4 * len")
+    """Pairs that share two fifths of the later one's letters or more."""
+    return _shared(s, d, F.ceil(F.col("len") * 4 / 10))
 
 
 _add("candidates", lambda s, d: _passing(s, d).select("q", "r", "shared", "first_word"), f"{_SHARED} SELECT q, r, shared, first_word FROM sh JOIN rk ON rk.rank = q WHERE 10 * shared >= 4 * len")
@@ -141,9 +145,10 @@ _add("cluster_kmer_greedy_accurate", _greedy("accurate"), greedy_sql("accurate")
 # two sets: benchmark is the first; a document joins the item of which it has most words, half of them at least
 def _two(s, d):
     first = aa(s, d, name="benchmark", key="item_id")
-    a = K.postings(aa(s, d), _K, key="seq_idx").withColumnRenamed("seq_idx", "rank")
-    b = K.postings(first, _K, key="seq_idx").withColumnRenamed("seq_idx", "rank")
-    pairs = K.shared_words(a, b).join(first.select(F.col("seq_idx").alias("r"), F.length("seq").alias("len")), "r").where("10 * shared >= 5 * len")
+    a = greedy.stored(K.postings(first, _K, key="seq_idx").withColumnRenamed("seq_idx", "rank"))
+    b = greedy.stored(K.postings(aa(s, d), _K, key="seq_idx").withColumnRenamed("seq_idx", "rank"))
+    need = first.select(F.col("seq_idx").alias("q"), F.ceil(F.length("seq") * 5 / 10).alias("need"))
+    pairs = K.pairs_sharing(a, b, need, within=False).select(F.col("r").alias("q"), F.col("q").alias("r"), "shared")
     return pairs.groupBy("q").agg(F.min_by(F.struct("r", "shared"), F.struct(-F.col("shared"), "r")).alias("b")).select("q", "b.r", "b.shared")
 
 

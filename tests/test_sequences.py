@@ -181,6 +181,79 @@ def test_strands(spark):
     assert similarity.cluster(rows, Options.nucleotide(identity=0.9, both_strands=False)).where("is_rep").count() == 2
 
 
+def test_required_words_by_hand(spark):
+    """Figures worked out from the stated rules: n - w - w * ceil((1 - c) n), the shares, and 1/d - w for a distance."""
+    from kinstrand.functions import kmers as K
+
+    rows = spark.createDataFrame([(50,), (100,), (200,)], "len int")
+    get = lambda **k: {r.len: tuple(r)[1:] for r in rows.select("len", *(c.alias(n) for n, c in K.required_words("len", **k).items())).collect()}
+    # identity 0.99: in floating point one per cent of 100 is a little over 1, so two errors count: 98 - 4 and 95 - 10
+    assert {n: v[2] for n, v in get(identity=0.99, k=5).items()} == {50: 40, 100: 85, 200: 180}
+    assert get(identity=0.99, k=5)[100][:2] == (94, 94)
+    # identity 0.8: no weight on the worst case; shares 0.6 and 0.27 of tolerance 2
+    assert get(identity=0.8, k=5)[100] == (79, 60, 27)
+    assert get(identity=0.8, k=5, tolerance=4)[200] == (159, 126, 68)
+    assert get(identity=0.95, k=10, small=4, nucleotides=True, distance=0.1) == {n: (5, 5, 1) for n in (50, 100, 200)}
+    assert K.kept_share(0.79, 5) == 0.17 and K.kept_share(0.9, 2, 1) == 0.75 and K.kept_share(0.39, 2) == 0.0
+
+
+def test_pairs_sharing_loses_none(spark):
+    """All pairs of random multisets of words at their thresholds, with common words and queries made of nothing else."""
+    from kinstrand.functions import kmers as K
+
+    rng = random.Random(2)
+    rare, usual = [f"r{i}" for i in range(60)], [f"c{i}" for i in range(8)]
+    bags = [[rng.choice(usual if rng.random() < (0.3 if i % 5 else 1.0) else rare) for _ in range(rng.randrange(1, 25))] for i in range(70)]
+    bags += [bags[3] + ["r1"], bags[5]]
+    posts = greedy.stored(spark.createDataFrame([(i, w, b.count(w)) for i, b in enumerate(bags) for w in set(b)], "rank long, word string, cnt int"))
+    need = [max(1, len(b) // 3) for b in bags]
+    asked = spark.createDataFrame(list(enumerate(need)), "q long, need long")
+
+    def wanted(pairs):
+        out = {}
+        for q, r in pairs:
+            both = set(bags[q]) & set(bags[r])
+            n = sum(min(bags[q].count(w), bags[r].count(w)) for w in both)
+            if n >= need[q]:
+                out[q, r] = (n, min(both))
+        return out
+
+    got = {(x.q, x.r): (x.shared, x.first_word) for x in K.pairs_sharing(posts, posts, asked, True, 5).collect()}
+    assert got == wanted((q, r) for q in range(len(bags)) for r in range(q))
+    first, second = greedy.stored(posts.where("rank < 30")), greedy.stored(posts.where("rank >= 30"))
+    got = {(x.q, x.r): (x.shared, x.first_word) for x in K.pairs_sharing(first, second, asked.where("q < 30"), False, 5).collect()}
+    assert got == wanted((q, r) for q in range(30) for r in range(30, len(bags)))
+
+
+@pytest.mark.parametrize(("errors", "same_length"), [(0, False), (1, False), (2, False), (2, True), (3, True)])
+def test_prefix_pairs_are_all_pairs(spark, errors, same_length):
+    rng = random.Random(errors)
+    reads = {"".join(rng.choice("AC") for _ in range(rng.randrange(1, 30))) for _ in range(40)}
+    reads |= {r[: rng.randrange(1, len(r) + 1)] for r in list(reads)} | {r[:5] + rng.choice("ACGT") + r[6:] for r in list(reads) if len(r) > 6} | {"A", "G", "AC"}
+    order = sorted(reads, key=lambda r: (-len(r), r))
+    rows = spark.createDataFrame([(i, r, len(r)) for i, r in enumerate(order)], "rank long, seq string, len int")
+    got = {(x.q, x.r) for x in duplicates.prefix_pairs(rows, errors, same_length).collect()}
+    fits = lambda q, r: (len(q) == len(r) or not same_length) and sum(a != b for a, b in zip(q, r, strict=False)) <= errors
+    want = {(i, j) for i in range(len(order)) for j in range(i) if fits(order[i], order[j])}
+    assert got == want
+
+
+def test_distance_mode(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("ACGT") for _ in range(400))
+    other = list(base)
+    for i in range(7, 400, 14):  # 29 of 400 letters: 7.25 %
+        other[i] = "ACGT"[("ACGT".index(other[i]) + 1) % 4]
+    rows = spark.createDataFrame([(0, base), (1, "".join(other))], "seq_idx long, seq string")
+    count = lambda **k: similarity.cluster(rows, Options.nucleotide(word=6, **k)).where("is_rep").count()
+    assert count(distance=0.1) == 1 and count(distance=0.07) == 2 and count(identity=0.95) == 2
+    for bad in ({"distance": 0.1, "identity": 0.9}, {"distance": 1.5}):
+        with pytest.raises(ValueError, match="distance"):
+            Options(**bad)
+    with pytest.warns(UserWarning, match="too long"):
+        Options.nucleotide(distance=0.1)
+
+
 def test_options():
     for bad in ({"identity": 0.2}, {"word": 9}, {"mode": "x"}, {"tolerance": 9}, {"global_identity": False}, {"both_strands": True}):
         with pytest.raises(ValueError, match="."):
@@ -189,14 +262,14 @@ def test_options():
         Options(threads=4)
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_representatives_are_the_greedy_ones(spark, few):
-    rng = random.Random(few)
+@pytest.mark.parametrize("seed", [0, 1])
+def test_representatives_are_the_greedy_ones(spark, seed):
+    rng = random.Random(seed)
     pairs = {(max(a, b), min(a, b)) for a, b in ((rng.randrange(80), rng.randrange(80)) for _ in range(160)) if a != b}
     want = {}
     for q in range(80):
         want[q] = not any(want[r] for a, r in pairs if a == q)
-    got = {r["rank"]: r.is_rep for r in greedy.representatives(spark.createDataFrame(sorted(pairs), "q long, r long"), few=few).collect()}
+    got = {r["rank"]: r.is_rep for r in greedy.representatives(spark.createDataFrame(sorted(pairs), "q long, r long")).collect()}
     assert got == {k: v for k, v in want.items() if any(k in p for p in pairs)}
 
 
