@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinstrand.operators.ranking import numbered
+
 
 def _in_cluster():
     return Window.partitionBy("cluster_id")
@@ -71,9 +73,9 @@ def renumber(clusters: DataFrame, *order: Column | str) -> DataFrame:
     """Consecutive cluster ids in the order of ``order`` (columns that are equal within a cluster), old ids last; consecutive members."""
     heads = clusters.groupBy("cluster_id").agg(*(F.first(o if isinstance(o, Column) else F.col(o)).alias(f"k{i}") for i, o in enumerate(order)), F.count("*").alias("n"))
     keys = [F.desc(f"k{i}") for i in range(len(order))]
-    numbered = heads.select(F.col("cluster_id").alias("old"), (F.row_number().over(Window.orderBy(*keys, "cluster_id")) - 1).alias("new"))
+    new = numbered(heads, *keys, "cluster_id", name="new").select(F.col("cluster_id").alias("old"), "new")
     members = F.row_number().over(_in_cluster().orderBy("member_no")) - 1
-    out = clusters.join(numbered, F.col("cluster_id") == F.col("old")).withColumn("member_no", _long(members))
+    out = clusters.join(new, F.col("cluster_id") == F.col("old")).withColumn("member_no", _long(members))
     return out.withColumn("cluster_id", _long(F.col("new"))).select(*clusters.columns)
 
 
@@ -167,8 +169,8 @@ def levels(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def sort_levels(table: DataFrame, *numbers: int) -> DataFrame:
-    """A level table in order of the given levels: cluster, then representatives first."""
-    return table.orderBy(*(x for i in numbers for x in (F.asc(f"cid_{i}"), F.desc(f"rep_{i}"))), "id")
+    """A level table with ``place``, from 1, in order of the given levels: cluster, then representatives first."""
+    return numbered(table, *(x for i in numbers for x in (F.asc(f"cid_{i}"), F.desc(f"rep_{i}"))), "id", start=1)
 
 
 def tree(parents: DataFrame, children: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinstrand.functions import kmers as K
 from kinstrand.functions import sequences as S
+from kinstrand.operators.ranking import numbered
 
 
 def fragment_postings(sequences: DataFrame, k: int, size: int) -> DataFrame:
@@ -55,7 +56,7 @@ def paired_representatives(clusters: DataFrame, mates: DataFrame) -> DataFrame:
 def sort_tree(tree: DataFrame, by: str = "no") -> DataFrame:
     """A cluster tree with ``place``: most leaves first (no), longest member first (len) or by the representative's name (des)."""
     order = {"no": F.desc("n_leaves"), "len": F.desc(F.array_max(F.transform("nodes", lambda x: x.len))), "des": F.asc("rep")}[by]
-    return tree.withColumn("place", F.row_number().over(Window.orderBy(order, "cluster_id")).cast("long"))
+    return numbered(tree, order, "cluster_id", start=1)
 
 
 def weighted_sizes(clusters: DataFrame, inner: DataFrame) -> DataFrame:

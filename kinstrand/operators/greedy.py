@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions.storage import forget, shared_folder, stored
+from kinstrand.operators.ranking import numbered
 
 __all__ = ["assign", "number_representatives", "representatives", "shared_folder", "stored"]
 
@@ -59,11 +60,6 @@ def assign(ranked: DataFrame, pairs: DataFrame, mode: str = "fast") -> DataFrame
     return out.join(number_representatives(out.where("is_rep").select("rank")), "rep_rank")
 
 
-def number_representatives(reps: DataFrame, width: int = 4096) -> DataFrame:
-    """(rep_rank, cluster_id): ordinals from 0 by rank. Ranks are counted in ranges first, so no task sees them all."""
-    keyed = reps.withColumn("part", F.floor(F.col("rank") / width))
-    counts = keyed.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = keyed.join(counts.select("part", before.alias("before")), "part")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("rank")) - 1
-    return numbered.select(F.col("rank").alias("rep_rank"), (F.col("before") + inside).cast("long").alias("cluster_id"))
+def number_representatives(reps: DataFrame) -> DataFrame:
+    """(rep_rank, cluster_id): ordinals from 0 by rank."""
+    return numbered(reps.select(F.col("rank").alias("rep_rank")), "rep_rank", name="cluster_id")

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinstrand.functions.storage import stored
+
+
+def numbered(rows: DataFrame, *order: str | Column, name: str = "place", start: int = 0) -> DataFrame:
+    """``rows`` with ``name``: their places from ``start`` in a total order.
+
+    Rows are dealt by ranges of the order and stored; counts by range, as many as there are partitions, give each range its
+    offset, and places within a range are a window of its own. No task sees all rows.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + (start - 1)
+    placed = dealt.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")  # a row for each partition
+    return placed.withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__range", "__inside", "__before")
+
 
 def rank_by_length(sequences: DataFrame, seq: str = "seq", order: str = "seq_idx") -> DataFrame:
     """``rank``: 0 for the longest, equal lengths in input order.

@@ -232,7 +232,7 @@ def cluster(sequences: DataFrame, options: Options = Options()) -> DataFrame:  #
     keep = ["cluster_id", "member_no", "seq_idx", "len", "unit", "is_rep", "strand", "identity", "distance", "q_beg", "q_end", "r_beg", "r_end"]
     if options.sort_clusters:
         size = F.count("*").over(Window.partitionBy("cluster_id"))
-        heads = out.withColumn("size", size).where("is_rep").select(F.col("cluster_id").alias("old"), (F.row_number().over(Window.orderBy(F.desc("size"), "cluster_id")) - 1).cast("long").alias("new"))
+        heads = ranking.numbered(out.withColumn("size", size).where("is_rep").select("cluster_id", "size"), F.desc("size"), "cluster_id", name="new").withColumnRenamed("cluster_id", "old")
         out = out.join(heads, F.col("cluster_id") == F.col("old")).withColumn("cluster_id", F.col("new"))
     return out.select(*keep)
 

@@ -78,7 +78,7 @@ _add("clstr_rev_expand", lambda s, d: C.expand(parents(s, d), clusters(s, d)), f
 _add("clstr_levels", lambda s, d: C.levels(clusters(s, d), parents(s, d)), f"""{_P}, h AS (SELECT cluster_id, id AS up FROM c WHERE is_rep)
   SELECT c.id, c.len, c.cluster_id AS cid_1, c.is_rep::BIGINT AS rep_1, coalesce(p.cluster_id, -1)::BIGINT AS cid_2, coalesce((p.is_rep AND c.id = p.id)::BIGINT, 0)::BIGINT AS rep_2
   FROM c JOIN h USING (cluster_id) LEFT JOIN p ON p.id = h.up""")
-_add("clstr_sort_levels", lambda s, d: C.sort_levels(C.levels(clusters(s, d), parents(s, d)), 2, 1).limit(500), SQL["clstr_levels"] + " ORDER BY cid_2, rep_2 DESC, cid_1, rep_1 DESC, c.id LIMIT 500")
+_add("clstr_sort_levels", lambda s, d: C.sort_levels(C.levels(clusters(s, d), parents(s, d)), 2, 1), f"SELECT *, row_number() OVER (ORDER BY cid_2, rep_2 DESC, cid_1, rep_1 DESC, id) AS place FROM ({SQL['clstr_levels']})")
 _add("clstr_tree", lambda s, d: C.tree(parents(s, d), clusters(s, d)).select("cluster_id", "rep", "n_leaves", F.to_json(F.transform("nodes", lambda x: F.struct(x.id, x.leaves))).alias("nodes")), f"""{_P}, t AS (SELECT h.id, list(m.id ORDER BY m.member_no) AS leaves FROM c h JOIN c m USING (cluster_id) WHERE h.is_rep GROUP BY 1)
   SELECT cluster_id, max(p.id) FILTER (is_rep) AS rep, sum(len(leaves))::BIGINT AS n_leaves,
     '[' || string_agg('{{"id":"' || p.id || '","leaves":["' || array_to_string(leaves, '","') || '"]}}', ',' ORDER BY member_no) || ']' AS nodes FROM p JOIN t USING (id) GROUP BY 1""")

@@ -23,13 +23,14 @@ def _add(name, query, sql=None):
 
 
 def _turns(s, d, nucleotides=False):
-    """Whole turns of conversations as sequences."""
-    rows = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_idx"), S.letters_only(F.coalesce("text", F.lit(""))).alias("seq"))
-    rows = rows.groupBy("seq_idx").agg(F.max("seq").alias("seq")).where(F.length("seq") > 10)
+    """Whole turns of conversations as sequences; turns of one number are told apart by the order of role and text."""
+    same = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = table(s, d, "conversations").withColumn("same", same)
+    rows = rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 100 + F.col("same") - 1).alias("seq_idx"), S.letters_only(F.coalesce("text", F.lit(""))).alias("seq")).where(F.length("seq") > 10)
     return rows.withColumn("seq", S.as_nucleotides("seq")) if nucleotides else rows
 
 
-_TURNS = f"SELECT conv_id * 1000 + turn AS seq_idx, max({AA}) AS seq FROM conversations GROUP BY 1 HAVING length(max({AA})) > 10"
+_TURNS = f"SELECT (conv_id * 1000 + turn) * 100 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) - 1 AS seq_idx, {AA} AS seq FROM conversations QUALIFY length({AA}) > 10"
 
 
 def _items(s, d):
@@ -110,7 +111,7 @@ _H = f"WITH h AS ({HITS})"
 _C = ["qid", "sid", "hsp_no", "frame", "aln_len"]
 _add("hsp_strand_filter", lambda s, d: hsp.top_strand(_hits(s, d)).select(_C), f"{_H} SELECT qid, sid, hsp_no, frame, aln_len FROM h QUALIFY frame = first(frame) OVER (PARTITION BY qid, sid ORDER BY hsp_no)")
 _add("hsp_best_of_subject", lambda s, d: hsp.best_of_subject(_hits(s, d)).select(_C), f"{_H} SELECT qid, sid, hsp_no, frame, aln_len FROM h WHERE hsp_no = 1")
-_add("hsp_last_round", lambda s, d: hsp.last_round(_hits(s, d).where("sid = 0")).select(_C), f"""{_H}, u AS (SELECT *, CASE WHEN score > lag(score) OVER (PARTITION BY qid ORDER BY hsp_no) THEN 1 ELSE 0 END AS up FROM h WHERE sid = 0), r AS (SELECT *, sum(up) OVER (PARTITION BY qid ORDER BY hsp_no) AS round FROM u)
+_add("hsp_last_round", lambda s, d: hsp.last_round(_hits(s, d)).select(_C), f"""{_H}, u AS (SELECT *, CASE WHEN score > lag(score) OVER (PARTITION BY qid ORDER BY hsp_no, sid) THEN 1 ELSE 0 END AS up FROM h), r AS (SELECT *, sum(up) OVER (PARTITION BY qid ORDER BY hsp_no, sid) AS round FROM u)
   SELECT qid, sid, hsp_no, frame, aln_len FROM r QUALIFY round = max(round) OVER (PARTITION BY qid)""")
 _add("hsp_circular", lambda s, d: hsp.rebase_circular(_hits(s, d)).select("qid", "sid", "hsp_no", "qfrom", "qend", "sfrom", "send"), f"""{_H}, b AS (SELECT *, first(least(qfrom, qend)) OVER w - 1 AS q0, first(least(sfrom, send)) OVER w - 1 AS s0 FROM h WINDOW w AS (PARTITION BY qid, sid ORDER BY hsp_no))
   SELECT qid, sid, hsp_no, """ + ", ".join(f"(CASE WHEN {c} - {o} <= 0 THEN {c} - {o} + {n} ELSE {c} - {o} END)::BIGINT AS {c}" for c, o, n in (("qfrom", "q0", "q_len"), ("qend", "q0", "q_len"), ("sfrom", "s0", "s_len"), ("send", "s0", "s_len"))) + " FROM b")
@@ -145,10 +146,10 @@ _add("annotate_refs", lambda s, d: formats.annotate_references(table(s, d, "nati
 # incremental: conversations of even length against those before them
 def _incremental(s, d):
     rows = _turns(s, d)
-    first = rows.where("seq_idx % 1000 = 0")
+    first = rows.where("seq_idx % 100000 < 100")
     base = similarity.cluster(first, Options(identity=0.8))
     reps = first.join(base.where("is_rep").select("seq_idx"), "seq_idx", "left_semi")
-    hits, rest = similarity.incremental(reps, rows.where("seq_idx % 1000 > 0"), Options(identity=0.8))
+    hits, rest = similarity.incremental(reps, rows.where("seq_idx % 100000 >= 100"), Options(identity=0.8))
     return hits.select(F.col("q").alias("seq_idx"), F.lit("old").alias("joins")).unionByName(rest.select("seq_idx", F.when(F.col("is_rep"), "none").otherwise("new").alias("joins")))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions import kmers as K
@@ -54,8 +53,9 @@ _add("pool_union", lambda s, d: table(s, d, "documents").select(F.concat(F.lit("
      "SELECT 'd|' || doc_id AS id, text FROM documents UNION ALL SELECT 'b|' || item_id, text FROM benchmark")
 _add("seq_abundance", lambda s, d: table(s, d, "orders").select("o_orderkey", S.abundance(F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("read_abundance_"), F.col("o_orderkey") % 9 + 1)).otherwise("none")).alias("abundance")),
      "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 9 + 1 ELSE 1 END::BIGINT AS abundance FROM orders")
-_add("taxon_fields", lambda s, d: table(s, d, "nation").select("n_nationkey", F.concat(F.lit("k__"), "n_name", F.lit(";p__x;g__Gen;s__sp")).alias("t")).select("n_nationkey", S.taxon("t", "k").alias("k"), S.taxon("t", "c").alias("c"), S.species_name(S.taxon("t", "g"), S.taxon("t", "s")).alias("s")),
-     "SELECT n_nationkey, n_name AS k, NULL::VARCHAR AS c, 'Gen_sp' AS s FROM nation")
+_LINEAGE = lambda s, d: table(s, d, "part").select("p_partkey", F.concat_ws(";", F.concat(F.lit("k__"), F.translate("p_brand", "#", "_")), F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("g__"), F.element_at(F.split("p_type", " "), 1))), F.concat(F.lit("s__"), F.when(F.col("p_size") % 2 > 0, F.concat("p_type", F.lit("."))).otherwise(""), F.translate("p_name", " ", "_"))).alias("t"))
+_add("taxon_fields", lambda s, d: _LINEAGE(s, d).select("p_partkey", S.taxon("t", "k").alias("k"), S.taxon("t", "g").alias("g"), S.species_name(S.taxon("t", "g"), S.taxon("t", "s")).alias("s")),
+     "SELECT p_partkey, translate(p_brand, '#', '_') AS k, g, CASE WHEN g IS NULL OR starts_with(x, g) THEN x ELSE g || '_' || x END AS s FROM (SELECT *, CASE WHEN p_size % 3 > 0 THEN split_part(p_type, ' ', 1) END AS g, CASE WHEN p_size % 2 > 0 THEN p_type || '.' ELSE '' END || translate(p_name, ' ', '_') AS x FROM part)")
 
 
 # mates: a user turn and the assistant turn after it
@@ -180,6 +180,8 @@ def _reads(s, d):
 # the earliest read that another one is a prefix of is a representative: were it a prefix itself, there would be an earlier one
 _add("cluster_prefix_dup", lambda s, d: duplicates.cluster(_reads(s, d), 0, same_length=False).select("seq_idx", "rank", "rep_rank", "is_rep"),
      f"{_PREFIX} SELECT rk.seq_idx, rk.rank, coalesce(p.r, s.rank) AS rep_rank, p.r IS NULL AND s.rank = rk.rank AS is_rep FROM rk JOIN s USING (seq) LEFT JOIN p ON p.q = s.rank")
-_add("dup_abundance", lambda s, d: duplicates.exact(ranked(s, d)).where("is_rep").select("seq_idx", "abundance", F.row_number().over(Window.orderBy(F.desc("abundance"), "rank")).cast("long").alias("place")),
+_add("dup_abundance", lambda s, d: ranking.numbered(duplicates.exact(ranked(s, d)).where("is_rep").select("seq_idx", "rank", "abundance"), F.desc("abundance"), "rank", start=1).drop("rank"),
      f"SELECT seq_idx, abundance, row_number() OVER (ORDER BY abundance DESC, rank) AS place FROM (SELECT seq_idx, rank, count(*) OVER w AS abundance, min(rank) OVER w AS m FROM ({ranked_sql()}) WINDOW w AS (PARTITION BY seq)) WHERE m = rank")
-_add("dup_primer", lambda s, d: duplicates.common_primer(aa(s, d).select(F.concat(F.lit("ACGTACGTACGTACGTAC"), "seq").alias("seq"))), "SELECT 18::BIGINT AS primer_length")
+# reads that begin with the same letters as far as two texts of one language do: the primer is what all of them share
+_add("dup_primer", lambda s, d: duplicates.common_primer(table(s, d, "part").select(F.regexp_replace(F.concat(F.lit("PROMO"), F.substring("p_name", 1, 40), F.lit("")), " ", "").alias("seq")), least=3),
+     "WITH r AS (SELECT replace('PROMO' || substring(p_name, 1, 40), ' ', '') AS seq FROM part), e AS (SELECT min(seq) AS a, max(seq) AS b FROM r), n AS (SELECT max(i) AS n FROM e, range(0, 60) AS t(i) WHERE i <= least(length(a), length(b)) AND left(a, i::INT) = left(b, i::INT)) SELECT CASE WHEN n >= 3 THEN n ELSE 0 END::BIGINT AS primer_length FROM n")

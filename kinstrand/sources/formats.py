@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
+from kinstrand.operators.ranking import numbered
 
 
 def _numbered(text: DataFrame) -> DataFrame:
@@ -38,13 +39,8 @@ def sequences(records: DataFrame, least: int = 10, upper: bool = True) -> tuple[
 
 
 def number(records: DataFrame) -> DataFrame:
-    """``seq_idx``: dense from 0 by (file, n); one count for each range of n, then windows within ranges."""
-    part = F.struct("file", F.floor(F.col("n") / 8192).alias("g"))
-    keyed = records.withColumn("__p", part)
-    counts = keyed.groupBy("__p").agg(F.count("*").alias("c"))
-    before = counts.select("__p", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy("n")) - 1
-    return keyed.withColumn("__i", inside).join(before, "__p").withColumn("seq_idx", (F.col("before") + F.col("__i")).cast("long")).drop("__p", "__i", "before")
+    """``seq_idx``: dense from 0 in file order."""
+    return numbered(records, "file", "n", name="seq_idx")
 
 
 def read_mates(spark: SparkSession, first: str, second: str, fastq: bool = False) -> DataFrame:
