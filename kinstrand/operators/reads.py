@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -65,8 +67,17 @@ def link_mates(pairs: DataFrame, least: int = 10, errors: int = 1) -> DataFrame:
         wrong = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x != y) | ((x == "N") & (y == "N")), 1).otherwise(0))
         return F.aggregate(wrong, F.lit(0), lambda s, x: s + x)
 
-    k = F.get(F.filter(F.sequence(F.col("n"), F.lit(least)), lambda k: window(k) <= errors), F.lit(0))
-    joined = both.withColumn("k", k).where("k is not null").withColumn("head", F.length("r1") - F.col("k"))
+    # by pigeonhole, of errors + 1 blocks at the beginning of b one stands in r1 as it is; only there the overlap is gone through
+    edges = [least * i // (errors + 1) for i in range(errors + 2)]
+
+    def may(k):
+        at = F.length("r1") - k
+        same = [F.substr("r1", at + x + 1, F.lit(y - x)) == F.substr("b", F.lit(x + 1), F.lit(y - x)) for x, y in zip(edges, edges[1:], strict=False)]
+        return reduce(or_, same)
+
+    both = both.withColumn("ks", F.filter(F.sequence(F.col("n"), F.lit(least)), may))
+    # a generator, so that a row's overlap is looked for once
+    joined = both.select("*", F.explode(F.slice(F.filter("ks", lambda k: window(k) <= errors), 1, 1)).alias("k")).withColumn("head", F.length("r1") - F.col("k"))
     cells = F.transform(
         F.sequence(F.lit(1), F.col("k")),
         lambda i: F.struct(i.alias("i"), F.substr("r1", F.col("head") + i, F.lit(1)).alias("x"), F.substr("b", i, F.lit(1)).alias("y")),

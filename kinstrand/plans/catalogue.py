@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinstrand.plans import cluster_queries, read_queries, sequence_queries
+from kinstrand.plans import cluster_queries, read_queries, sequence_queries, source_queries
 
-_MODULES = (sequence_queries, cluster_queries, read_queries)
+_MODULES = (sequence_queries, cluster_queries, read_queries, source_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

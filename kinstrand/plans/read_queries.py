@@ -50,7 +50,15 @@ _add("dup_mismatch", lambda s, d: duplicates.cluster(ranking.rank_by_length(_tur
   g(i, reps) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT g.i + 1, CASE WHEN list_has_any(nb.ns, g.reps) THEN g.reps ELSE list_append(g.reps, nb.rank) END FROM g JOIN nb ON nb.i = g.i + 1),
   reps AS (SELECT unnest(reps) AS r FROM g WHERE i = (SELECT max(i) FROM g)), best AS (SELECT q, min(r) AS r FROM p WHERE r IN (FROM reps) AND q NOT IN (FROM reps) GROUP BY 1)
   SELECT rk.seq_idx, rk.rank, coalesce(best.r, c.rank) AS rep_rank, coalesce(best.r, c.rank) = rk.rank AS is_rep FROM rk JOIN c USING (seq) LEFT JOIN best ON q = c.rank""")
-_add("lap_overlap", lambda s, d: reads.overlap_clusters(ranking.rank_by_length(_turns(s, d)), 12).select("seq_idx", "rank", "is_rep", "rep_rank", "overlap"))
+_add("lap_overlap", lambda s, d: reads.overlap_clusters(ranking.rank_by_length(_turns(s, d, True)), 12).select("seq_idx", "rank", "is_rep", "rep_rank", F.col("overlap").cast("long").alias("overlap")),
+     f"""WITH RECURSIVE t AS (SELECT seq_idx, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS})),
+  rk AS (SELECT *, row_number() OVER (ORDER BY length(seq) DESC, seq_idx) - 1 AS rank, length(seq) AS n FROM t), qs AS (SELECT rank, '+' AS strand, seq, n FROM rk UNION ALL SELECT rank, '-', reverse(translate(seq, 'ACGT', 'TGCA')), n FROM rk),
+  qe AS (SELECT rank, strand, n, k, left(seq, k::INT) AS h, right(seq, k::INT) AS t FROM (SELECT *, unnest(range(12, n + 1)) AS k FROM qs)), re AS (SELECT rank, k, left(seq, k::INT) AS h, right(seq, k::INT) AS t FROM (SELECT *, unnest(range(12, n + 1)) AS k FROM rk)),
+  p AS MATERIALIZED (SELECT a.rank AS q, b.rank AS r, strand, a.k AS overlap, 0 AS side FROM qe a JOIN re b ON a.k = b.k AND a.h = b.t AND b.rank < a.rank AND a.k < a.n UNION ALL SELECT a.rank, b.rank, strand, a.k, 1 FROM qe a JOIN re b ON a.k = b.k AND a.t = b.h AND b.rank < a.rank),
+  nb AS (SELECT rk.rank, coalesce(list(p.r) FILTER (p.r IS NOT NULL), []) AS ns FROM rk LEFT JOIN p ON p.q = rk.rank GROUP BY rk.rank),
+  g(i, reps) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT g.i + 1, CASE WHEN list_has_any(nb.ns, g.reps) THEN g.reps ELSE list_append(g.reps, nb.rank) END FROM g JOIN nb ON nb.rank = g.i + 1),
+  reps AS (SELECT unnest(reps) AS r FROM g WHERE i = (SELECT max(i) FROM g)), best AS (SELECT q, r, overlap FROM p WHERE r IN (FROM reps) AND q NOT IN (FROM reps) QUALIFY row_number() OVER (PARTITION BY q ORDER BY side, overlap DESC, strand, r) = 1)
+  SELECT seq_idx, rank, best.q IS NULL AS is_rep, coalesce(best.r, rank) AS rep_rank, overlap FROM rk LEFT JOIN best ON best.q = rank""")
 _add("overlap_pairs", lambda s, d: reads.overlap_pairs(ranking.rank_by_length(_turns(s, d)), 12, both_strands=False).select("q", "r", F.col("overlap").cast("long").alias("overlap"), F.col("side").cast("long").alias("side")),
      f"""WITH rk AS (SELECT *, row_number() OVER (ORDER BY length(seq) DESC, seq_idx) - 1 AS rank, length(seq) AS n FROM ({_TURNS})),
   c AS (SELECT rank, seq, n, unnest(range(12, n + 1)) AS k FROM rk),
@@ -65,7 +73,13 @@ def _mates(s, d):
     return rows.select(F.col("seq_idx").alias("id"), F.substr("seq", F.lit(1), F.col("h") + 6).alias("r1"), S.reverse_complement(F.substr("seq", F.col("h") - 5, F.length("seq"))).alias("r2"))
 
 
-_add("read_link", lambda s, d: reads.link_mates(_mates(s, d), 10, 1))
+_add("read_link", lambda s, d: reads.link_mates(_mates(s, d), 10, 1), f"""WITH t AS (SELECT seq_idx AS id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS}) WHERE length(seq) >= 40),
+  m AS (SELECT id, substring(seq, 1, (length(seq) // 2 + 6)::INT) AS a, substring(seq, (length(seq) // 2 - 5)::INT) AS b FROM t),
+  k AS (SELECT *, unnest(range(10, least(length(a), length(b)) + 1))::INT AS k FROM m), w AS (SELECT *, hamming(right(a, k), left(b, k)) AS wrong FROM k),
+  x AS (SELECT * FROM w WHERE wrong <= 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1),
+  p AS (SELECT *, coalesce(list_filter(range(1, k + 1), lambda i: substring(right(a, k), i::INT, 1) <> substring(left(b, k), i::INT, 1))[1] + length(a) - k, 0) AS spot FROM x)
+  SELECT id, c AS contig, CASE WHEN c = 1 THEN a || substring(b, k + 1) ELSE left(a, length(a) - k) || b END AS seq, (length(a) + length(b) - k)::BIGINT AS length, k::BIGINT AS overlap, wrong::BIGINT AS mismatch_no, CASE WHEN spot > 0 THEN spot::VARCHAR ELSE '' END AS mismatch_pos
+  FROM (SELECT *, unnest(range(1, wrong + 2)) AS c FROM p)""")
 _add("read_join", lambda s, d: reads.join_mates(_mates(s, d), 30), f"""WITH t AS (SELECT seq_idx AS id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS}) WHERE length(seq) >= 40),
   m AS (SELECT id, substring(seq, 1, (length(seq) // 2 + 6)::INT) AS r1, substring(seq, (length(seq) // 2 - 5)::INT) AS b FROM t) SELECT id, substring(r1, 1, 30) || right(b, 30) AS seq FROM m""")
 
@@ -83,7 +97,8 @@ _add("chimera_detect", lambda s, d: reads.chimeras(_crossed(s, d)))
 _add("seq_consensus", lambda s, d: evaluation.consensus(_items(s, d)), f"""WITH t AS (SELECT substring({AA}, 1, 45) AS seq FROM benchmark), l AS (SELECT substring(seq, i::INT, 1) AS letter, i AS place FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM t)),
   c AS (SELECT place, letter, count(*) AS c, sum(count(*)) OVER (PARTITION BY place) AS n FROM l GROUP BY 1, 2)
   SELECT place, letter, c / n AS share, n::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY place ORDER BY c DESC, letter) = 1""")
-_add("consensus_columns", lambda s, d: evaluation.consensus_length(evaluation.consensus(_items(s, d))))
+_add("consensus_columns", lambda s, d: evaluation.consensus_length(evaluation.consensus(_items(s, d), 60), low=0.2), """WITH c AS (%s), w AS (SELECT place, sum((share < 0.2)::INT) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w, max(place) OVER () AS m FROM c)
+  SELECT coalesce(min(place - 1) FILTER (w = 3 AND place >= m * 0.33), max(place))::BIGINT AS keep FROM w""" % SQL["seq_consensus"].replace("1, 45)", "1, 60)"))
 _add("splice_ref", lambda s, d: pipelines.splice(_turns(s, d, True), _turns(s, d, True).select("seq_idx", F.lit(5).alias("start")), _turns(s, d, True).select("seq_idx", F.length("seq").alias("start")), 20, 20),
      f"""WITH t AS (SELECT seq_idx, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS})) SELECT seq_idx, rpad(substring(seq, 5, 20), 20, 'N') AS r1, reverse(translate(lpad(right(seq, 20), 20, 'N'), 'ACGT', 'TGCA')) AS r2 FROM t""")
 
@@ -119,8 +134,18 @@ _add("hsp_global_identity", lambda s, d: hsp.identity(_hits(s, d)), f"""{_H} SEL
 _add("hsp_local_identity", lambda s, d: hsp.identity(_hits(s, d), local=True), f"{_H} SELECT qid, sid, iden AS identity, aln_len, evalue, aln_len / 500 AS q_cover, aln_len / 400 AS s_cover FROM h WHERE hsp_no = 1")
 _add("hsp_accept", lambda s, d: hsp.accept(hsp.identity(_hits(s, d), local=True), 0.95, 0.01, 0.05, 0.1).select("qid", "sid"), f"{_H} SELECT qid, sid FROM h WHERE hsp_no = 1 AND (iden / 100 > 0.95 OR evalue < 0.01) AND aln_len / 500 >= 0.05 AND aln_len / 400 >= 0.1")
 _add("hsp_report", lambda s, d: hsp.report(_hits(s, d), 60), f"""{_H} SELECT qid, sid, count(*)::BIGINT AS n_hits, sum(aln_len)::BIGINT AS aligned, string_agg(printf('%d-%d:%d-%d', qfrom, qend, sfrom, send), ',' ORDER BY hsp_no) AS segments FROM h GROUP BY 1, 2 HAVING sum(aln_len) >= 60""")
-_add("hsp_colinear", lambda s, d: hsp.colinear(_hits(s, d)).select(_C))
-_add("hsp_find", lambda s, d: hsp.find(_turns(s, d).select(F.col("seq_idx").alias("id"), "seq"), _items(s, d).select((-F.col("seq_idx") - 1).alias("id"), "seq"), 11).select("qid", "sid", "aln_len", "qfrom", "sfrom"))
+_CLASH = """k.f <> h.frame OR least(k.qb, h.qb) > greatest(k.qa, h.qa) OR least(k.sb, h.sb) > greatest(k.sa, h.sa)
+    OR (h.qa < k.qa) <> CASE WHEN h.frame IN ('++', '--') THEN h.sa < k.sa ELSE h.sb > k.sb END"""
+_add("hsp_colinear", lambda s, d: hsp.colinear(_hits(s, d)).select(_C), f"""WITH RECURSIVE h AS MATERIALIZED (SELECT *, least(qfrom, qend) AS qa, greatest(qfrom, qend) AS qb, least(sfrom, send) AS sa, greatest(sfrom, send) AS sb FROM ({HITS})),
+  g(qid, sid, i, stay, kept) AS (SELECT qid, sid, 1::BIGINT, true, [{{'f': frame, 'qa': qa, 'qb': qb, 'sa': sa, 'sb': sb}}] FROM h WHERE hsp_no = 1
+    UNION ALL SELECT qid, sid, i, stay, CASE WHEN stay THEN list_append(kept, new) ELSE kept END FROM (SELECT g.qid, g.sid, h.hsp_no AS i, len(list_filter(g.kept, lambda k: {_CLASH})) = 0 AS stay, kept, {{'f': h.frame, 'qa': h.qa, 'qb': h.qb, 'sa': h.sa, 'sb': h.sb}} AS new
+      FROM g JOIN h ON h.qid = g.qid AND h.sid = g.sid AND h.hsp_no = g.i + 1))
+  SELECT h.qid, h.sid, hsp_no, frame, aln_len FROM g JOIN h ON h.qid = g.qid AND h.sid = g.sid AND h.hsp_no = g.i WHERE stay""")
+_add("hsp_find", lambda s, d: hsp.find(_turns(s, d).select(F.col("seq_idx").alias("id"), "seq"), _items(s, d).select((-F.col("seq_idx") - 1).alias("id"), "seq"), 11).select("qid", "sid", "aln_len", "qfrom", "sfrom"),
+     f"""WITH q AS (SELECT seq_idx AS qid, unnest(range(length(seq) - 10)) AS qa, seq FROM ({_TURNS}) WHERE length(seq) >= 11), s AS (SELECT -item_id - 1 AS sid, unnest(range(length(seq) - 10)) AS sa, seq FROM (SELECT item_id, {AA} AS seq FROM benchmark) WHERE length(seq) >= 11),
+  m AS (SELECT qid, sid, qa, sa - qa AS dia FROM (SELECT qid, qa, substring(seq, (qa + 1)::INT, 11) AS word FROM q) JOIN (SELECT sid, sa, substring(seq, (sa + 1)::INT, 11) AS word FROM s) USING (word)),
+  n AS (SELECT *, CASE WHEN qa - lag(qa) OVER w <= 11 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY qid, sid, dia ORDER BY qa)), i AS (SELECT *, sum(new) OVER (PARTITION BY qid, sid, dia ORDER BY qa) AS island FROM n)
+  SELECT qid, sid, (max(qa) - min(qa) + 11)::BIGINT AS aln_len, (min(qa) + 1)::BIGINT AS qfrom, (min(qa) + dia + 1)::BIGINT AS sfrom FROM i GROUP BY qid, sid, dia, island""")
 _add("psi_windows", lambda s, d: hsp.search_window(ranking.rank_by_length(_turns(s, d)), 0.8), f"SELECT row_number() OVER (ORDER BY length(seq) DESC, seq_idx) - 1 AS rank, ceil(length(seq) * 0.8)::BIGINT AS low, floor(length(seq) / 0.8)::BIGINT AS high FROM ({_TURNS})")
 
 
@@ -132,7 +157,9 @@ def _hit_clusters(s, d):
     return hsp.cluster(ranked, pairs.join(keys, "sid", "left_semi")).select("rank", "rep_rank", "is_rep")
 
 
-_add("cluster_hits", _hit_clusters)
+# each order may join one other only, the third of its number, so a chain of joins settles who represents
+_add("cluster_hits", _hit_clusters, """WITH RECURSIVE o AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT a.k AS q, b.k AS r FROM o a JOIN o b ON b.k = a.k // 3 WHERE a.k % 4 > 0 AND a.k <> b.k),
+  s(k, is_rep, rep) AS (SELECT k, true, k FROM o WHERE k NOT IN (SELECT q FROM e) UNION ALL SELECT q, NOT is_rep, CASE WHEN is_rep THEN s.k ELSE q END FROM e JOIN s ON s.k = r) SELECT k AS rank, rep AS rep_rank, is_rep FROM s""")
 
 # formats
 _add("clstr_text", lambda s, d: formats.cluster_text(clusters(s, d).withColumn("unit", F.lit("aa"))), f"""WITH c AS ({CLUSTERS}) SELECT cluster_id, '>Cluster ' || cluster_id || chr(10) || string_agg(member_no || chr(9) || len || 'aa, >' || id || '... ' || CASE WHEN is_rep THEN '*' ELSE 'at ' || printf('%.2f', identity) || '%' END, chr(10) ORDER BY member_no) AS value FROM c GROUP BY 1""")

@@ -117,6 +117,12 @@ def cluster_text(clusters: DataFrame, places: bool = False, width: int = 0) -> D
     return out.select("cluster_id", F.concat(head, F.lit("\n"), F.array_join("l", "\n")).alias("value"))
 
 
+def chimeric(clusters: DataFrame, chimeras: DataFrame) -> DataFrame:
+    """``clusters`` with ``note``, which their header carries: the clusters of both parents, from (cluster_id, parent_head, parent_tail)."""
+    note = F.format_string("chimeric_parent1=%s,chimeric_parent2=%s", F.col("parent_head").cast("string"), F.col("parent_tail").cast("string"))
+    return clusters.drop("note").join(chimeras.select("cluster_id", note.alias("note")), "cluster_id", "left")
+
+
 def write_clusters(clusters: DataFrame, path: str, places: bool = False, width: int = 0) -> None:
     text = cluster_text(clusters, places, width)
     text.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id").select("value").write.text(path)
