@@ -12,8 +12,10 @@ that one asks.
 Equal fingerprints are one entry, so groups of copies cost one row. Entries that share a table slot come
 together by a sort, not by a group in memory; in a slot, verified links that
 only repeat what is known to be connected are left out, so a dense group of g near copies gives at
-most g - 1 links there and components stay those of all links. A slot with more than ``DENSE`` entries is
-cut further by the rest of its bits.
+most g - 1 links there and components stay those of all links. A slot that holds more than ``DENSE`` entries and a ``SPREAD``-th of all
+fingerprints is dealt by pieces of all 64 bits as well, of which linked entries share one; there are at
+most ``SPREAD`` such slots for each segment, so the list of them is small. Any slot of more than ``DENSE`` entries is
+cut so where it is looked at.
 
 Texts are lower-cased in A-Z only; words are maximal runs of characters other than
 space, \\t, \\n, \\v, \\f, \\r. Fewer words than a shingle: the whole sequence is the one
@@ -38,6 +40,8 @@ from kinstrand.llm.components import components
 SEED = 42
 #: A slot with more entries than this is cut by its remaining bits before pairs are looked at.
 DENSE = 2048
+#: A slot with this part of all fingerprints is dealt to several tasks.
+SPREAD = 1024
 #: Segments of a fingerprint. Three of 21 or 22 bits have balls of one bit at distance 4: 3 entries and about 32 look-ups
 #: a fingerprint, whatever the table's size. From some 10**9 distinct fingerprints on, two segments of 32 bits
 #: (balls of two bits) meet fewer entries by chance than they cost in look-ups.
@@ -101,7 +105,21 @@ def _below(values: np.ndarray, width: int, radius: int) -> Iterator[tuple[np.nda
                 yield has, values[has] ^ (one << np.uint64(i)) ^ (one << np.uint64(j))
 
 
-def _entries(segments: int, distance: int):
+def hot_slots(fps: DataFrame, segments: int) -> dict[int, np.ndarray]:
+    """Of each segment the slots, ascending, that are dealt by pieces: ``SPREAD`` of them at most."""
+    least = max(DENSE, fps.count() // SPREAD)
+    own = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("slot")) for k, (shift, width) in enumerate(bounds(segments))))
+    rows = fps.select(F.explode(own).alias("x")).groupBy("x.k", "x.slot").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
+    return {k: np.array(sorted(r.slot for r in rows if r.k == k), np.uint64) for k in range(segments)}
+
+
+def _entries(segments: int, distance: int, hot: dict[int, np.ndarray]):
+    def rows(k: int, value: np.ndarray, ask: bool, piece: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(piece), pa.array(np.full(len(value), ask)), pa.array(fps.view(np.int64))],
+            names=["segment", "slot", "piece", "ask", "fp"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
@@ -109,10 +127,13 @@ def _entries(segments: int, distance: int):
                 own = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                 asked = [(np.arange(len(fps)), own, False), *((a, b, True) for a, b in _below(own, width, distance // segments))]
                 for which, value, ask in asked:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(which), k, np.int32)), pa.array(value.view(np.int64)), pa.array(np.full(len(which), ask)), pa.array(fps[which].view(np.int64))],
-                        names=["segment", "slot", "ask", "fp"],
-                    )
+                    spread = np.isin(value, hot[k]) if len(hot[k]) else np.zeros(len(value), bool)
+                    yield rows(k, value[~spread], ask, np.full(int((~spread).sum()), -1, np.int64), fps[which[~spread]])
+                    if spread.any():
+                        some = fps[which[spread]]
+                        for i, (a, w) in enumerate(bounds(distance + 1)):
+                            piece = ((some >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) * (distance + 1) + i
+                            yield rows(k, value[spread], ask, piece, some)
 
     return run
 
@@ -169,28 +190,41 @@ def slot_links(table: np.ndarray, asks: np.ndarray, distance: int) -> list[tuple
 
 
 def _links(distance: int):
-    def close(rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        fp, ask = rows
-        yield from slot_links(fp[~ask].view(np.uint64), fp[ask].view(np.uint64), distance)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple | None = None
+        """Of rows sorted by slot. The last slot of a batch may go on in the next one; its parts wait and are put together once."""
+        waits: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
         for batch in batches:
-            segment, slot, ask, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if rest is not None:
-                segment, slot, ask, fp = (np.r_[a, b] for a, b in zip(rest, (segment, slot, ask, fp), strict=True))
+            segment, slot, piece, ask, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(fp):
                 continue
-            edge = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (slot[1:] != slot[:-1])])
-            done = edge[-1]
-            rest = (segment[done:], slot[done:], ask[done:], fp[done:])
-            yield _batch(_slots(edge, ask[:done], fp[:done], distance))
-        if rest is not None:
-            yield _batch(close([rest[3], rest[2]]))
+            edge = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (slot[1:] != slot[:-1]) | (piece[1:] != piece[:-1])])
+            same = last == (segment[0], slot[0], piece[0])
+            last = (segment[-1], slot[-1], piece[-1])
+            if waits and not same:
+                yield _batch(_whole(waits, distance))
+                waits = []
+            tail = edge[-1]
+            if same and len(edge) == 1:
+                waits.append((ask, fp))
+                continue
+            start = 0
+            if same:
+                start = edge[1]
+                yield _batch(_whole([*waits, (ask[:start], fp[:start])], distance))
+            yield _batch(_slots(edge[edge >= start] - start, ask[start:tail], fp[start:tail], distance))
+            waits = [(ask[tail:], fp[tail:])]
+        if waits:
+            yield _batch(_whole(waits, distance))
 
     return run
 
 
+def _whole(parts: list[tuple[np.ndarray, np.ndarray]], distance: int) -> list[tuple[int, int]]:
+    ask, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return [] if ask.all() else slot_links(fp[~ask].view(np.uint64), fp[ask].view(np.uint64), distance)
+
+
 def _slots(edge: np.ndarray, ask: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
     """Links in each whole slot; slots of two rows, nearly all of them, are looked at together."""
     size = np.diff(edge)
@@ -214,8 +248,9 @@ def links(fps: DataFrame, distance: int = 4, segments: int = SEGMENTS) -> DataFr
     """Links (u, v) between the distinct fingerprints ``fp`` that span the components of all links."""
     if distance // segments > 2:
         raise ValueError("balls beyond two bits are too large: take more segments")
-    slots = fps.mapInArrow(_entries(segments, distance), "segment int, slot long, ask boolean, fp long")
-    return slots.repartition("segment", "slot").sortWithinPartitions("segment", "slot").mapInArrow(_links(distance), "u long, v long")
+    slots = fps.mapInArrow(_entries(segments, distance, hot_slots(fps, segments)), "segment int, slot long, piece long, ask boolean, fp long")
+    keys = ["segment", "slot", "piece"]
+    return slots.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(distance), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = SEGMENTS) -> DataFrame:

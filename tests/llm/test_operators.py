@@ -102,6 +102,31 @@ def test_dense_slots_span_their_components():
     assert len(found) == len(fps) - 1
 
 
+@pytest.mark.parametrize("distance", [4, 3])
+def test_hot_slots_are_dealt_by_pieces(spark, monkeypatch, distance):
+    """Many fingerprints in few slots: the same components as those of all links."""
+    monkeypatch.setattr(simhash, "DENSE", 6)
+    monkeypatch.setattr(simhash, "SPREAD", 10)
+    rng = np.random.default_rng(7)
+    base = np.uint64(0x0123456789ABCDEF)
+    fps = np.unique([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(1, 7), replace=False).astype(np.uint64)) for _ in range(300)])
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    assert sum(map(len, simhash.hot_slots(table, 3).values())) >= 3
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # slots go on over several batches
+    try:
+        got = {r.node: r.root for r in components(simhash.links(table, distance, 3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    root = list(range(len(fps)))
+    for _ in range(40):
+        for i in range(len(fps)):
+            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= distance):
+                root[i] = root[int(j)] = min(root[i], root[int(j)])
+    groups = lambda of: {frozenset(k for k in of if of[k] == r) for r in set(of.values())}
+    signed = fps.view(np.int64).tolist()
+    assert groups({x: got.get(x, x) for x in signed}) == groups({x: signed[root[i]] for i, x in enumerate(signed)})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
