@@ -151,7 +151,7 @@ def rep_sink(s, d):
     """Representatives as a file, largest cluster first, read back in its order."""
     path = _folder(s)
     c = clusters(s, d).withColumn("seq_idx", F.col("id"))
-    rows = formats.representatives(c, c.select("seq_idx", F.col("id").alias("descr"), F.lit("ACGTACGTACGT").alias("seq_raw")), by_size=True)
+    rows = formats.representatives(c, c.select("seq_idx", F.col("id").alias("descr"), F.lit("ACGTACGTACGT").alias("seq_raw")).distinct(), by_size=True)
     formats.write_fasta(rows, path, order="place")
     return formats.number(formats.read_fasta(s, path)).select("id", (F.col("seq_idx") + 1).alias("place"))
 
