@@ -1,13 +1,10 @@
-"""Read operators: overlaps, links of mates, chimeras."""
+"""Read operators: overlaps and links of mates. Chimeras are in :mod:`kinstrand.operators.chimeras`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,53 +101,3 @@ def join_mates(pairs: DataFrame, length: int) -> DataFrame:
     """(id, seq): the first ``length`` letters of R1 and of R2's reverse complement from its end, without an overlap."""
     b = S.reverse_complement("r2")
     return pairs.select("id", F.concat(F.substring("r1", 1, length), F.substr(b, F.greatest(F.lit(1), F.length("r2") - length + 1), F.lit(length))).alias("seq"))
-
-
-def chimeras(reads: DataFrame, shared: int = 30, least: int = 1, fold: float = 1.0, percent: float = 1.0) -> DataFrame:
-    """Distinct reads (id, seq, abundance) that two more abundant ones explain: id, parent_head, parent_tail, crossover.
-
-    A read is a chimera if one parent, at least ``fold`` times as abundant, agrees with its head and another with
-    its tail, much better together than any single one. Chimeras are no parents. Candidate parents come from
-    two joins, on the first and on the last ``shared`` letters; the order by abundance makes the decisions a
-    fold, so it runs over the reads that have candidates of both kinds, in one task.
-    """
-    rows = reads.where((F.col("abundance") >= least) & (F.length("seq") >= 2 * shared))
-    a = rows.select("id", "seq", "abundance", F.substring("seq", 1, shared).alias("h"), F.expr(f"right(seq, {shared})").alias("t"), F.length("seq").alias("n"))
-
-    def parents(key: str, name: str) -> DataFrame:
-        other = a.select(F.col("id").alias("pid"), F.col("seq").alias("pseq"), F.col("abundance").alias("pab"), F.col(key).alias("k"), F.col("n").alias("pn"))
-        found = a.join(other, (F.col(key) == F.col("k")) & (F.col("id") != F.col("pid")) & (F.col("pab") >= fold * F.col("abundance")) & (F.col("pab") > F.col("abundance")) & (F.col("n") == F.col("pn")))
-        return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("pab")).alias("o"), F.col("pid").alias("id"), F.col("pseq").alias("seq")))).alias(name))
-
-    both = a.select("id", "seq", "abundance").join(parents("h", "heads"), "id").join(parents("t", "tails"), "id")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True)
-        bad: set[int] = set()
-        out = []
-        for row in frame.sort_values(["abundance", "id"], ascending=[False, True]).itertuples():
-            q = np.frombuffer(row.seq.encode(), np.uint8)
-            heads = [(p["id"], np.frombuffer(p["seq"].encode(), np.uint8) != q) for p in row.heads if p["id"] not in bad]
-            tails = [(p["id"], np.frombuffer(p["seq"].encode(), np.uint8) != q) for p in row.tails if p["id"] not in bad]
-            if not heads or not tails:
-                continue
-            few, some = int(0.01 * len(q) * percent), int(0.015 * len(q) * percent)
-            single = min(int(d.sum()) for _, d in heads + tails)
-            single = min(single, some) if single <= some else some
-            found = next(
-                (
-                    (row.id, x, y, cut)
-                    for x, dx in heads
-                    for y, dy in tails
-                    if x != y
-                    for cut in [int(np.argmin(np.r_[0, np.cumsum(dx)] + (dy.sum() - np.r_[0, np.cumsum(dy)])))]
-                    if dx[cut:].sum() > single + few and dy[:cut].sum() > single + few and dx[:cut].sum() + dy[cut:].sum() <= single
-                ),
-                None,
-            )
-            if found:
-                bad.add(row.id)
-                out.append(found)
-        yield pd.DataFrame(out, columns=["id", "parent_head", "parent_tail", "crossover"])
-
-    return both.coalesce(1).mapInPandas(decide, "id long, parent_head long, parent_tail long, crossover int")

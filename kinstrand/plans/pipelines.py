@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
 from kinstrand.operators import clusters as C
-from kinstrand.operators import duplicates, evaluation, greedy, ranking, reads, similarity
+from kinstrand.operators import chimeras, duplicates, evaluation, greedy, ranking, similarity
 from kinstrand.operators.similarity import Options
 
 
@@ -65,7 +65,7 @@ def three_stage_otus(reads_: DataFrame, cutoffs: Sequence[float] = (0.9925, 0.98
     """Duplicates and chimeras out, then clusters at rising distance; small clusters go before the last stage."""
     nr = greedy.stored(duplicates.exact(ranking.rank_by_length(reads_)))
     unique = nr.where("is_rep").select(F.col("seq_idx").alias("id"), "seq", "abundance")
-    bad = reads.chimeras(unique)
+    bad = chimeras.chimeras(unique)
     rows = unique.where(F.col("abundance") >= least).join(bad.select("id"), "id", "left_anti").select(F.col("id").alias("seq_idx"), "seq")
     for c in cutoffs[:-1]:
         step = similarity.cluster(rows, Options.nucleotide(identity=c, both_strands=False))

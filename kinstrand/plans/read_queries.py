@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
-from kinstrand.operators import duplicates, evaluation, hsp, ranking, reads, similarity
+from kinstrand.operators import chimeras, duplicates, evaluation, hsp, ranking, reads, similarity
 from kinstrand.operators.similarity import Options
 from kinstrand.plans import pipelines
 from kinstrand.plans.cluster_queries import with_places
@@ -85,15 +85,17 @@ _add("read_join", lambda s, d: reads.join_mates(_mates(s, d), 30), f"""WITH t AS
 
 
 def _crossed(s, d):
-    """Turns at their counts, and heads and tails of neighbouring ones joined as rare reads."""
-    t = _turns(s, d, True).where(F.length("seq") >= 120).select("seq_idx", F.substring("seq", 1, 120).alias("seq"))
-    unique = t.groupBy("seq").agg(F.min("seq_idx").alias("id"), (F.count("*") + 5).alias("abundance"))
-    w = Window.partitionBy(F.col("id") % 10).orderBy("id")
-    joined = unique.withColumn("next", F.lead("seq").over(w)).where("next is not null").select((-F.col("id")).alias("id"), F.concat(F.substring("seq", 1, 60), F.substring("next", 61, 60)).alias("seq"), F.lit(1).cast("long").alias("abundance"))
-    return unique.select("id", "seq", "abundance").unionByName(joined)
+    """Whole turns at their counts, and as rare reads the first half of each with the second half of the next one of its conversation."""
+    turns = _turns(s, d, True)
+    unique = turns.groupBy("seq").agg(F.min("seq_idx").alias("id"), (F.count("*") + 5).alias("abundance"))
+    half = lambda c: F.floor(F.length(c) / 2).cast("int")
+    after = F.lead("seq").over(Window.partitionBy(F.floor(F.col("seq_idx") / 100_000)).orderBy("seq_idx"))
+    crossed = turns.withColumn("next", after).where("next IS NOT NULL").select("seq_idx", F.concat(F.substr("seq", F.lit(1), half("seq")), F.substr("next", half("next") + 1, F.length("next"))).alias("seq"))
+    crossed = crossed.join(unique, "seq", "left_anti").groupBy("seq").agg((-F.min("seq_idx") - 1).alias("id"), F.lit(1).cast("long").alias("abundance"))
+    return unique.select("id", "seq", "abundance").unionByName(crossed.select("id", "seq", "abundance"))
 
 
-_add("chimera_detect", lambda s, d: reads.chimeras(_crossed(s, d)))
+_add("chimera_detect", lambda s, d: chimeras.chimeras(_crossed(s, d)))
 _add("seq_consensus", lambda s, d: evaluation.consensus(_items(s, d)), f"""WITH t AS (SELECT substring({AA}, 1, 45) AS seq FROM benchmark), l AS (SELECT substring(seq, i::INT, 1) AS letter, i AS place FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM t)),
   c AS (SELECT place, letter, count(*) AS c, sum(count(*)) OVER (PARTITION BY place) AS n FROM l GROUP BY 1, 2)
   SELECT place, letter, c / n AS share, n::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY place ORDER BY c DESC, letter) = 1""")

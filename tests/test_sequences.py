@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kinstrand.functions import alignment as A
 from kinstrand.functions import sequences as S
+from kinstrand.operators import chimeras, duplicates, evaluation, greedy, hsp, ranking, reads, similarity
 from kinstrand.operators import clusters as C
-from kinstrand.operators import duplicates, evaluation, greedy, hsp, ranking, reads, similarity
 from kinstrand.operators.similarity import Options
 from kinstrand.sources import formats
 from kinstrand.streaming import incremental
@@ -295,11 +295,86 @@ def test_overlaps(spark):
     assert out[2].rep_rank == 0 and out[2].strand == "-" and out[2].overlap == 20 and out[3].is_rep
 
 
+def _plain_chimeras(rows, shared=30, fold=1.0):
+    """One read after another; the parents so far are a list."""
+    parents, out = [], []
+    for qid, q, qa in sorted(rows, key=lambda r: (-r[2], r[0])):
+        n = len(q)
+        few, some = int(0.01 * n), int(0.015 * n)
+        words = {}
+        for i in range(n - shared + 1):
+            words.setdefault(q[i : i + shared], []).append(i)
+        heads, tails, singles = [], [], []
+        for pid, p, pa in parents if n >= 2 * shared else []:
+            offsets = {}
+            for j in range(len(p) - shared + 1):
+                for i in words.get(p[j : j + shared], []):
+                    offsets[j - i] = offsets.get(j - i, 0) + 1
+            if not offsets or pa < fold * qa:
+                continue
+
+            def wrong(i, off, p=p):
+                return not 0 <= i + off < len(p) or q[i] != p[i + off]
+
+            head = max(k for k in range(n + 1) if sum(wrong(i, 0) for i in range(k)) <= few)
+            tail, shift = 0, 0
+            for off in sorted(offsets, key=lambda o: (-offsets[o], abs(o), o))[:2]:
+                end = min(n, len(p) - off)
+                start = min(k for k in range(end + 1) if sum(wrong(i, off) for i in range(k, end)) <= few)
+                if end - start >= shared:
+                    tail, shift = end - start, off
+                    tails.append((start, pid, wrong, off))
+                    break
+            if head >= shared:
+                heads.append((-pa, pid, head, wrong))
+            cut = (head + n - tail) // 2 if head + tail >= n else n
+            singles.append(sum(wrong(i, 0) for i in range(cut)) + sum(wrong(i, shift) for i in range(cut, n)))
+        best = min([m for m in singles if m <= some], default=None)
+        if best is not None and best <= few:
+            continue
+        limit = some if best is None else best
+        found = None
+        for _, a, head, wa in sorted(heads, key=lambda x: x[:2]):
+            for start, b, wb, off in sorted(tails, key=lambda x: x[:2]):
+                x = (head + start) // 2
+                good = sum(wa(i, 0) for i in range(x)) + sum(wb(i, off) for i in range(x, n))
+                if not found and a != b and start <= head and good <= limit and sum(wb(i, 0) for i in range(x)) > limit + few and sum(wa(i, 0) for i in range(x, n)) > limit + few:
+                    found = (qid, a, b, x)
+        if found:
+            out.append(found)
+        else:
+            parents.append((qid, q, qa))
+    return sorted(out)
+
+
 def test_chimeras(spark):
     rng = random.Random(9)
-    a, b = ("".join(rng.choice("ACGT") for _ in range(100)) for _ in range(2))
-    rows = spark.createDataFrame([(1, a, 20), (2, b, 15), (3, a[:50] + b[50:], 1), (4, a[:99] + ("A" if a[99] != "A" else "C"), 2)], "id long, seq string, abundance long")
-    assert [(r.id, r.parent_head, r.parent_tail) for r in reads.chimeras(rows).collect()] == [(3, 1, 2)]
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b = letters(100), letters(100)
+    rows = [(1, a, 20), (2, b, 15), (3, a[:50] + b[50:], 1), (4, a[:99] + ("A" if a[99] != "A" else "C"), 2)]
+    kind = "id long, seq string, abundance long"
+    assert [(r.id, r.parent_head, r.parent_tail) for r in chimeras.chimeras(spark.createDataFrame(rows, kind)).collect()] == [(3, 1, 2)]
+    assert chimeras.chimeras(spark.createDataFrame([], kind)).collect() == []
+
+    # parents of other lengths, shifted tails, wrong letters, chimeras of chimeras and of reads close to one parent
+    base = [letters(rng.randrange(90, 240)) for _ in range(8)]
+    rows = {x: 50 + i for i, x in enumerate(base)}
+
+    def wrong(x, k):
+        for _ in range(k):
+            i = rng.randrange(len(x))
+            x = x[:i] + rng.choice("ACGT") + x[i + 1 :]
+        return x
+
+    for _ in range(120):
+        x, y = rng.sample(list(rows), 2)
+        i, j = rng.randrange(len(x)), rng.randrange(len(y))
+        rows.setdefault(wrong(x[:i] + y[j:], rng.randrange(3)) if rng.random() < 0.7 else wrong(x, rng.randrange(1, 5)), rng.randrange(1, 9))
+    rows = [(i, x, n) for i, (x, n) in enumerate(rows.items())] + [(1000, "", 3), (1001, "ACGT", 3)]
+    for fold in (1.0, 2.0):
+        found = chimeras.chimeras(spark.createDataFrame([*rows, (1002, None, 4)], kind), fold=fold).collect()
+        expected = _plain_chimeras(rows, fold=fold)
+        assert len(expected) > 10 and sorted(tuple(r) for r in found) == expected
 
 
 def test_mismatch_duplicates(spark):
