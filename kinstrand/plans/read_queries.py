@@ -95,7 +95,30 @@ def _crossed(s, d):
     return unique.select("id", "seq", "abundance").unionByName(crossed.select("id", "seq", "abundance"))
 
 
-_add("chimera_detect", lambda s, d: chimeras.chimeras(_crossed(s, d)))
+_add("chimera_detect", lambda s, d: chimeras.chimeras(_crossed(s, d)), f"""WITH RECURSIVE t AS (SELECT seq_idx, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS})),
+  u AS (SELECT seq, min(seq_idx) AS id, count(*) + 5 AS ab FROM t GROUP BY seq), nx AS (SELECT *, lead(seq) OVER (PARTITION BY seq_idx // 100000 ORDER BY seq_idx) AS next FROM t),
+  cx AS (SELECT left(seq, length(seq) // 2) || substring(next, length(next) // 2 + 1) AS seq, seq_idx FROM nx WHERE next IS NOT NULL),
+  rd AS MATERIALIZED (SELECT id, seq, ab, length(seq) AS n FROM u UNION ALL SELECT -min(seq_idx) - 1, seq, 1, length(seq) FROM cx WHERE seq NOT IN (SELECT seq FROM u) GROUP BY seq),
+  pm AS MATERIALIZED (SELECT coalesce(max(k) FILTER (k >= 15), 0) AS primer FROM (SELECT a, b, unnest(range(0, length(a) + 1)) AS k FROM (SELECT min(seq) AS a, max(seq) AS b FROM rd)) WHERE left(a, k) = left(b, k)),
+  w AS MATERIALIZED (SELECT id, ab, n, primer, i, substring(seq, i, 30) AS w FROM (SELECT *, unnest(range(primer + 1, n - 28)) AS i FROM rd, pm)),
+  hits AS (SELECT q.id AS q, p.id AS p, p.i - q.i AS off, count(*) AS c FROM w q JOIN w p ON q.w = p.w AND (p.ab > q.ab OR (p.ab = q.ab AND p.id < q.id)) WHERE q.n >= 60 + q.primer GROUP BY ALL),
+  best AS MATERIALIZED (SELECT q, p, off, row_number() OVER (PARTITION BY q, p ORDER BY c DESC, abs(off), off) AS k FROM hits QUALIFY k <= 2),
+  laid AS (SELECT DISTINCT q, p, off FROM (SELECT q, p, off FROM best UNION ALL SELECT q, p, 0 FROM best)),
+  m AS MATERIALIZED (SELECT q, p, off, a.n, b.n AS pn, floor(0.01::DOUBLE * a.n)::BIGINT AS few, floor(0.015::DOUBLE * a.n)::BIGINT AS most,
+    list_filter(range(0, a.n), lambda i: i + off < 0 OR i + off >= b.n OR substring(a.seq, i + 1, 1) <> substring(b.seq, i + off + 1, 1)) AS x FROM laid JOIN rd a ON a.id = q JOIN rd b ON b.id = p),
+  ends AS (SELECT *, least(n, pn - off) AS e, list_filter(x, lambda i: i < least(n, pn - off)) AS y FROM m JOIN best USING (q, p, off)),
+  tl AS (SELECT q, p, x, e - start AS tail, start FROM (SELECT *, CASE WHEN len(y) > few THEN y[len(y) - few] + 1 ELSE 0 END AS start FROM ends) WHERE e - start >= 30 QUALIFY row_number() OVER (PARTITION BY q, p ORDER BY k) = 1),
+  ro AS (SELECT q, p, n, few, most, m.x AS l, coalesce(tl.x, m.x) AS r, coalesce(m.x[few + 1], n) AS head, coalesce(tail, 0) AS tail, start FROM m LEFT JOIN tl USING (q, p) WHERE off = 0),
+  mm AS MATERIALIZED (SELECT *, CASE WHEN head + tail >= n THEN len(list_filter(l, lambda i: i < (head + n - tail) // 2)) + len(list_filter(r, lambda i: i >= (head + n - tail) // 2)) ELSE len(l) END AS mm FROM ro),
+  x AS (SELECT a.q, a.few, a.most, a.p AS a, b.p AS b, b.start, (a.head + b.start) // 2 AS cut, a.l AS la, b.l AS lb, b.r AS rb FROM mm a JOIN mm b ON a.q = b.q AND a.p <> b.p AND b.start <= a.head, pm WHERE a.head >= primer + 30),
+  tr AS (SELECT x.*, -ab AS rank, len(list_filter(la, lambda i: i < cut)) + len(list_filter(rb, lambda i: i >= cut)) AS lo, least(len(list_filter(lb, lambda i: i < cut)), len(list_filter(la, lambda i: i >= cut))) - few - 1 AS hi FROM x JOIN rd ON id = a),
+  tq AS (SELECT q, list({{'a': a, 'b': b, 'cut': cut, 'lo': lo, 'hi': hi}} ORDER BY rank, a, start, b) AS ts FROM tr WHERE lo <= least(hi, most) GROUP BY q), cq AS (SELECT q, list({{'p': p, 'mm': mm}}) AS ps FROM mm WHERE mm <= most GROUP BY q),
+  nb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ab DESC, id) - 1 AS i, id, floor(0.01::DOUBLE * n)::BIGINT AS few, floor(0.015::DOUBLE * n)::BIGINT AS most, coalesce(ps, []) AS ps, coalesce(ts, []) AS ts FROM rd LEFT JOIN tq ON tq.q = id LEFT JOIN cq ON cq.q = id WHERE ps IS NOT NULL OR ts IS NOT NULL),
+  g(i, dead, id, x) AS (SELECT -1::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::STRUCT(a BIGINT, b BIGINT, cut BIGINT, lo BIGINT, hi BIGINT)
+    UNION ALL SELECT i, CASE WHEN m <= few OR y IS NOT NULL THEN list_append(dead, id) ELSE dead END, id, y
+    FROM (SELECT *, CASE WHEN m IS NULL OR m > few THEN list_filter(ts, lambda z: NOT list_contains(dead, z.a) AND NOT list_contains(dead, z.b) AND coalesce(m, most) BETWEEN z.lo AND z.hi)[1] END AS y
+      FROM (SELECT nb.*, g.dead, list_min(list_transform(list_filter(nb.ps, lambda z: NOT list_contains(g.dead, z.p)), lambda z: z.mm)) AS m FROM g JOIN nb ON nb.i = g.i + 1)))
+  SELECT id, x.a AS parent_head, x.b AS parent_tail, x.cut::INT AS crossover FROM g WHERE x IS NOT NULL""")
 _add("seq_consensus", lambda s, d: evaluation.consensus(_items(s, d)), f"""WITH t AS (SELECT substring({AA}, 1, 45) AS seq FROM benchmark), l AS (SELECT substring(seq, i::INT, 1) AS letter, i AS place FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM t)),
   c AS (SELECT place, letter, count(*) AS c, sum(count(*)) OVER (PARTITION BY place) AS n FROM l GROUP BY 1, 2)
   SELECT place, letter, c / n AS share, n::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY place ORDER BY c DESC, letter) = 1""")
