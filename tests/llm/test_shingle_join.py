@@ -105,3 +105,22 @@ def test_bitmaps_bound_what_sets_share():
             if same * 5 >= 4 * (size[i] + size[j] - same):
                 assert may[j]
         assert may.sum() < len(sets) / 2
+
+
+def test_passages_of_many_texts_bring_none_together(spark, monkeypatch):
+    """A passage that different texts share must not make each of them a candidate of all others; the near copies among them still meet."""
+    seen, cut = {}, shingle_join.cut
+    monkeypatch.setattr(shingle_join, "cut", lambda df, label: seen.setdefault(label, cut(df, label)))
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(300)]
+    rows.append((300, rows[7][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs).collect()}
+    assert got == {i: 7 if i == 300 else i for i in range(301)}
+    assert seen["groups"].groupBy("g").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_rare_hashes_first_whatever_is_known():
+    hashes = np.array([2, 5, 7, 9], np.uint64)
+    assert shingle_join.rare_first(hashes, np.empty(0, np.uint64), np.empty(0, int)).tolist() == [2, 5, 7, 9]
+    assert shingle_join.rare_first(hashes, np.array([1, 2, 7, 20], np.uint64), np.array([-3, 0, -1, -2])).tolist() == [5, 9, 7, 2]
