@@ -39,8 +39,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of near duplicates.
 
-    Five-word shingles, Jaccard similarity 0.8 or more, exactly; the six bits of a SimHash that stood here
-    missed most pairs below 0.9.
+    Five-word shingles, Jaccard similarity 0.8 or more, exactly: links of SimHash fingerprints at five bits are checked with whole
+    sets, and an exact join finds the pairs whose fingerprints lie farther apart, most of those below 0.9.
     """
     found = shingle_join.near_duplicates(docs, shingle=5, similarity="0.8")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("__kept")).distinct()

@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 
 import corpus_pipeline
-from kinstrand.llm import shingle_join
+from kinstrand.llm import shingle_join, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -124,3 +124,24 @@ def test_rare_hashes_first_whatever_is_known():
     hashes = np.array([2, 5, 7, 9], np.uint64)
     assert shingle_join.rare_first(hashes, np.empty(0, np.uint64), np.empty(0, int)).tolist() == [2, 5, 7, 9]
     assert shingle_join.rare_first(hashes, np.array([1, 2, 7, 20], np.uint64), np.array([-3, 0, -1, -2])).tolist() == [5, 9, 7, 2]
+
+
+def test_fingerprints_link_first_and_the_exact_join_does_the_rest(spark, monkeypatch):
+    """Links of the first pass are alike sets within five bits of a SimHash; what they connect is not looked at again; farther pairs are found all the same."""
+    seen, cut = {}, shingle_join.cut
+    monkeypatch.setattr(shingle_join, "cut", lambda df, label: seen.setdefault(label, cut(df, label)))
+    rows = texts()
+    sets = {d: shingle_join.shingle_set(t, 5) for d, t in rows}
+    sims = {int(shingle_join.set_hash(sets[d]).view(np.int64)): simhash.majority(simhash.shingle_hashes(t, 5)) for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs).collect()}
+    assert got == plain(rows)
+    bits = [(sims[r.u] ^ sims[r.v]).bit_count() for r in seen["links"].collect()]
+    assert bits and max(bits) <= 5
+    assert any((sims[r.u] ^ sims[r.v]).bit_count() > 5 for r in seen["connecting"].collect())
+
+    seen.clear()
+    base = " ".join(f"w{i}" for i in range(2000))
+    near = spark.createDataFrame([(1, base), (2, base + " end"), (3, "other " + base)], "doc_id long, text string")
+    assert {r.component_id for r in shingle_join.near_duplicates(near).collect()} == {1}
+    assert seen["groups"].count() > 0 and seen["open"].count() == 0
