@@ -273,3 +273,65 @@ def visible_letters(page):
     parser.feed(page)
     parser.close()
     return re.sub(r"[\W_]+", "", "".join(parser.out))
+
+
+def damaged(rows):
+    """Rows (conv_id, turn, role, text) with faults put in."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fault:
+            text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+            out += [(conv, turn, "user" if fault == 4 else role, text)] * (2 if fault == 3 else 1)
+    return out
+
+
+def faults(turns):
+    """The fault of each (role, text)."""
+    seen, out = set(), []
+    for role, text in turns:
+        letters = text.strip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not letters else "duplicate" if (role, text) in seen else "truncated" if letters[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def cheapest_edits(turns):
+    """(cost, audit, repaired turns) by a search over every edit from the back: the least pair of cost and audit."""
+    found, bad = [None] * (len(turns) + 1), faults(turns)
+    follow = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    names = {"u": "user", "a": "assistant"}
+    for i in range(len(turns), -1, -1):
+        best = {s: (0, "", ()) if i == len(turns) and s in ("", "a") else (math.inf, "", ()) for s in follow}
+        if i < len(turns):
+            (role, text), fault, after = turns[i], bad[i], found[i + 1]
+            more = 3 if fault == "truncated" else 0
+            for s, moves in follow.items():
+                ways = [(4, "D", s, ())]
+                if fault not in ("blank", "duplicate"):
+                    if role[:1] in moves:
+                        ways.append((more, "K", moves[role[:1]], ((role, text),)))
+                    ways += [(3 + more, "R", t, ((names[c], text),)) for c, t in moves.items() if c in names]
+                best[s] = min((cost + after[t][0], edit + after[t][1], kept + after[t][2]) for cost, edit, t, kept in ways)
+        for _ in range(3):  # turns put in before this one
+            for s, moves in follow.items():
+                for c, t in moves.items():
+                    if c in names:
+                        best[s] = min(best[s], (3 + best[t][0], "I" + best[t][1], ((names[c], ""),) + best[t][2]))
+        found[i] = best
+    return found[0][""]
+
+
+def repair(rows, ids):
+    """Rows of conversation repair."""
+    out = []
+    for conv in set(ids):
+        own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        turns, numbers = [r[1:] for r in own], {r[0] for r in own} - {None}
+        cost, audit, kept = cheapest_edits(turns)
+        bad, roles = faults(turns), [r[:1] for r, _ in turns]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:], strict=False))
+        gaps = max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0
+        out.append((conv, gaps, *(bad.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in kept))))
+    return out
