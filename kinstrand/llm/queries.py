@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinstrand.llm import ann, conversation_repair, html_render, licenses, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity
+from kinstrand.llm import ann, conversation_repair, html_render, licenses, line_dedup, merkle_manifest, mixing, packing, quality, simhash, substring_dedup, toxicity
 from kinstrand.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(rows), rows)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +88,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup, op2_simhash_near_dedup, op3_best_fit_packing, op4_quality_rules, op5_toxicity,
         op6_nearest_neighbours, op7_html_extraction, op8_line_dedup, op9_mixing, op10_license_scan, op11_conversation_repair,
+        op12_merkle_manifest,
     )
 }
 

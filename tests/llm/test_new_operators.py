@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinstrand.llm import conversation_repair as repair
+from kinstrand.llm import merkle_manifest
 
 
 def same(found, wanted):
@@ -71,3 +72,27 @@ def test_conversation_repair(spark):
     assert repair.repair(none).count() == 0 and repair.repaired_turns(none).count() == 0
     lost = repair.repair(none, table).collect()
     assert {tuple(r)[1:] for r in lost} == {(0, 0, 0, 0, 0, 0, "", brute.sha(""))} and len(lost) == 305
+
+
+DOCS = "doc_id long, source string, lang string, n_chars long, text string, tree int, node string, idx long"
+
+
+@pytest.mark.parametrize("langs", [["en"], ["en", None], ["a", "b", "\u00e9", "", None, "z", "\U0001f600"]])
+def test_merkle_manifest(spark, langs):
+    rng = random.Random(len(langs))
+    rows = [(rng.randrange(40), f"s{i % 3}", rng.choice(langs), i, f"t\u00e9 {i}") for i in range(137)]
+    rows += [(None, None, langs[-1], None, None), (7, "", "lone", (1 << 63) - 1, "x" * 100_000), (14, None, langs[0], None, "")] + [(21, "s", langs[0], 4, "same")] * 3
+    rows += [(i, "s", "all", i, "t") for i in range(300, 364)]
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], DOCS).repartition(5)
+    found = merkle_manifest.verify(table)
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    wanted = brute.merkle(rows)
+    same(found.collect(), wanted)
+    assert {True, False} == {r[-1] for r in wanted}
+
+
+def test_merkle_manifest_small(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert merkle_manifest.verify(none).count() == 0
+    one = [(3, "s", None, 1, "t")]
+    same(merkle_manifest.verify(spark.createDataFrame([(*r, 1, "x", 2) for r in one], DOCS)).collect(), brute.merkle(one))
