@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinstrand.llm import ann, conversation_repair, html_render, licenses, line_dedup, merkle_manifest, mixing, packing, quality, simhash, substring_dedup, toxicity
+from kinstrand.llm import ann, conversation_repair, html_render, licenses, line_dedup, merkle_manifest, mixing, packing, quality, sanitise, simhash, substring_dedup, toxicity
 from kinstrand.llm.common import table
 
 
@@ -77,6 +77,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=kind: x.kind == k)).cast("long").alias(f"n_{kind}") for kind in sanitise.KINDS]
+    return found.select("doc_id", *counts, F.sha2(sanitise.shown("base"), 256).alias("base_sha256"), sanitise.shown("spans").alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +94,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup, op2_simhash_near_dedup, op3_best_fit_packing, op4_quality_rules, op5_toxicity,
         op6_nearest_neighbours, op7_html_extraction, op8_line_dedup, op9_mixing, op10_license_scan, op11_conversation_repair,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_personal_data,
     )
 }
 

@@ -367,3 +367,67 @@ def merkle(rows):
                 node = sha("".join([*left, node, *right]))
             out.append((r[0], leaf, subroot, root, sha("".join(x for left, right in steps for x in left + right)), node, node == root))
     return out
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (2 if i % 2 else 1)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+PRIVATE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def private(text):
+    """(start, kind, end) by the patterns as they are stated."""
+    out = []
+    for i, (kind, pattern) in enumerate(PRIVATE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": True, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good and (kind != "ip" or all(x.lstrip("0").rjust(3, "0") <= "255" and len(x.lstrip("0")) < 4 for x in m[0].split("."))):
+                out.append((m.start(), i, kind, m.end()))
+    return [(s, k, e) for s, _, k, e in sorted(out)]
+
+
+def sanitise(docs, near=8, shortest=3, support=3, disclosure=0.9, stem=4):
+    """(doc_id, base, spans) by the definitions, with the whole corpus in dictionaries."""
+    name = lambda k, v: (k, v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v))
+    held, words_in, together, places = defaultdict(set), defaultdict(set), defaultdict(set), []
+    for row, (_, text) in enumerate(docs):
+        text = text or ""
+        spans = private(text)
+        tokens = [(m.start(), m.end(), lower(m[0])) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        for _, _, w in tokens:
+            words_in[w].add(row)
+        free = [t for t in tokens if all(t[1] <= s or t[0] >= e for s, _, e in spans)]
+        for s, k, e in spans:
+            held[name(k, text[s:e])].add(row)
+            for a, b, w in [t for t in free if t[1] <= s][-near:] + [t for t in free if t[0] >= e][:near]:
+                if len(w) >= shortest:
+                    together[name(k, text[s:e]), w].add(row)
+                    places.append((row, name(k, text[s:e]), w, a, b))
+    n = len(docs)
+
+    def told(both, entity, term):
+        return math.log(both * n / (len(held[entity]) * term)) / math.log(n / len(held[entity])) if len(held[entity]) < n else 0
+
+    risky = {}
+    for (entity, w), rows in together.items():
+        if len(rows) >= support and told(len(rows), entity, len(words_in[w])) >= disclosure - 1e-12:
+            same = sum(len(r) for (x, v), r in together.items() if x == entity and v[:stem] == w[:stem] and len(r) >= support)
+            most = max(len(r) for v, r in words_in.items() if v[:stem] == w[:stem])
+            risky[entity, w] = "generalised" if len(w) > stem and told(min(same, len(held[entity])), entity, most) < disclosure else "removed"
+    found = defaultdict(dict)
+    for row, entity, w, a, b in places:
+        if kind := risky.get((entity, w)):
+            found[row][a, b] = max(kind, found[row].get((a, b), ""))
+    order = {k: i for i, k in enumerate(PRIVATE)}
+    return [(d, (base := private(t)), sorted(base + [(a, k, b) for (a, b), k in found[row].items()], key=lambda x: (x[0], order.get(x[1], -1)))) for row, (d, t) in enumerate(docs)]

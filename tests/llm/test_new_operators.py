@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinstrand.llm import conversation_repair as repair
-from kinstrand.llm import merkle_manifest
+from kinstrand.llm import merkle_manifest, sanitise
 
 
 def same(found, wanted):
@@ -96,3 +96,43 @@ def test_merkle_manifest_small(spark):
     assert merkle_manifest.verify(none).count() == 0
     one = [(3, "s", None, 1, "t")]
     same(merkle_manifest.verify(spark.createDataFrame([(*r, 1, "x", 2) for r in one], DOCS)).collect(), brute.merkle(one))
+
+
+TEXTS = "doc_id long, text string, id int, base int, spans string, near string"
+
+
+def letters():
+    """(doc_id, text) with values of all kinds, terms that go with some of them, and awkward texts."""
+    rng = random.Random(4)
+    common = [f"word{i}" for i in range(60)] + ["\u00c9t\u00e9", "\U0001f600", "the"]
+    say = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, say(rng.randrange(0, 60))) for i in range(120)]
+    for i in range(6):  # an entity with a term of its own, one that shares its stem with frequent words, and one that is everywhere
+        rows.append((200 + i, f"{say(9)} zorblax the Wordsmith {'Mail' if i % 2 else 'mail'}@Example.com stands {say(9)} zorblax"))
+    rows += [(220 + i, f"call +1 (988) 555-24{i % 2}5 qarnid {say(6)}") for i in range(8)] + [(240, "qarnid elsewhere"), (241, "stands alone")]
+    rows += [(250, "a@b.c@d.e x@@y.z @p.q @x.y@z.w a.b@c..d _x@d-.e- %@a.b"), (251, "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.255 1.2.3"), (252, "4111 1111 1111 1111, 4111-1111-1111-1112 4 2 79927398713"),
+             (253, "+1 2 +49 (30) 1234-567 x+12345678901234567890 +4 9 3 0 1 2 3 4 5--"), (254, "x" * 60_000 + "@"), (255, "1" * 60_000 + ".2.3.4"), (256, "a" * 3000 + "@b.c " * 500), (257, None), (258, ""), (None, "me@here.org"), (200, "twice")]
+    rows += [rows[-1]] * 2 + [(259, "+1" * 5000), (260, "0" * 6000 + ".1.1.1"), (261, "\U0001f600 me@here.org \u00e9")]
+    return rows
+
+
+def test_sanitise(spark):
+    rows = letters()
+    table = spark.createDataFrame([(*r, 1, 2, "x", "y") for r in rows], TEXTS).repartition(5)
+    found = sanitise.personal_data(table).collect()
+    shown = lambda spans: sanitise.spelled([tuple(x) for x in spans])
+    wanted = brute.sanitise(rows)
+    same([(r.doc_id, shown(r.base), shown(r.spans)) for r in found], [(d, shown(b), shown(s)) for d, b, s in wanted])
+    kinds = {k for _, _, spans in wanted for _, k, _ in spans}
+    assert kinds == {"email", "ip", "card", "phone", "generalised", "removed"}
+    text = {r.doc_id: r.text for r in sanitise.sanitise(table).where("doc_id in (201, 221, 257, 251)").collect()}
+    assert "<email>" in text[201] and "zorblax the Word* <email>" in text[201].replace("  ", " ") or "the Word* <email>" in text[201]
+    assert text[257] is None and "<phone>" in text[221] and "<ip>" in text[251]
+    assert sanitise.personal_data(spark.createDataFrame([], TEXTS)).count() == 0
+
+
+def test_sanitise_share(spark):
+    """Clean documents stay as they are, whatever terms they hold."""
+    rows = [(i, "secret word here") for i in range(20)] + [(100 + i, f"secret word a{i}@b.org") for i in range(3)]
+    found = {r.doc_id: r for r in sanitise.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not found[i].spans for i in range(20)) and all(len(found[100 + i].spans) == 1 for i in range(3))
