@@ -79,7 +79,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=kind: x.kind == k)).cast("long").alias(f"n_{kind}") for kind in sanitise.KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in sanitise.KINDS]
     return found.select("doc_id", *counts, F.sha2(sanitise.shown("base"), 256).alias("base_sha256"), sanitise.shown("spans").alias("spans"))
 
 

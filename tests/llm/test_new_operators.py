@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinstrand.llm import conversation_repair as repair
-from kinstrand.llm import merkle_manifest, sanitise
+from kinstrand.llm import merkle_manifest, queries, sanitise
 
 
 def same(found, wanted):
@@ -136,3 +136,21 @@ def test_sanitise_share(spark):
     rows = [(i, "secret word here") for i in range(20)] + [(100 + i, f"secret word a{i}@b.org") for i in range(3)]
     found = {r.doc_id: r for r in sanitise.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(not found[i].spans for i in range(20)) and all(len(found[100 + i].spans) == 1 for i in range(3))
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_merkle_manifest", "op13_personal_data"])
+def test_queries_on_whole_tables(spark, name):
+    folder = "/root/testdata/sf0.001"
+    found = queries.queries()[name](spark, folder)
+    if name == "op11_conversation_repair":
+        rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+        return same(found.collect(), brute.repair(brute.damaged(rows), [r[0] for r in rows]))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    if name == "op12_merkle_manifest":
+        return same(found.collect(), brute.merkle([tuple(r) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()]))
+    wanted = []
+    for d, base, spans in brute.sanitise([tuple(r) for r in docs.select("doc_id", "text").collect()]):
+        counts = [sum(k == kind for _, k, _ in base) for kind in sanitise.KINDS]
+        wanted.append((d, *counts, brute.sha(sanitise.spelled(base)), sanitise.spelled(spans)))
+    assert found.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    same(found.collect(), wanted)
