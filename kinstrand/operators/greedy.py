@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinstrand.functions.storage import forget, shared_folder, stored
 from kinstrand.operators.ranking import numbered
 
-__all__ = ["assign", "number_representatives", "representatives", "shared_folder", "stored"]
+__all__ = ["assign", "forget", "number_representatives", "placed", "representatives", "shared_folder", "stored"]
 
 
 def representatives(pairs: DataFrame) -> DataFrame:
@@ -56,6 +56,11 @@ def assign(ranked: DataFrame, pairs: DataFrame, mode: str = "fast") -> DataFrame
     redundant = status.where(~F.col("is_rep")).select(F.col("rank").alias("q"))
     chosen = pairs.join(reps, "r", "left_semi").join(redundant, "q", "left_semi")
     chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where("n = 1").select(F.col("q").alias("rank"), F.col("r").alias("rep_rank"))
+    return placed(ranked, chosen)
+
+
+def placed(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``ranked`` with is_rep, rep_rank and cluster_id; ``chosen`` (rank, rep_rank) has the redundant ones."""
     out = ranked.join(chosen, "rank", "left").withColumn("is_rep", F.col("rep_rank").isNull()).withColumn("rep_rank", F.coalesce("rep_rank", "rank"))
     return out.join(number_representatives(out.where("is_rep").select("rank")), "rep_rank")
 

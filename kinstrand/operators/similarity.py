@@ -1,7 +1,11 @@
 """Clustering and two-set comparison by alignment identity.
 
 Plan: k-mer postings -> rare words listed, common ones looked up -> pairs with enough shared words and fitting lengths ->
-Arrow-batched banded alignment of those pairs only -> accepted pairs -> greedy selection.
+rounds. In a round, sequences align with representatives that are decided and with nothing else: each asks those among its candidates in
+look-up order and stops at the first that passes (fast), or asks all (accurate). Who passes is redundant, and pairs with it as a
+representative are dropped unaligned; who has no candidates left represents itself. So a member costs one alignment and those with representatives that reject it,
+however large its cluster is, and one more for each representative that is decided later, comes earlier in its order and passes as well.
+When a round leaves more than half of the undecided so, most candidates reject each other; they are aligned at once and settled as a graph.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions import alignment as A
@@ -125,6 +129,13 @@ def _postings(rows: DataFrame, options: Options, seq: str = "seq") -> DataFrame:
     return K.postings(rows.select("rank", _coded(seq, options).alias("seq")), options.word, skip=skip)
 
 
+def _skipped_words(seq: str, options: Options) -> Column:
+    """How many words of a sequence of nucleotides have a letter other than ACGT."""
+    of = lambda n: F.greatest(n - (options.word - 1), F.lit(0))
+    runs = F.split(_coded(seq, options), "[45]")
+    return of(F.length(seq)) - F.aggregate(runs, F.lit(0), lambda n, run: n + of(F.length(run)))
+
+
 def candidates(queries: DataFrame, targets: DataFrame, options: Options, within: bool) -> DataFrame:
     """(q, r, strand, shared, first_word, required, required_aas, required_aa1) of pairs that may pass.
 
@@ -132,7 +143,9 @@ def candidates(queries: DataFrame, targets: DataFrame, options: Options, within:
     """
     need = K.required_words("len", options.identity, options.word, 2 if options.alphabet == "aa" else 4, options.tolerance, options.alphabet == "nt", options.distance)
     floor = 1 if options.alphabet == "nt" else 0
-    q = queries.select(F.col("rank").alias("q"), F.col("len").alias("q_len"), *(F.greatest(c, F.lit(floor)).alias(n) for n, c in need.items()))
+    # words with other letters than ACGT can't be shared, so they aren't asked for
+    lost = _skipped_words("seq", options) if options.alphabet == "nt" else F.lit(0)
+    q = queries.select(F.col("rank").alias("q"), F.col("len").alias("q_len"), *(F.greatest(c - lost, F.lit(floor)).alias(n) for n, c in need.items()))
     asked = q.select("q", F.greatest("required_aan", F.lit(1)).alias("need"))
     target = greedy.stored(_postings(targets, options))
     found = K.pairs_sharing(target if within else greedy.stored(_postings(queries, options)), target, asked, within).withColumn("strand", F.lit("+"))
@@ -148,35 +161,176 @@ def candidates(queries: DataFrame, targets: DataFrame, options: Options, within:
     return pairs
 
 
-_ALIGNED = "q long, r long, strand string, shared long, first_word string, identity float, distance float, aln_len long, q_beg int, q_end int, r_beg int, r_end int"
+#: What a query gets: its representative and the alignment to it, or nothing; and how many alignments it took.
+_ASKED = "q long, r long, strand string, identity float, distance float, aln_len long, q_beg int, q_end int, r_beg int, r_end int, place long, aligned long"
+_TURN = "q long, place long, r long, strand string, required_aas long, required_aa1 long, reached double, seq string"
 
 
-def aligned(pairs: DataFrame, queries: DataFrame, targets: DataFrame, options: Options) -> DataFrame:
-    """The pairs that pass, with identity, distance, alignment length and extents."""
+class _Query:
+    """A query that asks candidates one by one; what it has reached outlives the batch that its row came in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scoring = options.scoring()
-        centred = options.band if options.longest_gap is not None else None
-        for batch in batches:
-            rows = batch.to_pylist()
-            work, kept = [], []
-            for row in rows:
-                q, r = scoring.encode(row["q_seq"]), scoring.encode(row["r_seq"])
+    def __init__(self, row: dict, scoring: A.Scoring) -> None:
+        self.q, self.forward, self.reversed = row["q"], scoring.encode(row["seq"]), None
+        self.seq, self.waiting, self.found, self.aligned, self.done = row["seq"], [], [], 0, False
+        self.reached = -1.0
+
+    def coded(self, strand: str, scoring: A.Scoring) -> np.ndarray:
+        if strand == "+":
+            return self.forward
+        if self.reversed is None:
+            self.reversed = scoring.encode(self.seq[::-1].translate(_TURNED))
+        return self.reversed
+
+
+_TURNED = str.maketrans("ACGTNacgtn", "TGCANTGCAN")
+
+
+def _hopeless(query: _Query, q: np.ndarray, r: np.ndarray, o: Options) -> bool:
+    """No alignment with r can be better than what is reached: even if all letters that both have would match. Not judged where letters are masked."""
+    if query.reached < 0 or not o.global_identity or o.distance is not None:
+        return False
+    high = 4 if o.alphabet == "nt" else 21
+    mine, other = np.bincount(q, minlength=22), np.bincount(r, minlength=22)
+    if mine[high:].sum() + other[high:].sum():
+        return False
+    return float(np.float32(int(np.minimum(mine, other).sum())) / np.float32(min(len(q), len(r)))) <= query.reached
+
+
+def _ask(options: Options, every: bool):
+    """Arrow batches of queries and their candidates, sorted, to one row for each query, or for each candidate that passes and one more."""
+    scoring, fast = options.scoring(), options.mode == "fast" and not every
+    centred = options.band if options.longest_gap is not None else None
+    names = [c.split()[0] for c in _ASKED.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "float": pa.float32(), "int": pa.int32()}[c.split()[1]] for c in _ASKED.split(", ")]
+    at_once = 1 if fast else 1 << 30 if every else 8
+
+    def turn(queries: list[_Query]) -> list[_Query]:
+        """The next candidates of each query; those that have more to ask."""
+        work, of = [], []
+        for x in queries:
+            taken = 0
+            while x.waiting and taken < at_once:
+                row = x.waiting.pop()
+                q, r = x.coded(row["strand"], scoring), scoring.encode(row["seq"])
+                if not fast and not every and _hopeless(x, q, r, options):
+                    continue
                 band = A.best_band(q, r, scoring.unit, options.identity, options.band, row["required_aa1"], centred)
                 if band.shared >= row["required_aas"]:
                     work.append((q, r, band))
-                    kept.append(row)
-            out = [x for row, (q, r, _), a in zip(kept, work, A.align(work, scoring), strict=True) if (x := _accept(row, q, r, a, options)) is not None]
-            names = [c.split()[0] for c in _ALIGNED.split(", ")]
-            kinds = {"long": pa.int64(), "string": pa.string(), "float": pa.float32(), "int": pa.int32()}
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t.split()[1]]) for c, t in zip(columns, _ALIGNED.split(", "), strict=True)], names=names)
+                    of.append((x, row))
+                    taken += 1
+        for (x, row), (q, r, _), a in zip(of, work, A.align(work, scoring), strict=True):
+            x.aligned += 1
+            found = _accept(row, q, r, a, options)
+            if found is None:
+                continue
+            score = found[3] if options.distance is None else -found[4]
+            if every:
+                x.found.append(found)
+            elif not x.found or score > x.reached:
+                x.found, x.reached = [found], score
+                x.done = fast or (options.distance is None and score >= 1)
+        return [x for x in queries if x.waiting and not x.done]
+
+    def told(queries: list[_Query]) -> pa.RecordBatch:
+        rows = []
+        for x in queries:
+            nothing = [(x.q, *[None] * 10)] if every or not x.found else []
+            rows += [(*found, x.aligned * (not i)) for i, found in enumerate(nothing + x.found)]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            queries = [last] if last else []
+            for row in batch.to_pylist():
+                if row["place"] < 0:
+                    queries.append(_Query(row, scoring))
+                elif not queries[-1].done:
+                    queries[-1].waiting.append(row)
+                    if row["reached"] is not None and not queries[-1].found:
+                        queries[-1].reached = row["reached"]
+            if not queries:
+                continue
+            for x in queries:
+                x.waiting.reverse()
+            active = [x for x in queries if x.waiting and not x.done]
+            while active:
+                active = turn(active)
+            *full, last = queries
+            if full:
+                yield told(full)
+        if last:
+            yield told([last])
+
+    return run
+
+
+def asked(pairs: DataFrame, queries: DataFrame, targets: DataFrame, options: Options, every: bool = False) -> DataFrame:
+    """A row for each query of ``pairs`` (q, r, strand, place, required_aas, required_aa1, reached), of :data:`_ASKED`; ``every``: for each pair that passes.
+
+    Candidates are asked by ``place``. A query's sequence travels once, ahead of its candidates'; an alignment that can't be better than
+    ``reached``, what the query has from before, isn't made.
+    """
+    rs = targets.select(F.col("rank").alias("r"), "seq")
+    fields = [c.split() for c in _TURN.split(", ")]
+    mine = queries.select(F.col("rank").alias("q"), "seq").join(pairs.select("q").distinct(), "q", "left_semi").withColumn("place", F.lit(-1).cast("long"))
+    mine = mine.select(*(F.col(c) if c in mine.columns else F.lit(None).cast(t).alias(c) for c, t in fields))
+    other = pairs.join(rs, "r").select(*(F.col(c).cast(t).alias(c) for c, t in fields))
+    return mine.unionByName(other).repartition("q").sortWithinPartitions("q", "place").mapInArrow(_ask(options, every), _ASKED)
 
-    qs = queries.select(F.col("rank").alias("q"), F.col("seq").alias("q_plus"))
-    rs = targets.select(F.col("rank").alias("r"), F.col("seq").alias("r_seq"))
-    joined = pairs.join(qs, "q").join(rs, "r")
-    q_seq = F.when(F.col("strand") == "-", S.reverse_complement("q_plus")).otherwise(F.col("q_plus"))
-    return joined.select("q", "r", "strand", "shared", "first_word", "required_aas", "required_aa1", q_seq.alias("q_seq"), "r_seq").mapInArrow(run, _ALIGNED)
+
+def _in_order(pairs: DataFrame, options: Options) -> DataFrame:
+    """``pairs`` with ``place``, the order in which a query asks: look-up order, plus strand first; by rank in accurate mode, where the first of equals counts."""
+    order = ["strand", "first_word", "r"] if options.mode == "fast" else ["r", "strand"]
+    place = F.row_number().over(Window.partitionBy("q").orderBy(*order))
+    return pairs.select("q", "r", "strand", place.alias("place"), "required_aas", "required_aa1", F.lit(None).cast("double").alias("reached"))
+
+
+def settled(pairs: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
+    """Rows of :data:`_ASKED` for ``pairs`` (of :func:`candidates` within ``rows``): with an r, passing pairs of redundant rows and their representatives. Stored.
+
+    Rows without such a pair represent themselves. Each round decides half of the undecided rows at least, or is the last one.
+    """
+    fast = options.mode == "fast"
+    left = greedy.stored(_in_order(pairs, options).withColumn("sure", F.lit(False)))
+    open_, answers = left.select("q").distinct().count(), []
+    while open_:
+        undecided = left.where("not sure").select(F.col("q").alias("r")).distinct().withColumn("later", F.lit(True))
+        marked = greedy.stored(left.join(undecided, "r", "left"))
+        answers.append(greedy.stored(asked(marked.where("later is null").drop("later", "sure"), rows, rows, options)))
+        passed = answers[-1].where("r is not null").select("q", F.col("identity").cast("double").alias("identity"), F.col("distance").cast("double").alias("distance"), F.col("place").alias("at"))
+        rest = marked.where("later").drop("later").join(passed.select(F.col("q").alias("r")), "r", "left_anti").join(passed, "q", "left")
+        # in fast mode only what comes before a representative that passes can still take its place
+        rest = rest.where("at is null or place < at") if fast else rest
+        score = F.col("identity") if options.distance is None else -F.col("distance")
+        rest = rest.select("q", "r", "strand", "place", "required_aas", "required_aa1", F.greatest("reached", score).alias("reached"), (F.col("sure") | F.col("at").isNotNull()).alias("sure"))
+        greedy.forget(left)
+        left = greedy.stored(rest)
+        greedy.forget(marked)
+        before, open_ = open_, left.where("not sure").select("q").distinct().count()
+        if 2 * open_ > before or (not open_ and not left.isEmpty()):
+            answers.append(greedy.stored(_together(left, rows, options)))
+            break
+    greedy.forget(left)
+    if not answers:
+        return rows.sparkSession.createDataFrame([], _ASKED)
+    return rows.sparkSession.read.schema(answers[0].schema).parquet(*(x.inputFiles()[0].rsplit("/", 1)[0] for x in answers if x.inputFiles()))
+
+
+def _together(left: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
+    """What is left of the rounds, all aligned: rows of :data:`_ASKED`, with an r only for pairs with a representative."""
+    found = greedy.stored(asked(left.drop("sure"), rows, rows, options, every=True))
+    sure = left.where("sure").select("q").distinct()
+    status = greedy.representatives(found.where("r is not null").select("q", "r").join(sure, "q", "left_anti"))
+    return found.join(status.where("not is_rep").select(F.col("rank").alias("r")), "r", "left_anti").select(*(c.split()[0] for c in _ASKED.split(", ")))
+
+
+def _best(answers: DataFrame, options: Options) -> DataFrame:
+    """One answer for each query that has any: the first in its order, or in accurate mode the best."""
+    found = answers.where("r is not null")
+    score = F.lit(0) if options.mode == "fast" else -F.col("identity") if options.distance is None else F.col("distance")
+    return found.groupBy("q").agg(F.min_by(F.struct(*(c for c in found.columns if c != "q")), F.struct(score, "place")).alias("x")).select("q", "x.*")
 
 
 def _accept(row: dict, q: np.ndarray, r: np.ndarray, a: A.Alignment, o: Options) -> tuple | None:
@@ -206,7 +360,7 @@ def _accept(row: dict, q: np.ndarray, r: np.ndarray, a: A.Alignment, o: Options)
         if a.r_end - a.r_beg + 1 < least_l or a.q_end - a.q_beg + 1 < least_s:
             return None
     beg, end = (a.q_beg, a.q_end) if row["strand"] == "+" else (len(q) - a.q_beg + 1, len(q) - a.q_end + 1)
-    return row["q"], row["r"], row["strand"], row["shared"], row["first_word"], float(identity), a.distance, min(length, long_), beg, end, a.r_beg, a.r_end
+    return row["q"], row["r"], row["strand"], float(identity), a.distance, min(length, long_), beg, end, a.r_beg, a.r_end, row["place"]
 
 
 def _members(rows: DataFrame, chosen: DataFrame, options: Options) -> DataFrame:
@@ -223,11 +377,8 @@ def cluster(sequences: DataFrame, options: Options = Options()) -> DataFrame:  #
     fast: the first passing representative in look-up order; accurate: the most identical.
     """
     rows = greedy.stored(prepare(sequences, options))
-    passing = greedy.stored(aligned(candidates(rows, rows, options, within=True), rows, rows, options))
-    # of two strands: the better in accurate mode, plus first in fast mode
-    order = [F.desc("identity"), "strand"] if options.mode == "accurate" else ["strand"]
-    one = passing.withColumn("n", F.row_number().over(Window.partitionBy("q", "r").orderBy(*order))).where("n = 1").drop("n")
-    placed = greedy.assign(rows, one.withColumn("score", F.col("identity") if options.distance is None else -F.col("distance")), options.mode)
+    one = greedy.stored(_best(settled(candidates(rows, rows, options, within=True), rows, options), options))
+    placed = greedy.placed(rows, one.select(F.col("q").alias("rank"), F.col("r").alias("rep_rank")))
     out = _members(placed, one, options)
     keep = ["cluster_id", "member_no", "seq_idx", "len", "unit", "is_rep", "strand", "identity", "distance", "q_beg", "q_end", "r_beg", "r_end"]
     if options.sort_clusters:
@@ -243,9 +394,8 @@ def compare(first: DataFrame, second: DataFrame, options: Options = Options()) -
     Every row of ``first`` is a representative; there is no order among queries, so this is one join and one ranking.
     """
     rows, queries = greedy.stored(prepare(first, options)), greedy.stored(prepare(second, options, ranked=False))
-    passing = aligned(candidates(queries, rows, options, within=False), queries, rows, options)
-    order = [F.desc("identity"), "r"] if options.mode == "accurate" else ["first_word", "r"]
-    best = passing.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where("n = 1").drop("n")
+    pairs = greedy.stored(_in_order(candidates(queries, rows, options, within=False), options))
+    best = asked(pairs, queries, rows, options).where("r is not null")
     names = rows.select(F.col("rank").alias("r"), F.col("seq_idx").alias("r_idx"))
     return best.join(names, "r").select("q", F.col("r_idx").alias("r"), "strand", "identity", "distance", "q_beg", "q_end", "r_beg", "r_end")
 
