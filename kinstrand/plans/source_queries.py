@@ -89,10 +89,11 @@ _QUALITY = "CASE WHEN doc_id % 3 = 0 THEN '@' ELSE 'I' END || repeat('I', length
 
 @_add("fastq_scan", f"SELECT CAST(doc_id AS VARCHAR) AS id, {_DESCR} AS descr, seq AS seq_raw, {_QUALITY} AS qual FROM (SELECT *, {AA} AS seq FROM documents) WHERE length(seq) > 0")
 def fastq_scan(s, d):
-    """Qualities may begin as headers do."""
+    """Qualities may begin as headers do; sequences of every second record are folded, and so are their qualities."""
     path = _folder(s)
-    rows = _records(s, d).where("seq <> ''").withColumn("seq_raw", F.col("seq"))
-    rows = rows.withColumn("qual", F.concat(F.when(F.col("doc_id") % 3 == 0, "@").otherwise("I"), F.repeat(F.lit("I"), F.length("seq") - 1)))
+    fold = lambda c, n: F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(c, f"(.{{{n}}})(?=.)", "$1\n")).otherwise(F.col(c))
+    rows = _records(s, d).where("seq <> ''").withColumn("seq_raw", fold("seq", 60))
+    rows = rows.withColumn("qual", F.concat(F.when(F.col("doc_id") % 3 == 0, "@").otherwise("I"), F.repeat(F.lit("I"), F.length("seq") - 1))).withColumn("qual", fold("qual", 45))
     formats.write_fastq(rows, path, order="doc_id")
     return formats.read_fastq(s, path).select("id", "descr", "seq_raw", "qual")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
 from kinstrand.operators.ranking import numbered
+from kinstrand.sources import fastq
 
 
 def _numbered(text: DataFrame) -> DataFrame:
@@ -24,12 +25,9 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, descr, seq_raw, qual of each four-line record. Line numbers need the file whole, so each file is one task; split files beforehand for more."""
-    lines = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = lines.select("file", F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("x"))
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 4).cast("int") - 1), lambda i: F.struct(F.get("x", i * 4).alias("h"), F.get("x", i * 4 + 1).alias("s"), F.get("x", i * 4 + 3).alias("q"))))
-    each = rows.where(F.size("x") >= 4).select("file", at.alias("n", "r"))
-    return each.select("file", F.col("n").cast("long").alias("n"), S.short_id(F.col("r.h")).alias("id"), F.substring("r.h", 2, 1 << 20).alias("descr"), F.col("r.s").alias("seq_raw"), F.col("r.q").alias("qual"))
+    """file, n, id, descr, seq_raw, qual of each record, folded or not; ``.gz`` by name. Plain files are read in parallel."""
+    descr = F.expr("substring(head, 2)")
+    return fastq.records(spark, path).select("file", "n", S.short_id("head").alias("id"), descr.alias("descr"), F.col("seq").alias("seq_raw"), "qual")
 
 
 def sequences(records: DataFrame, least: int = 10, upper: bool = True) -> tuple[DataFrame, DataFrame]:
