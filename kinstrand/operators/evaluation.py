@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinstrand.operators.ranking import numbered
+
 
 def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
@@ -106,7 +108,10 @@ def taxon_rollup(counts: DataFrame, ranks: Sequence[str]) -> DataFrame:
     rolled = counts.rollup(*ranks).agg(F.sum("n").cast("long").alias("n"), F.grouping_id().alias("g"))
     level = F.lit(len(ranks)) - F.size(F.filter(F.array(*(F.shiftright("g", i) % 2 for i in range(len(ranks)))), lambda x: x == 1))
     named = rolled.withColumn("level", level.cast("long")).where("level > 0").withColumn("taxon", F.concat_ws(";", *(F.when(F.col("level") > i, F.coalesce(r, F.lit("None"))) for i, r in enumerate(ranks))))
-    return named.select("level", "taxon", "n", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("n"), "taxon")).cast("long").alias("place"))
+    # places over all levels at once, and each level's first one: no level is one task's
+    placed = numbered(named.select("level", "taxon", "n"), "level", F.desc("n"), "taxon")
+    first = placed.groupBy("level").agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(first), "level").select("level", "taxon", "n", (F.col("place") - F.col("first") + 1).alias("place"))  # a row for each rank
 
 
 def consensus(sequences: DataFrame, columns: int = 45, seq: str = "seq") -> DataFrame:
@@ -132,10 +137,10 @@ def pair_chimeras(pairs: DataFrame, fold: int = 2) -> DataFrame:
 
 def drop_chimeric_and_small(pairs: DataFrame, share: float, fold: int = 2) -> DataFrame:
     """``pairs`` with ``reason``: chimeric, small (not above the larger of 1 and share of all reads) or null for those that stay."""
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    cutoff = F.greatest(F.lit(1), F.floor(total * share))
+    total = pairs.agg(F.sum("n").alias("__total"))  # one row
+    cutoff = F.greatest(F.lit(1), F.floor(F.col("__total") * share))
     odd = (F.col("r1_rep") != F.col("r2_rep")) & (F.col("r1_n") >= fold * F.col("n")) & (F.col("r2_n") >= fold * F.col("n")) & ~F.col("r1_otu").eqNullSafe(F.col("r2_otu"))
-    return pairs.withColumn("reason", F.when(odd, "chimeric").when(F.col("n") <= cutoff, "small"))
+    return pairs.crossJoin(F.broadcast(total)).withColumn("reason", F.when(odd, "chimeric").when(F.col("n") <= cutoff, "small")).drop("__total")
 
 
 def drop_reference_chimeras(pairs: DataFrame, cutoff: int, fold: int = 2) -> DataFrame:

@@ -11,32 +11,26 @@ from kinstrand.functions.storage import stored
 def numbered(rows: DataFrame, *order: str | Column, name: str = "place", start: int = 0) -> DataFrame:
     """``rows`` with ``name``: their places from ``start`` in a total order.
 
-    Rows are dealt by ranges of the order and stored; counts by range, as many as there are partitions, give each range its
-    offset, and places within a range are a window of its own. No task sees all rows.
+    Rows are dealt by ranges of the order, sorted within them and stored with their place in their range; counts by range, as many as there are
+    partitions, give each range its offset. No task sees more rows than those of its range, which equal orders alone can't split.
     """
-    dealt = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = stored(sorted_.withColumns({"__range": F.shiftright("__at", 33), "__inside": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at"))
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + (start - 1)
-    placed = dealt.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")  # a row for each partition
-    return placed.withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__range", "__inside", "__before")
+    placed = dealt.join(F.broadcast(offsets), "__range")  # a row for each partition
+    return placed.withColumn(name, (F.col("__before") + F.col("__inside") + start).cast("long")).drop("__range", "__inside", "__before")
 
 
 def rank_by_length(sequences: DataFrame, seq: str = "seq", order: str = "seq_idx") -> DataFrame:
-    """``rank``: 0 for the longest, equal lengths in input order.
+    """``rank``: 0 for the longest, equal lengths in the order of ``order``, which tells rows apart.
 
-    Two levels instead of one global sort in one task: counts by length give each length its offset; ranks
-    within a length are windows of their own.
+    Only lengths and ``order`` are sorted, by ranges of both, so sequences of one length are ranked by as many tasks as any others.
     """
     sized = sequences.withColumn("len", F.length(seq))
-    counts = sized.groupBy("len").agg(F.count("*").alias("n"))
-    # one row for each length
-    before = F.sum("n").over(Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("len").alias("__len"), F.coalesce(before, F.lit(0)).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy("len").orderBy(order)) - 1
-    ranked = sized.withColumn("__inside", inside).join(offsets, F.col("len") == F.col("__len"))
-    return ranked.withColumn("rank", (F.col("__offset") + F.col("__inside")).cast("long")).drop("__len", "__offset", "__inside")
+    places = numbered(sized.select("len", F.col(order).alias("__order")), F.desc("len"), "__order", name="rank").drop("len")
+    return sized.join(places, F.col(order) == F.col("__order")).drop("__order")
 
 
 def statistics(sequences: DataFrame, seq: str = "seq") -> DataFrame:

@@ -69,19 +69,19 @@ _add("overlap_pairs", lambda s, d: reads.overlap_pairs(ranking.rank_by_length(_t
 
 def _mates(s, d):
     """Both halves of a turn, overlapping by twelve letters, the second turned round."""
-    rows = _turns(s, d, True).where(F.length("seq") >= 40).withColumn("h", F.floor(F.length("seq") / 2).cast("int"))
-    return rows.select(F.col("seq_idx").alias("id"), F.substr("seq", F.lit(1), F.col("h") + 6).alias("r1"), S.reverse_complement(F.substr("seq", F.col("h") - 5, F.length("seq"))).alias("r2"))
+    rows = _turns(s, d, True).withColumn("h", F.floor(F.length("seq") / 2).cast("int"))
+    return rows.select(F.col("seq_idx").alias("id"), F.substr("seq", F.lit(1), F.col("h") + 6).alias("r1"), S.reverse_complement(F.substr("seq", F.greatest(F.col("h") - 5, F.lit(1)), F.length("seq"))).alias("r2"))
 
 
-_add("read_link", lambda s, d: reads.link_mates(_mates(s, d), 10, 1), f"""WITH t AS (SELECT seq_idx AS id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS}) WHERE length(seq) >= 40),
-  m AS (SELECT id, substring(seq, 1, (length(seq) // 2 + 6)::INT) AS a, substring(seq, (length(seq) // 2 - 5)::INT) AS b FROM t),
+_add("read_link", lambda s, d: reads.link_mates(_mates(s, d), 10, 1), f"""WITH t AS (SELECT seq_idx AS id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS})),
+  m AS (SELECT id, substring(seq, 1, (length(seq) // 2 + 6)::INT) AS a, substring(seq, greatest(length(seq) // 2 - 5, 1)::INT) AS b FROM t),
   k AS (SELECT *, unnest(range(10, least(length(a), length(b)) + 1))::INT AS k FROM m), w AS (SELECT *, hamming(right(a, k), left(b, k)) AS wrong FROM k),
   x AS (SELECT * FROM w WHERE wrong <= 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1),
   p AS (SELECT *, coalesce(list_filter(range(1, k + 1), lambda i: substring(right(a, k), i::INT, 1) <> substring(left(b, k), i::INT, 1))[1] + length(a) - k, 0) AS spot FROM x)
   SELECT id, c AS contig, CASE WHEN c = 1 THEN a || substring(b, k + 1) ELSE left(a, length(a) - k) || b END AS seq, (length(a) + length(b) - k)::BIGINT AS length, k::BIGINT AS overlap, wrong::BIGINT AS mismatch_no, CASE WHEN spot > 0 THEN spot::VARCHAR ELSE '' END AS mismatch_pos
   FROM (SELECT *, unnest(range(1, wrong + 2)) AS c FROM p)""")
-_add("read_join", lambda s, d: reads.join_mates(_mates(s, d), 30), f"""WITH t AS (SELECT seq_idx AS id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS}) WHERE length(seq) >= 40),
-  m AS (SELECT id, substring(seq, 1, (length(seq) // 2 + 6)::INT) AS r1, substring(seq, (length(seq) // 2 - 5)::INT) AS b FROM t) SELECT id, substring(r1, 1, 30) || right(b, 30) AS seq FROM m""")
+_add("read_join", lambda s, d: reads.join_mates(_mates(s, d), 30), f"""WITH t AS (SELECT seq_idx AS id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS})),
+  m AS (SELECT id, substring(seq, 1, (length(seq) // 2 + 6)::INT) AS r1, substring(seq, greatest(length(seq) // 2 - 5, 1)::INT) AS b FROM t) SELECT id, substring(r1, 1, 30) || right(b, 30) AS seq FROM m""")
 
 
 def _crossed(s, d):
@@ -177,13 +177,13 @@ _add("psi_windows", lambda s, d: hsp.search_window(ranking.rank_by_length(_turns
 def _hit_clusters(s, d):
     o = table(s, d, "orders")
     ranked = o.select((F.col("o_orderkey")).alias("rank"), F.lit(100).alias("len"))
-    pairs = o.select(F.col("o_orderkey").alias("qid"), F.floor(F.col("o_orderkey") / 3).cast("long").alias("sid"), (F.col("o_orderkey") % 5).cast("double").alias("evalue")).where("qid % 4 > 0")
+    pairs = o.select(F.col("o_orderkey").alias("qid"), F.floor(F.col("o_orderkey") / 3).cast("long").alias("sid"), (F.col("o_orderkey") % 5).cast("double").alias("evalue"))
     keys = o.select(F.col("o_orderkey").alias("sid"))
     return hsp.cluster(ranked, pairs.join(keys, "sid", "left_semi")).select("rank", "rep_rank", "is_rep")
 
 
 # each order may join one other only, the third of its number, so a chain of joins settles who represents
-_add("cluster_hits", _hit_clusters, """WITH RECURSIVE o AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT a.k AS q, b.k AS r FROM o a JOIN o b ON b.k = a.k // 3 WHERE a.k % 4 > 0 AND a.k <> b.k),
+_add("cluster_hits", _hit_clusters, """WITH RECURSIVE o AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT a.k AS q, b.k AS r FROM o a JOIN o b ON b.k = a.k // 3 WHERE a.k <> b.k),
   s(k, is_rep, rep) AS (SELECT k, true, k FROM o WHERE k NOT IN (SELECT q FROM e) UNION ALL SELECT q, NOT is_rep, CASE WHEN is_rep THEN s.k ELSE q END FROM e JOIN s ON s.k = r) SELECT k AS rank, rep AS rep_rank, is_rep FROM s""")
 
 # formats

@@ -35,7 +35,7 @@ _add("seq_revcomp", lambda s, d: _NTS(s, d).select("seq_idx", S.reverse_compleme
 _add("seq_encode_nt", lambda s, d: _NTS(s, d).select("seq_idx", S.encode_nucleotides("seq").alias("seq")), f"SELECT seq_idx, translate(seq, 'ACGT', '0123') AS seq FROM ({_NTS_SQL})")
 _add("seq_encode_aa", lambda s, d: aa(s, d).select("seq_idx", S.encode_residues("seq").alias("seq")),
      f"SELECT seq_idx, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{''.join(chr(97 + S.AMINO_CODES[c]) for c in 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')}') AS seq FROM ({aa_sql()})")
-_add("seq_hash", lambda s, d: _TEXTS(s, d).select("doc_id", F.md5("text").alias("md5"), F.hex("text").substr(1, 20).alias("hex")), "SELECT doc_id, md5(text) AS md5, substring(hex(encode(text)), 1, 20) AS hex FROM documents")
+_add("seq_hash", lambda s, d: _TEXTS(s, d).select("doc_id", F.md5("text").alias("md5"), F.hex("text").alias("hex")), "SELECT doc_id, md5(text) AS md5, hex(encode(text)) AS hex FROM documents")
 _add("seq_prefix_compare", lambda s, d: aa(s, d).join(table(s, d, "benchmark").select("item_id", S.letters_only("text").alias("b")), F.col("seq_idx") == F.col("item_id")).select("seq_idx", S.common_prefix_length("seq", "b").alias("prefix"), S.mismatches("seq", "b").alias("diff")),
      f"""WITH j AS (SELECT seq_idx, list_transform(range(1, greatest(length(seq), length(b)) + 1), lambda i: substring(seq, i, 1) <> substring(b, i, 1)) AS x, least(length(seq), length(b)) AS n
   FROM ({aa_sql()}) JOIN (SELECT item_id, {AA} AS b FROM benchmark) ON seq_idx = item_id)
@@ -183,5 +183,5 @@ _add("cluster_prefix_dup", lambda s, d: duplicates.cluster(_reads(s, d), 0, same
 _add("dup_abundance", lambda s, d: ranking.numbered(duplicates.exact(ranked(s, d)).where("is_rep").select("seq_idx", "rank", "abundance"), F.desc("abundance"), "rank", start=1).drop("rank"),
      f"SELECT seq_idx, abundance, row_number() OVER (ORDER BY abundance DESC, rank) AS place FROM (SELECT seq_idx, rank, count(*) OVER w AS abundance, min(rank) OVER w AS m FROM ({ranked_sql()}) WINDOW w AS (PARTITION BY seq)) WHERE m = rank")
 # reads that begin with the same letters as far as two texts of one language do: the primer is what all of them share
-_add("dup_primer", lambda s, d: duplicates.common_primer(table(s, d, "part").select(F.regexp_replace(F.concat(F.lit("PROMO"), F.substring("p_name", 1, 40), F.lit("")), " ", "").alias("seq")), least=3),
-     "WITH r AS (SELECT replace('PROMO' || substring(p_name, 1, 40), ' ', '') AS seq FROM part), e AS (SELECT min(seq) AS a, max(seq) AS b FROM r), n AS (SELECT max(i) AS n FROM e, range(0, 60) AS t(i) WHERE i <= least(length(a), length(b)) AND left(a, i::INT) = left(b, i::INT)) SELECT CASE WHEN n >= 3 THEN n ELSE 0 END::BIGINT AS primer_length FROM n")
+_add("dup_primer", lambda s, d: duplicates.common_primer(table(s, d, "part").select(F.regexp_replace(F.concat(F.lit("PROMO"), "p_name"), " ", "").alias("seq")), least=3),
+     "WITH r AS (SELECT replace('PROMO' || p_name, ' ', '') AS seq FROM part), e AS (SELECT min(seq) AS a, max(seq) AS b FROM r), n AS (SELECT max(i) AS n FROM e, range(0, (SELECT max(length(seq)) + 1 FROM r)) AS t(i) WHERE i <= least(length(a), length(b)) AND left(a, i::INT) = left(b, i::INT)) SELECT CASE WHEN n >= 3 THEN n ELSE 0 END::BIGINT AS primer_length FROM n")

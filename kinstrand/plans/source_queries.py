@@ -72,13 +72,15 @@ def fasta_batches(s, d):
 _BODY = r"regexp_replace(regexp_replace(t, '\s+$', ''), '\*$', '')"
 
 
-@_add("fasta_sequences", rf"""WITH r AS (SELECT doc_id, replace(split_part(coalesce(text, ''), '.', 1), chr(10), ' ') || CASE WHEN doc_id % 2 = 0 THEN '*' ELSE '' END AS t FROM documents),
+@_add("fasta_sequences", rf"""WITH r AS (SELECT doc_id, replace(CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE regexp_replace(coalesce(text, ''), '[^A-Za-z\s]', '', 'g') END, chr(10), ' ') || CASE WHEN doc_id % 2 = 0 THEN '*' ELSE '' END AS t FROM documents),
   v AS (SELECT doc_id, upper(regexp_replace({_BODY}, '\s+', '', 'g')) AS seq FROM r WHERE NOT regexp_matches({_BODY}, '[^A-Za-z\s]'))
   SELECT CAST(doc_id AS VARCHAR) AS id, seq, row_number() OVER (ORDER BY doc_id) - 1 AS seq_idx FROM v WHERE length(seq) > 10""")
 def fasta_sequences(s, d):
-    """What a scan keeps: valid records longer than ten letters, numbered in file order."""
+    """What a scan keeps: valid records longer than ten letters, numbered in file order. Two of three texts have no other characters."""
     path = _folder(s)
-    text = F.concat(F.translate(F.get(F.split(F.coalesce("text", F.lit("")), "[.]"), F.lit(0)), "\n", " "), F.when(F.col("doc_id") % 2 == 0, "*").otherwise(""))
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.regexp_replace(text, r"[^A-Za-z\s]", ""))
+    text = F.concat(F.translate(text, "\n", " "), F.when(F.col("doc_id") % 2 == 0, "*").otherwise(""))
     rows = table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("descr"), text.alias("seq_raw"))
     formats.write_fasta(rows, path, order="doc_id")
     return formats.sequences(formats.read_fasta(s, path))[0].select("id", "seq", "seq_idx")
@@ -98,10 +100,10 @@ def fastq_scan(s, d):
     return formats.read_fastq(s, path).select("id", "descr", "seq_raw", "qual")
 
 
-@_add("mates_scan", f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_idx, CAST(doc_id AS VARCHAR) AS id, left(seq, 90) AS r1, right(seq, 80) AS r2 FROM (SELECT doc_id, {AA} AS seq FROM documents)")
+@_add("mates_scan", f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_idx, CAST(doc_id AS VARCHAR) AS id, left(seq, length(seq) // 2) AS r1, substring(seq, length(seq) // 2 + 1) AS r2 FROM (SELECT doc_id, {AA} AS seq FROM documents)")
 def mates_scan(s, d):
     paths = _folder(s), _folder(s)
-    for path, part in zip(paths, (F.substring("seq", 1, 90), F.expr("right(seq, 80)")), strict=True):
+    for path, part in zip(paths, (F.expr("substring(seq, 1, length(seq) div 2)"), F.expr("substring(seq, length(seq) div 2 + 1)")), strict=True):
         formats.write_fasta(_records(s, d).withColumn("seq_raw", part), path, order="doc_id")
     return formats.read_mates(s, *paths).select("seq_idx", "id", "r1", "r2")
 

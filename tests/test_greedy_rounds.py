@@ -126,3 +126,18 @@ def test_reads_with_other_letters_join(spark):
         turned = seq[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
         out = similarity.cluster(rows_of(spark, [seq, seq, turned]), Options.nucleotide(identity=0.95 if n < 6 else 0.8)).collect()
         assert sum(r.is_rep for r in out) == 1, n
+
+
+def test_one_length_is_ranked_by_several_tasks(spark):
+    """Places of equally long rows come from ranges of ids: no task sees them all, and no sequence is sorted."""
+    from kinstrand.operators import ranking
+
+    rows = spark.range(20_000).select(F.col("id").alias("seq_idx"), F.lit("ACGTACGTAC").alias("seq")).union(spark.createDataFrame([(-1, "A" * 50)], "seq_idx long, seq string"))
+    ranked = ranking.rank_by_length(rows)
+    found = ranked.select("seq_idx", "rank").collect()
+    assert {(r.seq_idx, r["rank"]) for r in found} == {(-1, 0)} | {(i, i + 1) for i in range(20_000)}
+    places = ranking.numbered(rows.select("seq_idx"), "seq_idx")
+    assert tuple(places.orderBy("place").first()) == (-1, 0)
+    files = [f for f in places.inputFiles() if f.endswith(".parquet")]
+    sizes = sorted(spark.read.parquet(f).count() for f in files)
+    assert len(sizes) > 1 and sizes[-1] < 15_000
