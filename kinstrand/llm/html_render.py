@@ -7,8 +7,8 @@ and tables have a blank line around them, list items get a bullet or their numbe
 indent, and table cells are padded to columns. No step recurses, so depth is no limit, and each
 character is looked at a bounded number of times.
 
-Cells are padded to the width of the widest one of their column, as long as all padding comes to no more than sixteen times the page and a
-megabyte (beyond it two blanks part the cells of a table, so no page grows without bound); cells that span rows or columns take the places
+Cells are padded to the width of the widest one of their column where the column begins within the first 240 code points of a line; two blanks
+part the cells of columns beyond, so a line of a table has a bounded number of blanks, whatever else is on the page. Cells that span rows or columns take the places
 that they cover, and what a browser shows of formulas and drawings (``math``, the text elements of ``svg``) is text as well.
 
 Null html gives null text; an empty page an empty text. Broken markup is rendered as far as a browser would:
@@ -317,6 +317,9 @@ class Cell:
         self.lines, self.columns, self.rows = lines, columns, rows
 
 
+#: Code points of a line within which columns begin that cells are padded to.
+ALIGNED = 240
+
 #: A browser's greatest spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
@@ -341,11 +344,8 @@ def _places(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
     return out
 
 
-def _laid_out(rows: list[list[Cell]], room: int) -> tuple[list[str], int]:
-    """A table's lines, cells padded to columns. A cell that needs more than the columns it spans widens the last of them.
-
-    Also what is left of ``room``, the blanks that may be spent.
-    """
+def _laid_out(rows: list[list[Cell]]) -> list[str]:
+    """A table's lines, cells padded to the columns that begin within ``ALIGNED``. A cell that needs more than the columns it spans widens the last of them."""
     placed = _places(rows)
     widths: dict[int, int] = {}
     for row in placed:
@@ -360,11 +360,8 @@ def _laid_out(rows: list[list[Cell]], room: int) -> tuple[list[str], int]:
             widths[inside[-1]] = widths.get(inside[-1], 0) + lack
     starts, x = {}, 0
     for c in used:
-        starts[c] = x
+        starts[c] = x if x <= ALIGNED else 0
         x += widths.get(c, 0) + 2
-    spent = sum(starts[row[-1][0]] * max(len(cell.lines) for _, cell in row) for row in ([x for x in row if x[1].lines] for row in placed) if row)
-    if spent > room:
-        starts, spent = dict.fromkeys(starts, 0), 0
     out = []
     for row in placed:
         shown = [(starts[at], cell.lines) for at, cell in row if cell.lines]
@@ -376,7 +373,7 @@ def _laid_out(rows: list[list[Cell]], room: int) -> tuple[list[str], int]:
                     parts.append(" " * pad + lines[k])
                     x += pad + len(lines[k])
             out.append("".join(parts).rstrip(" "))
-    return out, room - spent
+    return out
 
 
 def _span(node: Node, name: str, most: int) -> int:
@@ -389,7 +386,7 @@ def render(page: str) -> str:
     flows = [_Flow()]
     lists: list[list] = []  # [ordered, next number]
     tables: list[list[list[Cell]]] = []
-    pre, room = 0, 16 * len(page) + (1 << 20)
+    pre = 0
     shown: list[bool] = []  # of open drawings and texts in them: whether characters there are shown
     todo: list[tuple[bool, Node | str]] = [(False, build(page))]
     while todo:
@@ -473,7 +470,7 @@ def render(page: str) -> str:
             shown.pop()
             flow.space = True
         if tag == "table":
-            lines, room = _laid_out(tables.pop(), room)
+            lines = _laid_out(tables.pop())
             flow.whole_lines(lines)
             flow.margin()
         elif tag in ("ul", "ol", "menu"):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinstrand.llm import conversation_repair as repair
-from kinstrand.llm import merkle_manifest, queries, sanitise
+from kinstrand.llm import html_render, merkle_manifest, queries, sanitise
 
 
 def same(found, wanted):
@@ -154,3 +154,16 @@ def test_queries_on_whole_tables(spark, name):
         wanted.append((d, *counts, brute.sha(sanitise.spelled(base)), sanitise.spelled(spans)))
     assert found.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     same(found.collect(), wanted)
+
+
+def test_tables_are_laid_out_one_way():
+    """A table looks the same alone and after a great one; columns that begin beyond the limit are parted by two blanks."""
+    small = "<table><tr><td>a</td><td>b</td></tr><tr><td>long one</td><td>c</td></tr></table>"
+    great = "<table>" + "<tr>" + "".join(f"<td>{'w' * 30}{i}</td>" for i in range(40)) + "</tr>" + "<tr><td colspan=39>x<td>y" * 3000 + "</table>"
+    alone = html_render.render(small).splitlines()
+    assert alone == ["a         b", "long one  c"]
+    both = html_render.render(great + small)
+    assert both.splitlines()[-2:] == alone and html_render.render(small + great).splitlines()[:2] == alone
+    assert both.splitlines()[1] == "x  y" and len(both) < 3000 * 300
+    wide = html_render.render(f"<table><tr><td>{'v' * 300}<td>b<td>c<tr><td>x<td>yyy<td>z</table>").splitlines()
+    assert wide == ["v" * 300 + "  b  c", "x  yyy  z"]
