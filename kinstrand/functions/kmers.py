@@ -70,15 +70,17 @@ def shared_words(queries: DataFrame, targets: DataFrame) -> DataFrame:
 COMMON = 12
 
 
-def pairs_sharing(queries: DataFrame, targets: DataFrame, need: DataFrame, within: bool, common: int = COMMON) -> DataFrame:
+def pairs_sharing(queries: DataFrame, targets: DataFrame, need: DataFrame, within: bool, common: int = COMMON, before: Column | None = None) -> DataFrame:
     """(q, r, shared, first_word) as :func:`shared_words` gives them, of the pairs that share at least as many words as ``need`` (q, need) asks for.
 
-    ``queries`` and ``targets`` are stored posting tables; ``within``: they are the same one, and only r < q counts.
+    ``queries`` and ``targets`` are stored posting tables; ``within``: they are the same one, and only r < q counts; ``before``: a condition on q and r that pairs must meet.
     Exact, without joining common words to each other: a word's targets are listed, up to ``common`` of them. A query whose
     common words come to fewer than it needs must share the others, so these lists make its candidates, with a bound that the
     common words lower; only candidates look their common words up. The few queries of which most words are common are
     joined by these as well.
     """
+    if not within:  # words of other targets alone are never looked at again
+        targets = stored(targets.join(queries.select("word").distinct(), "word", "left_semi"))
     place = F.row_number().over(Window.partitionBy("word").orderBy("rank"))
     few = targets.withColumn("n", place).where(F.col("n") <= common + 1)
     lists = few.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "cnt"))).alias("at"))
@@ -91,6 +93,7 @@ def pairs_sharing(queries: DataFrame, targets: DataFrame, need: DataFrame, withi
         met = rare.select("word", F.explode(pair).alias("x")).select("word", "x.*")
     else:
         met = queries.join(rare, "word").select("word", F.col("rank").alias("q"), "cnt", F.explode("at").alias("y")).select("word", "q", F.col("y.rank").alias("r"), F.least("cnt", "y.cnt").alias("m"))
+    met = met if before is None else met.where(before)
     found = stored(met.groupBy("q", "r").agg(F.sum("m").alias("shared"), F.min("word").alias("first_word")))
 
     late = stored(queries.join(usual, "word").select(F.col("rank").alias("q"), "word", F.col("cnt").alias("n")))
@@ -104,7 +107,7 @@ def pairs_sharing(queries: DataFrame, targets: DataFrame, need: DataFrame, withi
     # queries whose common words might do by themselves
     whole = asked.where("all").select("q", "need")
     wide = late.join(whole.select("q"), "q", "left_semi").join(of, "word")
-    wide = (wide.where("r < q") if within else wide).select("q", "r", F.least("n", "m").alias("m"), "word")
+    wide = (wide.where("r < q") if within else wide if before is None else wide.where(before)).select("q", "r", F.least("n", "m").alias("m"), "word")
     wide = wide.unionByName(found.join(whole.select("q"), "q", "left_semi").select("q", "r", F.col("shared").alias("m"), F.col("first_word").alias("word")))
     second = wide.groupBy("q", "r").agg(F.sum("m").alias("shared"), F.min("word").alias("first_word")).join(whole, "q").select("q", "r", "shared", "first_word", "need")
     return stored(first.where("shared >= need")).unionByName(stored(second.where("shared >= need"))).select("q", "r", F.col("shared").cast("long").alias("shared"), "first_word")

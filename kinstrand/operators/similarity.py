@@ -10,6 +10,7 @@ When a round leaves more than half of the undecided so, most candidates reject e
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -136,10 +137,41 @@ def _skipped_words(seq: str, options: Options) -> Column:
     return of(F.length(seq)) - F.aggregate(runs, F.lit(0), lambda n, run: n + of(F.length(run)))
 
 
-def candidates(queries: DataFrame, targets: DataFrame, options: Options, within: bool) -> DataFrame:
+#: Lengths of one class differ by this factor at most.
+LENGTH_CLASS = 1.25
+_CLASSES = 256
+
+
+def _class(length: Column | str) -> Column:
+    return F.floor(F.ln(F.greatest(F.col(length) if isinstance(length, str) else length, F.lit(1))) / F.lit(math.log(LENGTH_CLASS))).cast("int")
+
+
+def _by_length(words: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings with their words under classes of lengths: ``classes`` (rank, class), a row for each class; rank * 256 + class tells copies apart."""
+    each = words.join(classes, "rank")
+    return each.select((F.col("rank") * _CLASSES + F.col("class")).alias("rank"), F.concat(F.chr(F.col("class") + 64), "word").alias("word"), "cnt")
+
+
+def banded(queries: DataFrame, targets: DataFrame, need: DataFrame, reach: DataFrame, sizes: DataFrame, within: bool) -> DataFrame:
+    """As :func:`kmers.pairs_sharing`, of pairs whose lengths may fit: words meet only where a target's class of length is in a query's reach.
+
+    ``reach`` (rank, low, high: lengths that a query may join), ``sizes`` (rank, len of targets). A query stands for itself in each class from low to high, with its own need.
+    """
+    low, high = _class("low"), F.least(_class("high"), F.lit(_CLASSES - 1))
+    classes = greedy.stored(reach.where("low <= high").select("rank", F.explode(F.sequence(low, F.greatest(low, high))).alias("class")))
+    mine = greedy.stored(_by_length(queries, classes))
+    own = targets.join(sizes.select("rank", _class("len").alias("class")), "rank")
+    other = greedy.stored(own.select("rank", F.concat(F.chr(F.col("class") + 64), "word").alias("word"), "cnt"))
+    asked = need.join(classes.withColumnRenamed("rank", "q"), "q").select((F.col("q") * _CLASSES + F.col("class")).alias("q"), "need")
+    found = K.pairs_sharing(mine, other, asked, within=False, before=F.expr(f"r < q div {_CLASSES}") if within else None)
+    return found.select(F.expr(f"q div {_CLASSES}").alias("q"), "r", "shared", F.expr("substring(first_word, 2)").alias("first_word"))
+
+
+def candidates(queries: DataFrame, targets: DataFrame, options: Options, within: bool, postings: DataFrame | None = None) -> DataFrame:
     """(q, r, strand, shared, first_word, required, required_aas, required_aa1) of pairs that may pass.
 
-    ``within``: one ranked table against itself, r < q; else every target may be joined.
+    ``within``: one ranked table against itself, r < q; else every target may be joined. ``postings``: those of the targets, as far as queries
+    have their words, if they are known. Where lengths are bounded on both sides, words meet by classes of length (:func:`banded`).
     """
     need = K.required_words("len", options.identity, options.word, 2 if options.alphabet == "aa" else 4, options.tolerance, options.alphabet == "nt", options.distance)
     floor = 1 if options.alphabet == "nt" else 0
@@ -147,18 +179,25 @@ def candidates(queries: DataFrame, targets: DataFrame, options: Options, within:
     lost = _skipped_words("seq", options) if options.alphabet == "nt" else F.lit(0)
     q = queries.select(F.col("rank").alias("q"), F.col("len").alias("q_len"), *(F.greatest(c - lost, F.lit(floor)).alias(n) for n, c in need.items()))
     asked = q.select("q", F.greatest("required_aan", F.lit(1)).alias("need"))
-    target = greedy.stored(_postings(targets, options))
-    found = K.pairs_sharing(target if within else greedy.stored(_postings(queries, options)), target, asked, within).withColumn("strand", F.lit("+"))
+    target = greedy.stored(_postings(targets, options)) if postings is None else postings
+    longest = S.upper_length("q_len", options.length_share, options.length_gap, options.cover_long, options.cover_long_gap)
+    shortest = F.col("q_len") if within else S.lower_length("q_len", options.length_share2, options.length_gap2)
+    bounded = options.length_share > 0 or options.length_gap < UNSET or options.cover_long > 0 or options.cover_long_gap < UNSET
+    reach = q.select(F.col("q").alias("rank"), shortest.alias("low"), longest.alias("high"))
+
+    def meet(words: DataFrame, self_join: bool) -> DataFrame:
+        if bounded:
+            return banded(words, target, asked, reach, targets.select("rank", "len"), within)
+        return K.pairs_sharing(words, target, asked, self_join, before=F.expr("r < q") if within and not self_join else None)
+
+    found = meet(target if within else greedy.stored(_postings(queries, options)), within).withColumn("strand", F.lit("+"))
     if options.both_strands:
         flipped = greedy.stored(_postings(queries.select("rank", S.reverse_complement("seq").alias("seq")), options))
-        other = K.pairs_sharing(flipped, target, asked, within=False).withColumn("strand", F.lit("-"))
-        found = found.unionByName(other.where("r < q") if within else other)
+        found = found.unionByName(meet(flipped, False).withColumn("strand", F.lit("-")))
     r = targets.select(F.col("rank").alias("r"), F.col("len").alias("r_len"))
     pairs = found.join(q, "q").join(r, "r")
-    pairs = pairs.where(F.col("r_len") <= S.upper_length("q_len", options.length_share, options.length_gap, options.cover_long, options.cover_long_gap))
-    if not within:
-        pairs = pairs.where(F.col("r_len") >= S.lower_length("q_len", options.length_share2, options.length_gap2))
-    return pairs
+    pairs = pairs.where(F.col("r_len") <= longest)
+    return pairs if within else pairs.where(F.col("r_len") >= shortest)
 
 
 #: What a query gets: its representative and the alignment to it, or nothing; and how many alignments it took.

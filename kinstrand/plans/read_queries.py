@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
-from kinstrand.operators import chimeras, duplicates, evaluation, hsp, ranking, reads, similarity
+from kinstrand.functions.storage import shared_folder
+from kinstrand.operators import chimeras, duplicates, evaluation, greedy, hsp, ranking, reads, similarity
 from kinstrand.operators.similarity import Options
+from kinstrand.operators.word_index import WordIndex
 from kinstrand.plans import pipelines
 from kinstrand.plans.cluster_queries import with_places
 from kinstrand.plans.fixtures import AA, CLUSTERS, clusters, table
@@ -195,13 +199,13 @@ _add("annotate_refs", lambda s, d: formats.annotate_references(table(s, d, "nati
      "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_nationkey || CASE WHEN n_nationkey > 3 THEN '|' || n_name ELSE '' END AS descr, 'ACGT' AS seq_raw FROM nation")
 
 
-# incremental: conversations of even length against those before them
+# incremental: first turns of a number go into a growing index, others of it follow
 def _incremental(s, d):
-    rows = _turns(s, d)
-    first = rows.where("seq_idx % 100000 < 100")
-    base = similarity.cluster(first, Options(identity=0.8))
-    reps = first.join(base.where("is_rep").select("seq_idx"), "seq_idx", "left_semi")
-    hits, rest = similarity.incremental(reps, rows.where("seq_idx % 100000 >= 100"), Options(identity=0.8))
+    rows = greedy.stored(_turns(s, d))
+    index = WordIndex(s, f"{shared_folder(s)}/kinstrand/index-{uuid.uuid4().hex}", Options(identity=0.8))
+    first = F.col("seq_idx") % 100_000 < 100
+    index.grow(rows.where(first), 0)
+    hits, rest = index.grow(rows.where(~first), 1)
     return hits.select(F.col("q").alias("seq_idx"), F.lit("old").alias("joins")).unionByName(rest.select("seq_idx", F.when(F.col("is_rep"), "none").otherwise("new").alias("joins")))
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from kinstrand.operators import similarity
+from kinstrand.functions.storage import stored
 from kinstrand.operators.similarity import Options
+from kinstrand.operators.word_index import WordIndex
 
 
 def exact_duplicates(stream: DataFrame, seq: str = "seq") -> DataFrame:
@@ -31,29 +32,20 @@ def windowed_counts(stream: DataFrame, time: str, span: str, delay: str, *keys:
     return stream.withWatermark(time, delay).groupBy(F.window(time, span), *keys).agg(F.count("*").alias("n"))
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schema)
+def incremental_batch(folder: str, options: Options, buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: rows (seq_idx, seq) join representatives of the index in ``folder``/index or become clusters.
 
-
-def incremental_batch(folder: str, options: Options) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows (seq_idx, seq) join known representatives in ``folder``/reps or become clusters.
-
-    Writes folder/reps and folder/members, a partition for each batch, overwritten if the batch is run again.
+    Writes folder/index and folder/members, a version or partition for each batch, overwritten if the batch is run again. Of earlier representatives
+    only the buckets with the batch's words are read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        reps = _table(spark, f"{folder}/reps", "seq_idx long, seq string, batch long").where(F.col("batch") < batch_id).select("seq_idx", "seq")
-        hits, rest = similarity.incremental(reps, batch.select("seq_idx", "seq"), options)
+        rows = stored(batch.select("seq_idx", "seq"))
+        hits, rest = WordIndex(batch.sparkSession, f"{folder}/index", options, buckets).grow(rows, batch_id)
         own = rest.where("is_rep").select(F.col("seq_idx").alias("rep_idx"), "cluster_id")
         inside = rest.join(own, "cluster_id").select("seq_idx", "rep_idx", "is_rep", F.col("identity").cast("float").alias("identity"))
         members = hits.select(F.col("q").alias("seq_idx"), F.col("r").alias("rep_idx"), F.lit(False).alias("is_rep"), "identity").unionByName(inside)
-        fresh = batch.join(own.select(F.col("rep_idx").alias("seq_idx")), "seq_idx", "left_semi").select("seq_idx", "seq")
-        for name, rows in (("members", members), ("reps", fresh)):
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        members.write.mode("overwrite").parquet(f"{folder}/members/batch={batch_id}")
 
     return run
 
