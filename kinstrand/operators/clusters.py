@@ -6,9 +6,12 @@ representative). Operators are windows and aggregates over cluster_id, so one sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinstrand.functions.storage import stored
 from kinstrand.operators.ranking import numbered
 
 
@@ -182,6 +185,35 @@ def tree(parents: DataFrame, children: DataFrame) -> DataFrame:
     return nodes.groupBy("cluster_id").agg(F.max(F.when(F.col("is_rep"), F.col("id"))).alias("rep"), _long(F.sum(F.size("leaves"))).alias("n_leaves"), packed.alias("nodes"))
 
 
+def forest(top: DataFrame, *finer: DataFrame) -> DataFrame:
+    """A row for each node of the trees under the clusters of ``top``: cluster_id, path, id, len, identity, is_rep, leaf and n_leaves.
+
+    ``finer`` are cluster tables of as many levels as there are, from coarse to fine; a member that represents a cluster of the next level has its members
+    for children. ``path`` has the member numbers from the top, so trees are in order when sorted by it. A join for each level; leaves are counted
+    for all nodes above them at once.
+    """
+    columns = ["cluster_id", "path", "id", "len", "identity", "is_rep"]
+    nodes = top.select("cluster_id", F.array(F.col("member_no").cast("long")).alias("path"), "id", "len", "identity", "is_rep")
+    levels = []
+    for level in finer:
+        heads = level.where("is_rep").select(F.col("id").alias("__id"), F.col("cluster_id").alias("__child"))
+        met = stored(nodes.join(heads, F.col("id") == F.col("__id"), "left").drop("__id"))
+        levels.append(met.select(*columns, F.col("__child").isNull().alias("leaf")))
+        below = level.select(F.col("cluster_id").alias("__child"), F.col("member_no").cast("long").alias("__no"), "id", "len", "identity", "is_rep")
+        nodes = met.where("__child is not null").select("cluster_id", "path", "__child").join(below, "__child").withColumn("path", F.concat("path", F.array("__no"))).select(*columns)
+    rows = stored(reduce(DataFrame.unionByName, [*levels, nodes.withColumn("leaf", F.lit(True))]))
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("path")
+    counts = rows.where("leaf").select("cluster_id", above).groupBy("cluster_id", "path").agg(F.count("*").alias("n_leaves"))
+    return rows.join(counts, ["cluster_id", "path"])
+
+
+def sort_forest(nodes: DataFrame, by: str = "no") -> DataFrame:
+    """cluster_id, rep, n_leaves, longest and place of the trees of a forest: most leaves first (no), longest member at the top first (len) or by the representative's name (des)."""
+    tops = nodes.where(F.size("path") == 1).groupBy("cluster_id")
+    trees = tops.agg(F.max(F.when(F.col("is_rep"), F.col("id"))).alias("rep"), _long(F.sum("n_leaves")).alias("n_leaves"), _long(F.max("len")).alias("longest"))
+    return numbered(trees, {"no": F.desc("n_leaves"), "len": F.desc("longest"), "des": F.asc("rep")}[by], "cluster_id", start=1)
+
+
 def newick(clusters: DataFrame) -> DataFrame:
     """cluster_id, tree: ``rep:1.0`` for one member, else the members with their distances from the representative."""
     share = F.format_string("%.4f", 1 - F.coalesce("identity", F.lit(100.0)) / 100)

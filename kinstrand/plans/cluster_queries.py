@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinstrand.functions.sequences import size_class
 from kinstrand.operators import clusters as C
 from kinstrand.operators import evaluation as E
-from kinstrand.plans.fixtures import CLUSTERS, PARENTS, clusters, parents, table
+from kinstrand.plans.fixtures import CLUSTERS, GRANDPARENTS, PARENTS, clusters, grandparents, parents, table
 
 QUERIES, SQL = {}, {}
 _WITH = f"WITH c AS ({CLUSTERS})"
@@ -82,6 +82,18 @@ _add("clstr_sort_levels", lambda s, d: C.sort_levels(C.levels(clusters(s, d), pa
 _add("clstr_tree", lambda s, d: C.tree(parents(s, d), clusters(s, d)).select("cluster_id", "rep", "n_leaves", F.to_json(F.transform("nodes", lambda x: F.struct(x.id, x.leaves))).alias("nodes")), f"""{_P}, t AS (SELECT h.id, list(m.id ORDER BY m.member_no) AS leaves FROM c h JOIN c m USING (cluster_id) WHERE h.is_rep GROUP BY 1)
   SELECT cluster_id, max(p.id) FILTER (is_rep) AS rep, sum(len(leaves))::BIGINT AS n_leaves,
     '[' || string_agg('{{"id":"' || p.id || '","leaves":["' || array_to_string(leaves, '","') || '"]}}', ',' ORDER BY member_no) || ']' AS nodes FROM p JOIN t USING (id) GROUP BY 1""")
+# trees of three levels: nations, customers, orders
+_FOREST = f"""WITH c AS MATERIALIZED ({CLUSTERS}), p AS MATERIALIZED ({PARENTS}), g AS MATERIALIZED ({GRANDPARENTS}),
+  ch AS (SELECT id, cluster_id AS k FROM c WHERE is_rep), ph AS (SELECT id, cluster_id AS k FROM p WHERE is_rep),
+  two AS (SELECT g.cluster_id, [g.member_no, p.member_no] AS path, p.id FROM g JOIN ph ON ph.id = g.id JOIN p ON p.cluster_id = ph.k),
+  three AS (SELECT two.cluster_id, list_append(path, c.member_no) AS path, c.id FROM two JOIN ch ON ch.id = two.id JOIN c ON c.cluster_id = ch.k),
+  nodes AS (SELECT cluster_id, [member_no] AS path, id FROM g UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
+  n AS (SELECT cluster_id, path[1:k] AS path, count(*) AS n_leaves FROM three, range(1, 4) AS t(k) GROUP BY ALL)
+  SELECT cluster_id, array_to_string(path, '.') AS path, id, len(path)::BIGINT AS depth, n_leaves::BIGINT AS n_leaves FROM nodes JOIN n USING (cluster_id, path)"""
+_nodes = lambda s, d: C.forest(grandparents(s, d), parents(s, d), clusters(s, d))
+_add("clstr_forest", lambda s, d: _nodes(s, d).select("cluster_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "id", F.size("path").cast("long").alias("depth"), "n_leaves"), _FOREST)
+_add("forest_sort", lambda s, d: C.sort_forest(_nodes(s, d)).select("cluster_id", "rep", "n_leaves", "place"),
+     f"""WITH f AS ({_FOREST}) SELECT f.cluster_id, max(f.id) FILTER (f.path = '0') AS rep, sum(n_leaves)::BIGINT AS n_leaves, row_number() OVER (ORDER BY sum(n_leaves) DESC, f.cluster_id) AS place FROM f WHERE depth = 1 GROUP BY 1""")
 _add("clstr_newick", lambda s, d: C.newick(clusters(s, d)), f"""{_WITH} SELECT cluster_id, CASE WHEN count(*) = 1 THEN max(id) || ':1.0' ELSE '(' || string_agg(id || ':' || printf('%.4f', 1 - coalesce(identity, 100) / 100), ',' ORDER BY member_no) || '):' || printf('%.4f', coalesce(min(identity), 100) / 100) END AS tree FROM c GROUP BY 1""")
 
 

@@ -72,3 +72,20 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n", n).select(
         F.col("o_custkey").alias("cluster_id"), (F.col("n") - 1).cast("long").alias("member_no"), "id", "len", (F.col("n") == 1).alias("is_rep"), F.when(F.col("n") > 1, 90.0).alias("identity")
     )
+
+
+#: A third level: representatives of customers' clusters, by nation; the richest customer represents.
+GRANDPARENTS = f"""
+  SELECT c_nationkey AS cluster_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS member_no,
+    r.id AS id, r.len AS len, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1 AS is_rep,
+    CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) > 1 THEN 60.0 END AS identity
+  FROM customer JOIN (SELECT * FROM ({PARENTS}) WHERE is_rep) r ON c_custkey = r.cluster_id"""
+
+
+def grandparents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = parents(spark, sf_dir).where("is_rep").select(F.col("cluster_id").alias("c_custkey"), "id", "len")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(reps, "c_custkey")
+    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return rows.withColumn("n", n).select(
+        F.col("c_nationkey").alias("cluster_id"), (F.col("n") - 1).cast("long").alias("member_no"), "id", "len", (F.col("n") == 1).alias("is_rep"), F.when(F.col("n") > 1, 60.0).alias("identity")
+    )

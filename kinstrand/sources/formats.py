@@ -174,6 +174,30 @@ def write_xml(tree: DataFrame, path: str) -> None:
     tree.write.format("xml").option("rowTag", "cluster").option("rootTag", "clusters").save(path)
 
 
+def forest_xml(nodes: DataFrame) -> DataFrame:
+    """cluster_id, at and value: the lines of nested XML, in order by cluster_id and at, of the nodes of a forest.
+
+    What opens a node comes at its path and what closes it after all paths that begin with it, so lines need no other node's place.
+    """
+    escaped = F.col("id")
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        escaped = F.replace(escaped, F.lit(c), F.lit(name))
+    identity = F.when(F.col("identity").isNotNull(), F.format_string(' identity="%.2f"', F.col("identity").cast("double"))).otherwise("")
+    node = F.concat(F.repeat(F.lit(" "), F.size("path")), F.lit('<node id="'), escaped, F.lit('" len="'), F.col("len").cast("string"), F.lit('"'), identity, F.lit(' leaves="'), F.col("n_leaves").cast("string"), F.lit('"'))
+    last = F.lit((1 << 63) - 1)
+    lines = nodes.select("cluster_id", F.col("path").alias("at"), F.concat(node, F.when(F.col("leaf"), "/>").otherwise(">")).alias("value"))
+    closed = nodes.where("not leaf").select("cluster_id", F.concat("path", F.array(last)).alias("at"), F.concat(F.repeat(F.lit(" "), F.size("path")), F.lit("</node>")).alias("value"))
+    tops = nodes.where(F.size("path") == 1).groupBy("cluster_id").agg(F.sum("n_leaves").alias("n"))
+    begin = tops.select("cluster_id", F.array().cast("array<bigint>").alias("at"), F.format_string('<cluster id="%s" leaves="%d">', F.col("cluster_id").cast("string"), "n").alias("value"))
+    end = tops.select("cluster_id", F.array(last).alias("at"), F.lit("</cluster>").alias("value"))
+    return lines.unionByName(closed).unionByName(begin).unionByName(end)
+
+
+def write_forest_xml(nodes: DataFrame, path: str) -> None:
+    """Nested XML of any depth as text: files in order, each with whole clusters. A cluster's lines are sorted, not gathered."""
+    forest_xml(nodes).repartitionByRange("cluster_id").sortWithinPartitions("cluster_id", "at").select("value").write.text(path)
+
+
 HIT_SCHEMA = "qid string, sid string, iden double, aln_len long, mismatches long, gaps long, qfrom long, qend long, sfrom long, send long, evalue double, score double"
 
 
