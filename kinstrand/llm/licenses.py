@@ -2,12 +2,15 @@
 
 A block is any run of consecutive words, across line ends, half as long again as the template it is held against; its tokens
 are the set of its words. A block matches a template if it has at least ``containment`` of the
-template's tokens. The join is exact: tokens are ordered by how many documents of the scanned table
-have them, rarest first; a match needs one of the first ``size - need + 1`` tokens of that order (prefix filter), at
-least ``need`` of the template's tokens near it (length filter), and, from the first shared prefix token on, enough
-tokens left (positional filter); what passes is verified by counting distinct tokens. The template index is a
-few rows made from a fixed list; blocks are generated, filtered and verified within their own row, so
-the join needs no shuffle, whatever words are frequent.
+template's tokens. The join is exact. Tokens are ordered by how many documents of the scanned table have them, rarest first. Of what a block
+shares with a template, one token comes first in that order; if the block matches, it is one of the template's first ``size - need + 1``, so
+places of words are joined with an index of these tokens only (prefix filter), by equality. From the template's tokens within a
+block's reach of such a place the join goes on only if there are ``need`` (length filter), and only if those that come after the place's own token in the order are
+``need - 1`` (positional filter: what comes before belongs to other places). What is left is verified by counting distinct tokens from each start.
+
+Templates are rows of a table, so a list of any length makes the same plan; the index is broadcast after its size is checked.
+Places of a document are rows of the join, each with the words in reach only, so a text with many of them is no single unit, whatever words are frequent;
+its matches are combined by task before they meet.
 
 Texts are read once: what is kept of one, in a stored table, is its number of words and the places of the words that
 phrases and templates are made of. Frequencies come from that table.
@@ -71,40 +74,55 @@ def document_frequencies(placed: DataFrame, vocabulary: set[str]) -> dict[str, i
     return dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-class Index:
-    """Templates with their tokens in the global order, their prefixes, and the length of their blocks."""
-
-    def __init__(self, frequencies: Mapping[str, int], templates: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> None:
-        self.rows = []
-        for text, label in templates.items():
-            tokens = sorted(set(text.split()), key=lambda w: (frequencies[w], w))
-            need = math.ceil(containment * len(tokens) - 1e-9)
-            self.rows.append((label, tokens, need, block_words(text)))
-        self.prefixes = sorted({w for _, tokens, need, _ in self.rows for w in tokens[: len(tokens) - need + 1]})
-
-
-def _array(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
+#: Rows that the index of prefix tokens may have to be broadcast: a template has as many as it may lack tokens, and one.
+MOST_INDEX_ROWS = 100_000
+_INDEX = "template int, w string, at int, size int, need int, length int, tokens array<string>"
 
 
-def _best_block(hits: Column, anchors: Column, tokens: list[str], need: int, length: int) -> Column:
-    """(distinct tokens, first word) of the best block with a prefix token of the template, the earliest of equals; null: none meets ``need``."""
-    prefix = tokens[: len(tokens) - need + 1]
+def index_rows(frequencies: Mapping[str, int], templates: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> list[tuple]:
+    """A row for each prefix token of each template: template, token, its place in the template's order (from 1), size, need, words of a block, all tokens in order."""
+    rows = []
+    for template, text in enumerate(templates):
+        tokens = sorted(set(text.split()), key=lambda w: (frequencies[w], w))
+        need = math.ceil(containment * len(tokens) - 1e-9)
+        rows += [(template, w, at, len(tokens), need, block_words(text), tokens) for at, w in enumerate(tokens[: len(tokens) - need + 1], 1)]
+    return rows
 
-    def blocks(anchor: Column) -> Column:
-        near = F.filter(F.slice(hits, F.greatest(anchor["k"] - (length - 1), F.lit(0)) + 1, 2 * length - 1), lambda x: x["w"].isin(tokens) & (F.abs(x["p"] - anchor["p"]) < length))
-        starts = F.filter(near, lambda x: x["p"] <= anchor["p"])
 
-        def counted(start: Column) -> Column:
-            inside = F.filter(near, lambda x: (x["p"] >= start["p"]) & (x["p"] < start["p"] + length))
-            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["w"]))).alias("n"), (-start["p"]).alias("o"))
+def candidates(placed: DataFrame, rows: list[tuple], filters: tuple[str, ...] = ("length", "position")) -> DataFrame:
+    """id, template, p, size, need, length and near of the places that prefix tokens, and the filters, leave.
 
-        return F.when(F.size(near) >= need, F.array_max(F.transform(starts, counted)))
-
-    order = _array(tokens)  # a token's place there is counted from 1
-    mine = F.filter(anchors, lambda a: a["w"].isin(prefix) & (len(tokens) - F.array_position(order, a["w"]) + 1 >= need))
-    best = F.array_max(F.array_compact(F.transform(mine, blocks)))
-    return F.when(best["n"] >= need, best)
+    ``near``: places (p, w) within a block's reach of p of the template's tokens, from the own one on in the template's order.
+    """
+    spark = placed.sparkSession
+    reach = max((r[5] for r in rows), default=1)
+    prefixes = spark.createDataFrame(rows, _INDEX)
+    if len(rows) <= MOST_INDEX_ROWS:
+        prefixes = F.broadcast(prefixes)
+    words = sorted({r[1] for r in rows})
+    at = F.array_compact(F.transform("hits", lambda x, k: F.when(x.w.isin(words), k)))
+    anchors = placed.select("id", "hits", F.explode(at).alias("k"))
+    anchors = anchors.select("id", F.get("hits", F.col("k")).alias("own"), F.slice("hits", F.greatest(F.col("k") - (reach - 1), F.lit(0)) + 1, 2 * reach - 1).alias("around"))
+    met = anchors.select("id", F.col("own.p").alias("p"), F.col("own.w").alias("w"), "around").join(prefixes, "w")
+    met = met.withColumn("mine", F.filter("around", lambda x: (F.abs(x.p - F.col("p")) < F.col("length")) & F.array_contains("tokens", x.w)))
+    if "length" in filters:
+        met = met.where(F.size("mine") >= F.col("need"))
+    met = met.withColumn("near", F.filter("mine", lambda x: F.array_position("tokens", x.w) >= F.col("at")))
+    if "position" in filters:
+        met = met.where(F.size(F.array_distinct(F.transform("near", lambda x: x.w))) >= F.col("need"))
+    return met.select("id", "template", "p", "size", "need", "length", "near")
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """id, template, n and first_word: the block with most distinct tokens of the template, the earliest of equals, where it has ``need``."""
+
+    def counted(start: Column) -> Column:
+        inside = F.filter("near", lambda x: (x.p >= start.p) & (x.p < start.p + F.col("length")))
+        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x.w))).alias("n"), (-start.p).alias("o"))
+
+    best = found.select("id", "template", "size", "need", F.array_max(F.transform(F.filter("near", lambda x: x.p <= F.col("p")), counted)).alias("b"))
+    best = best.where(F.col("b.n") >= F.col("need")).groupBy("id", "template", "size").agg(F.max("b").alias("b"))
+    return best.select("id", "template", (F.col("b.n") / F.col("size")).alias("score"), (-F.col("b.o")).cast("long").alias("first_word"))
 
 
 def _phrase_places(hits: Column, phrase: str) -> Column:
@@ -127,23 +145,16 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment:
     matches are the best blocks: (label, score, first_word). score is the best containment; 1 where a phrase stands.
     """
     vocabulary = {w for t in [*templates, *PHRASES] for w in t.split()}
-    placed = cut(placed_words(docs, vocabulary), "license-words")
-    index = Index(document_frequencies(placed, vocabulary), templates, containment)
-    hits = F.col("hits")
-    anchors = F.filter(F.transform(hits, lambda x, k: F.struct(k.alias("k"), x["p"].alias("p"), x["w"].alias("w"))), lambda x: x["w"].isin(index.prefixes))
-    rows = placed.withColumn("anchors", anchors)
-    found = []
-    for label, tokens, need, length in index.rows:
-        best = _best_block(hits, F.col("anchors"), tokens, need, length)
-        found.append(F.when(F.size("anchors") > 0, best).alias(label))
-    names = [f"t{i}" for i in range(len(found))]
-    rows = rows.select("doc_id", "n_words", *(_phrase_places(hits, p).alias(f"p{i}") for i, p in enumerate(PHRASES)), *(c.alias(n) for c, n in zip(found, names, strict=True)))
-    matches = F.array_compact(
-        F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.lit(label).alias("label"), (F.col(n)["n"] / len(tokens)).alias("score"), (-F.col(n)["o"]).cast("long").alias("first_word"))) for n, (label, tokens, _, _) in zip(names, index.rows, strict=True)))
-    )
+    placed = cut(placed_words(docs, vocabulary).withColumn("id", F.monotonically_increasing_id()), "license-words")
+    rows = index_rows(document_frequencies(placed, vocabulary), templates, containment)
+    names = F.array(*map(F.lit, templates.values()))
+    found = verified(candidates(placed, rows)).select("id", F.struct(F.get(names, F.col("template")).alias("label"), "score", "first_word").alias("m"))
+    matches = found.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("matches"))  # as many as there are templates at most
+    rows = placed.select("id", "doc_id", "n_words", *(_phrase_places(F.col("hits"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)))
     every = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
     base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
-    rows = rows.select("doc_id", "n_words", every.alias("places"), base.alias("base"), matches.alias("matches"))
+    rows = rows.select("id", "doc_id", "n_words", every.alias("places"), base.alias("base")).join(matches, "id", "left")
+    rows = rows.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<label: string, score: double, first_word: bigint>>")))
     return rows.select(
         "doc_id",
         "n_words",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinstrand.llm import conversation_repair as repair
-from kinstrand.llm import html_render, merkle_manifest, queries, sanitise
+from kinstrand.llm import html_render, licenses, merkle_manifest, queries, sanitise
 
 
 def same(found, wanted):
@@ -167,3 +167,36 @@ def test_tables_are_laid_out_one_way():
     assert both.splitlines()[1] == "x  y" and len(both) < 3000 * 300
     wide = html_render.render(f"<table><tr><td>{'v' * 300}<td>b<td>c<tr><td>x<td>yyy<td>z</table>").splitlines()
     assert wide == ["v" * 300 + "  b  c", "x  yyy  z"]
+
+
+def test_license_filters(spark):
+    """Hundreds of templates make the same plan; the length and the positional filter drop places that prefix tokens bring, and no match."""
+    rng = random.Random(12)
+    vocabulary = [f"l{i}" for i in range(70)]
+    templates = {" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 12))): f"label{k}" for k in range(300)}
+    listed = list(templates)
+    texts = []
+    for i in range(120):
+        words = [rng.choice(vocabulary[:40] + ["other", "words", "between"]) for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(words))
+            words[k:k] = [w for w in rng.choice(listed).split() if rng.random() < 0.9]
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = 0
+    for r in licenses.scan(docs, templates).collect():
+        wanted = brute.license_labels(texts[r.doc_id][1], templates)
+        got = {}
+        for m in r.matches:
+            got[m.label] = max(got.get(m.label, 0), m.score)
+        assert got == wanted and r.score == max(wanted.values(), default=0)
+        found += len(wanted)
+    assert found > 60
+    vocabulary = {w for t in [*templates, *licenses.PHRASES] for w in t.split()}
+    placed = licenses.placed_words(docs, vocabulary).withColumn("id", F.monotonically_increasing_id()).cache()
+    rows = licenses.index_rows(licenses.document_frequencies(placed, vocabulary), templates)
+    counts = [licenses.candidates(placed, rows, f).count() for f in ((), ("length",), ("length", "position"))]
+    assert counts[0] > counts[1] > counts[2] >= found
+    size = lambda n: len(licenses.scan(docs, dict(list(templates.items())[:n]))._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(300) == size(20)
+    placed.unpersist()
