@@ -17,7 +17,7 @@ from kinstrand.plans.fixtures import AA, CLUSTERS, PARENTS, aa, aa_sql, clusters
 from kinstrand.plans.read_queries import HITS, _hits
 from kinstrand.plans.sequence_queries import _SHARED, _TWO, _passing, _two
 from kinstrand.sources import formats
-from kinstrand.streaming import incremental
+from kinstrand.streaming import abundances, incremental
 
 QUERIES, SQL = {}, {}
 
@@ -293,6 +293,18 @@ def stream_duplicates(s, d):
     return s.read.schema("seq string").parquet(out)
 
 
+@_add("stream_abundances", f"SELECT md5(seq) AS seq, min(doc_id) AS seq_idx, count(*)::BIGINT AS abundance FROM (SELECT doc_id, {AA} AS seq FROM documents) GROUP BY seq")
+def stream_abundances(s, d):
+    """Counts of equal sequences as documents arrive in two batches, each a run that is restarted from the state of the one before."""
+    rows, source, out = table(s, d, "documents").select(F.col("doc_id").alias("seq_idx"), S.letters_only(F.coalesce("text", F.lit(""))).alias("seq")), _folder(s), _folder(s)
+    middle = rows.agg(F.avg("seq_idx").alias("m")).first()["m"] or 0
+    for part in (F.col("seq_idx") <= middle, F.col("seq_idx") > middle):
+        rows.where(part).write.mode("append").parquet(source)
+        abundances.count_stream(s.readStream.schema(rows.schema).parquet(source), out).awaitTermination()
+    found = abundances.current(s, out).join(rows, "seq_idx")
+    return found.select(F.md5("seq").alias("seq"), "seq_idx", "abundance")
+
+
 @_add("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_windows(s, d):
     """Counts by hour and kind, whole after the last batch."""
