@@ -45,6 +45,22 @@ _add("cluster_align_aa", lambda s, d: similarity.cluster(_turns(s, d), Options(i
 _add("cluster_align_aa_accurate", lambda s, d: similarity.cluster(_turns(s, d), Options(identity=0.8, mode="accurate")))
 _add("cluster_align_nt", lambda s, d: similarity.cluster(_turns(s, d, True), Options.nucleotide(identity=0.9)))
 _add("cluster_2d_aa", lambda s, d: similarity.compare(_items(s, d), _turns(s, d), Options(identity=0.6, word=4, length_share2=0.5, length_gap2=similarity.UNSET)))
+
+
+def _in_fragments(s, d):
+    """Candidates by words of neighbouring stretches of thirty letters: four of them, as a distance of a tenth leaves."""
+    options = Options(distance=0.1, fragment=30, length_share2=0.1, length_gap2=similarity.UNSET)
+    rows, queries = greedy.stored(similarity.prepare(_items(s, d), options)), greedy.stored(similarity.prepare(_turns(s, d), options, ranked=False))
+    return similarity.candidates(queries, rows, options, within=False).select("q", "r", "shared")
+
+
+_CODED = f"translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{''.join(chr(97 + S.AMINO_CODES[c]) for c in 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')}')"
+_add("candidates_fragments", _in_fragments, f"""WITH q AS (SELECT seq_idx AS q, length(seq) AS len, {_CODED} AS seq FROM ({_TURNS})), r AS (SELECT row_number() OVER (ORDER BY length(seq) DESC, item_id) - 1 AS r, {_CODED} AS seq FROM (SELECT item_id, {AA} AS seq FROM benchmark) WHERE length(seq) > 10),
+  a AS (SELECT q, len, substring(seq, i::INT, 5) AS word, count(*) AS n FROM (SELECT *, unnest(range(1, len - 3)) AS i FROM q) GROUP BY ALL),
+  b AS (SELECT r, (i - 1) // 30 AS frag, substring(seq, i::INT, 5) AS word, count(*) AS m FROM (SELECT *, unnest(range(1, length(seq) - 3)) AS i FROM r) GROUP BY ALL),
+  s AS MATERIALIZED (SELECT q, len, r, frag, sum(least(n, m)) AS s FROM a JOIN b USING (word) GROUP BY ALL),
+  w AS (SELECT x.q, x.r, x.len, x.frag, sum(y.s) AS shared FROM s x JOIN s y ON x.q = y.q AND x.r = y.r AND y.frag >= x.frag AND y.frag < x.frag + (x.len - 5 + 20) // 30 + 2 GROUP BY ALL)
+  SELECT q, r, max(shared)::BIGINT AS shared FROM w GROUP BY q, r, len HAVING max(shared) >= greatest(1, least(4, len - 4))""")
 _add("pyro_dup", lambda s, d: similarity.cluster(_turns(s, d, True), Options.pyro()))
 _add("dup_mismatch", lambda s, d: duplicates.cluster(ranking.rank_by_length(_turns(s, d, True)), errors=2, same_length=True).select("seq_idx", "rank", "rep_rank", "is_rep"),
      f"""WITH RECURSIVE t AS (SELECT seq_idx, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM ({_TURNS})),

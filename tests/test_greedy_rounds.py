@@ -145,3 +145,23 @@ def test_one_length_is_ranked_by_several_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = sorted(spark.read.parquet(f).count() for f in places.inputFiles())
     assert len(sizes) > 4 and sizes[-1] < 10_000
+
+
+def test_fragments(spark):
+    """A query whose words lie scattered over a long target is no candidate with fragments, one whose words lie together is."""
+    rng = random.Random(4)
+    long_ = "".join(rng.choice(LETTERS) for _ in range(900))
+    together = long_[300:360]
+    scattered = "".join(long_[k : k + 12] for k in (0, 200, 400, 600, 800))
+    first, second = rows_of(spark, [long_]), rows_of(spark, [together, scattered])
+    base = {"identity": 0.9, "length_share2": 0.01, "length_gap2": similarity.UNSET, "least_length": 5}
+
+    def found(**more):
+        options = Options(**(base | more))
+        a, b = greedy.stored(similarity.prepare(first, options)), greedy.stored(similarity.prepare(second, options, ranked=False))
+        return {r.q: r.shared for r in similarity.candidates(b, a, options, within=False).collect()}
+
+    assert found() == {0: 56, 1: 40} and found(fragment=60) == {0: 56}
+    assert [r.q for r in similarity.compare(first, second, Options(**base, fragment=60)).collect()] == [0]
+    with pytest.raises(ValueError, match="residues"):
+        Options.nucleotide(fragment=50)
