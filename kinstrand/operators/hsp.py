@@ -6,14 +6,17 @@ send, evalue, score, frame and hsp_no, the order within (qid, sid), best first.
 
 from __future__ import annotations
 
-
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinstrand.operators import greedy
+from kinstrand.functions import alignment, local
+from kinstrand.functions.storage import stored
+from kinstrand.operators import greedy, ranking
 
 
 def _pair() -> Window:
@@ -151,3 +154,75 @@ def find(queries: DataFrame, targets: DataFrame, k: int = 11, least: int = 1) ->
         F.pow(F.lit(2.0), -same.cast("double")).alias("evalue"), (2 * same - 3 * (length - same)).cast("double").alias("score"), F.lit("++").alias("frame"),
     )
     return hits.withColumn("hsp_no", F.row_number().over(Window.partitionBy("qid", "sid").orderBy(F.desc("score"), "qfrom", "sfrom")).cast("long"))
+
+
+def _class(length: Column) -> Column:
+    return F.floor(F.ln(length) / F.lit(math.log(1.25))).cast("int")
+
+
+def _seeds(queries: DataFrame, targets: DataFrame, k: int, least: int, reach: int, cover_long: float, within: bool) -> DataFrame:
+    """(qid, sid, d): the diagonals with most common words of each band of ``reach`` diagonals that has ``least``.
+
+    Words meet by an equi-join; with a coverage of the longer one only under classes of length that a query's window reaches. Counts by diagonal are combined before they are dealt.
+    """
+    n = F.length("seq")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substr("seq", i, F.lit(k)))).alias("at", "word")
+    low, high = (F.ceil(n * cover_long), F.floor(n / cover_long)) if cover_long else (F.lit(1), F.lit(1 << 30))
+    reached = F.sequence(_class(F.greatest(low, F.lit(1))), _class(high)) if cover_long else F.array(F.lit(0))
+    q = queries.where(n >= k).select(F.col("id").alias("qid"), low.alias("low"), high.alias("high"), F.explode(reached).alias("class"), "seq").select("qid", "low", "high", "class", at).withColumnRenamed("at", "qa")
+    s = targets.where(n >= k).select(F.col("id").alias("sid"), n.alias("n"), (_class(n) if cover_long else F.lit(0)).alias("class"), at).withColumnRenamed("at", "sa")
+    met = q.join(s, ["class", "word"]).where((F.col("sid") < F.col("qid") if within else F.lit(True)) & F.col("n").between(F.col("low"), F.col("high")))
+    counts = met.groupBy("qid", "sid", (F.col("sa") - F.col("qa")).alias("d")).agg(F.count("*").alias("c"))
+    bands = counts.groupBy("qid", "sid", F.floor(F.col("d") / reach).alias("band")).agg(F.max_by("d", F.struct("c", F.col("d"))).alias("d"), F.sum("c").alias("c"))
+    return bands.where(F.col("c") >= least).select("qid", "sid", "d")
+
+
+_FOUND = "qid long, sid long, q_len long, s_len long, score double, matches long, aln_len long, gaps long, qfrom long, qend long, sfrom long, send long"
+
+
+def _extended(reach: int):
+    scoring = alignment.Scoring.amino()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        kinds = [pa.float64() if c.endswith("double") else pa.int64() for c in _FOUND.split(", ")]
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = local.align([(scoring.encode(r["q_seq"]), scoring.encode(r["s_seq"]), r["d"]) for r in rows], scoring, reach)
+            out = [(r["qid"], r["sid"], len(r["q_seq"]), len(r["s_seq"]), float(x.score), x.matches, x.length, x.gaps, x.q_from, x.q_end, x.s_from, x.s_end) for r, x in zip(rows, found, strict=True) if x.score]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def search(queries: DataFrame, targets: DataFrame, k: int = 4, least: int = 2, reach: int = 24, evalue: float = 10.0, cover_long: float = 0.0, within: bool = False) -> DataFrame:
+    """Gapped hits of residue sequences (id long, seq) with E-values, a hit table.
+
+    Seeds are ``least`` common ``k``-words in a band of diagonals; around the best diagonal of each such band the best local alignment is taken, within
+    ``reach`` diagonals at either side. A score is worth K m n exp(-lambda S) hits by chance, with n the letters of all targets; hits above ``evalue`` are left out, and so is
+    what two bands of a pair have both found. ``cover_long``: only pairs whose lengths have this ratio. ``within``: one table against itself, each pair once (sid < qid).
+    """
+    pairs = stored(_seeds(queries, targets, k, least, reach, cover_long, within))
+    letters = targets.agg(F.sum(F.length("seq")).cast("double").alias("letters"))  # one row
+    both = pairs.join(targets.select(F.col("id").alias("sid"), F.col("seq").alias("s_seq")), "sid").join(queries.select(F.col("id").alias("qid"), F.col("seq").alias("q_seq")), "qid")
+    found = both.select("qid", "sid", "d", "q_seq", "s_seq").mapInArrow(_extended(reach), _FOUND).dropDuplicates(["qid", "sid", "qfrom", "qend", "sfrom", "send"])
+    value = F.lit(local.K) * F.col("q_len") * F.col("letters") * F.exp(-F.lit(local.LAMBDA) * F.col("score"))
+    hits = found.crossJoin(F.broadcast(letters)).withColumn("evalue", value).where(F.col("evalue") <= evalue)
+    hits = hits.select(
+        "qid", "q_len", "sid", "s_len", (100.0 * F.col("matches") / F.col("aln_len")).alias("iden"), "aln_len", (F.col("aln_len") - F.col("matches") - F.col("gaps")).alias("mismatches"), "gaps",
+        "qfrom", "qend", "sfrom", "send", "evalue", "score", F.lit("++").alias("frame"),
+    )
+    return hits.withColumn("hsp_no", F.row_number().over(Window.partitionBy("qid", "sid").orderBy(F.desc("score"), "qfrom", "sfrom", "qend", "send")).cast("long"))
+
+
+def cluster_by_hits(sequences: DataFrame, cutoff: float = 0.3, evalue: float = 1e-6, cover_long: float = 0.0, **more: float) -> DataFrame:
+    """Greedy clusters of residue sequences (seq_idx, seq) at low identities: cluster_id, member_no, seq_idx, len, is_rep and identity (percent, from the hits that don't cross)."""
+    ranked = stored(ranking.rank_by_length(sequences.select("seq_idx", "seq")))
+    rows = ranked.select(F.col("rank").alias("id"), "seq")
+    hits = stored(search(rows, rows, evalue=evalue, cover_long=cover_long, within=True, **more))
+    pairs = stored(accept(identity(colinear(hits)), cutoff))
+    placed = cluster(ranked.select("rank", "seq_idx", "len"), pairs)
+    named = placed.join(pairs.select(F.col("qid").alias("rank"), F.col("sid").alias("rep_rank"), "identity"), ["rank", "rep_rank"], "left")
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("rank")) - 1
+    return named.select("cluster_id", place.cast("long").alias("member_no"), "seq_idx", "len", "is_rep", F.when(~F.col("is_rep"), F.col("identity")).alias("identity"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinstrand.functions import sequences as S
 from kinstrand.operators import clusters as C
-from kinstrand.operators import chimeras, duplicates, evaluation, greedy, ranking, similarity
+from kinstrand.operators import chimeras, duplicates, evaluation, greedy, hsp, ranking, similarity
 from kinstrand.operators.similarity import Options
 
 
@@ -121,11 +121,16 @@ def spliced_references(references: DataFrame, reads1: DataFrame, reads2: DataFra
     return splice(references, starts(reads1, False), starts(reads2, True), keep1, keep2)
 
 
-def down_to(sequences: DataFrame, names: DataFrame, *identities: float) -> DataFrame:
-    """Hierarchical clusters of residues expanded to one table: 90 % -> 60 % -> ..."""
+def down_to(sequences: DataFrame, names: DataFrame, *identities: float, hits: float | None = None) -> DataFrame:
+    """Hierarchical clusters of residues expanded to one table: 90 % -> 60 % -> ..., and by local hits below that: ``hits`` is their identity, as 0.3."""
     word = lambda c: 5 if c >= 0.7 else 4 if c >= 0.6 else 3 if c >= 0.5 else 2
     levels = similarity.hierarchical(sequences, *(Options(identity=c, word=word(c)) for c in identities))
     tables = [named(x, names).select("cluster_id", "member_no", "id", F.col("len").cast("long").alias("len"), "is_rep", (100 * F.col("identity").cast("double")).alias("identity")) for x in levels]
+    if hits is not None:
+        rows = sequences.withColumn("seq", S.normalise("seq"))
+        rows = rows.join(levels[-1].where("is_rep").select("seq_idx"), "seq_idx", "left_semi") if levels else rows
+        far = named(hsp.cluster_by_hits(rows, hits), names)
+        tables.append(greedy.stored(far.select("cluster_id", "member_no", "id", F.col("len").cast("long").alias("len"), "is_rep", F.col("identity").cast("double").alias("identity"))))
     out = tables[-1]
     for table in reversed(tables[:-1]):
         out = C.expand(out, table).withColumn("identity", F.try_element_at(F.split("path", ","), F.lit(1)).try_cast("double")).drop("path")
