@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,22 @@ def drop_empty(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     return sequences.where(F.length(seq) > 0)
 
 
+def fetch(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``records`` whose ``key`` is among ``ids`` (any number of times), as they are."""
+    return records.join(ids.select(key), key, "left_semi").select(*records.columns)
+
+
+def exclude(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``records`` whose ``key`` isn't among ``ids``; a null key stays."""
+    return records.join(ids.select(key), key, "left_anti").select(*records.columns)
+
+
+def pool(sources: Mapping[str, DataFrame], key: str = "id") -> DataFrame:
+    """All rows of some tables of the same columns, ids told apart by the table's name: ``name|id``."""
+    named = [rows.withColumn(key, F.concat(F.lit(f"{name}|"), F.col(key).cast("string"))) for name, rows in sources.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
 def paired_representatives(clusters: DataFrame, mates: DataFrame) -> DataFrame:
     """Read pairs of which a mate's id represents a cluster; an id may end in /1 or /2."""
     bare = lambda c: F.regexp_replace(c, r"/[12]$", "")

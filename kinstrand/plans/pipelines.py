@@ -73,8 +73,11 @@ def three_stage_otus(reads_: DataFrame, cutoffs: Sequence[float] = (0.9925, 0.98
     return similarity.cluster(rows, Options.nucleotide(identity=cutoffs[-1], both_strands=False))
 
 
-def small_rna_table(reads_: DataFrame, references: DataFrame, samples: Sequence[str], identity: float = 0.95, drop: int = 1) -> DataFrame:
-    """otu, annotation and sample counts of short reads (seq_idx, id ``Sample|s|n``, seq) against annotated references (seq_idx, id, seq)."""
+def small_rna_table(reads_: DataFrame, references: DataFrame, samples: Sequence[str], identity: float = 0.95, drop: int = 1, spike_ins: DataFrame | None = None) -> DataFrame:
+    """otu, annotation and sample counts of short reads (seq_idx, id ``Sample|s|n``, seq) against annotated references (seq_idx, id, seq).
+
+    ``spike_ins``, a second set of such references, adds a column ``spike``: the best of them for each otu.
+    """
     nr = greedy.stored(duplicates.exact(ranking.rank_by_length(reads_.select("seq_idx", "seq"))))
     reps = nr.where(F.col("is_rep") & (F.col("abundance") > drop))
     options = Options.nucleotide(identity=identity, both_strands=False, word=8)
@@ -84,10 +87,17 @@ def small_rna_table(reads_: DataFrame, references: DataFrame, samples: Sequence[
     back = nr.select(F.col("rank").alias("rr"), F.col("seq_idx").alias("ri")).join(member, F.col("ri") == F.col("seq_idx")).select("rr", "otu")
     all_reads = nr.join(back, F.col("rep_rank") == F.col("rr")).join(reads_.select("seq_idx", "id"), "seq_idx").select("otu", F.regexp_extract("id", r"^Sample\|([^|]+)\|", 1).alias("sample"), F.lit(None).cast("string").alias("annotation"))
     first = reps.join(heads, F.col("seq_idx") == F.col("rep")).select("seq_idx", "seq", "cluster_id")
-    hits = similarity.compare(first.select("seq_idx", "seq"), references.select("seq_idx", "seq"), Options.nucleotide(identity=identity, both_strands=False, word=8, length_share2=0.8, mode="accurate"))
-    names = hits.join(references.select(F.col("seq_idx").alias("q"), "id"), "q").join(first.select(F.col("seq_idx").alias("r"), F.col("cluster_id").alias("otu")), "r")
-    best = names.withColumn("k", F.row_number().over(Window.partitionBy("otu").orderBy(F.desc("identity"), "q"))).where("k = 1").select("otu", F.lit(None).cast("string").alias("sample"), F.col("id").alias("annotation"))
-    return evaluation.annotated_table(all_reads.unionByName(best), samples)
+    options = Options.nucleotide(identity=identity, both_strands=False, word=8, length_share2=0.8, mode="accurate")
+
+    def best(known: DataFrame) -> DataFrame:
+        """(otu, annotation): the most identical reference that joins the otu, the first of equals."""
+        hits = similarity.compare(first.select("seq_idx", "seq"), known.select("seq_idx", "seq"), options)
+        names = hits.join(known.select(F.col("seq_idx").alias("q"), "id"), "q").join(first.select(F.col("seq_idx").alias("r"), F.col("cluster_id").alias("otu")), "r")
+        return names.groupBy("otu").agg(F.min_by("id", F.struct(-F.col("identity"), "q")).alias("annotation"))
+
+    found = best(references).select("otu", F.lit(None).cast("string").alias("sample"), "annotation")
+    table = evaluation.annotated_table(all_reads.unionByName(found), samples)
+    return table if spike_ins is None else table.join(best(spike_ins).withColumnRenamed("annotation", "spike"), "otu", "left")
 
 
 def splice(references: DataFrame, hits1: DataFrame, hits2: DataFrame, keep1: int, keep2: int) -> DataFrame:

@@ -191,6 +191,7 @@ _add("hsp_find", lambda s, d: hsp.find(_turns(s, d).select(F.col("seq_idx").alia
   m AS (SELECT qid, sid, qa, sa - qa AS dia FROM (SELECT qid, qa, substring(seq, (qa + 1)::INT, 11) AS word FROM q) JOIN (SELECT sid, sa, substring(seq, (sa + 1)::INT, 11) AS word FROM s) USING (word)),
   n AS (SELECT *, CASE WHEN qa - lag(qa) OVER w <= 11 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY qid, sid, dia ORDER BY qa)), i AS (SELECT *, sum(new) OVER (PARTITION BY qid, sid, dia ORDER BY qa) AS island FROM n)
   SELECT qid, sid, (max(qa) - min(qa) + 11)::BIGINT AS aln_len, (min(qa) + 1)::BIGINT AS qfrom, (min(qa) + dia + 1)::BIGINT AS sfrom FROM i GROUP BY qid, sid, dia, island""")
+_add("hsp_search", lambda s, d: hsp.search(_turns(s, d).select(F.col("seq_idx").alias("id"), "seq"), _items(s, d).select((-F.col("seq_idx") - 1).alias("id"), "seq"), k=8, least=4, evalue=1e-6).select("qid", "sid", "hsp_no", "aln_len", "gaps", "qfrom", "qend", "sfrom", "send", "score"))
 _add("psi_windows", lambda s, d: hsp.search_window(ranking.rank_by_length(_turns(s, d)), 0.8), f"SELECT row_number() OVER (ORDER BY length(seq) DESC, seq_idx) - 1 AS rank, ceil(length(seq) * 0.8)::BIGINT AS low, floor(length(seq) / 0.8)::BIGINT AS high FROM ({_TURNS})")
 
 

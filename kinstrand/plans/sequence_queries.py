@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinstrand.functions import kmers as K
 from kinstrand.functions import sequences as S
-from kinstrand.operators import duplicates, greedy, ranking
+from kinstrand.operators import duplicates, fragments, greedy, ranking
 from kinstrand.plans.fixtures import AA, NT, aa, aa_sql, ranked, ranked_sql, table
 
 QUERIES, SQL = {}, {}
@@ -47,9 +47,9 @@ _add("div_by_letters", lambda s, d: ranking.divide_by_letters(ranked(s, d), 4).s
   f(rank, part, acc) AS (SELECT -1::BIGINT, 0::BIGINT, 0::HUGEINT UNION ALL SELECT q.rank, CASE WHEN f.acc >= cap THEN f.part + 1 ELSE f.part END, CASE WHEN f.acc >= cap THEN 0 ELSE f.acc END + q.len FROM f JOIN q ON q.rank = f.rank + 1, l)
   SELECT seq_idx, part FROM f JOIN q USING (rank)""")
 _add("div_round_robin", lambda s, d: ranking.divide_round_robin(ranked(s, d), 5, "rank").select("seq_idx", "part"), f"SELECT seq_idx, (rank % 5)::BIGINT AS part FROM ({ranked_sql()})")
-_add("seq_fetch_ids", lambda s, d: table(s, d, "documents").join(table(s, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-_add("seq_exclude_ids", lambda s, d: table(s, d, "documents").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "text"), "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-_add("pool_union", lambda s, d: table(s, d, "documents").select(F.concat(F.lit("d|"), "doc_id").alias("id"), "text").unionByName(table(s, d, "benchmark").select(F.concat(F.lit("b|"), "item_id").alias("id"), "text")),
+_add("seq_fetch_ids", lambda s, d: fragments.fetch(_TEXTS(s, d), table(s, d, "labels").where("toxic = 1"), "doc_id"), "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+_add("seq_exclude_ids", lambda s, d: fragments.exclude(_TEXTS(s, d), table(s, d, "labels"), "doc_id"), "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_add("pool_union", lambda s, d: fragments.pool({"d": table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "b": table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")}),
      "SELECT 'd|' || doc_id AS id, text FROM documents UNION ALL SELECT 'b|' || item_id, text FROM benchmark")
 _add("seq_abundance", lambda s, d: table(s, d, "orders").select("o_orderkey", S.abundance(F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("read_abundance_"), F.col("o_orderkey") % 9 + 1)).otherwise("none")).alias("abundance")),
      "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 9 + 1 ELSE 1 END::BIGINT AS abundance FROM orders")

@@ -308,11 +308,13 @@ def stream_abundances(s, d):
 @_add("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_windows(s, d):
     """Counts by hour and kind, whole after the last batch."""
-    name = f"windows_{uuid.uuid4().hex}"
+    out = _folder(s)
     events = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = incremental.windowed_counts(events, "ts", "1 hour", "1 hour", "event_type")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    whole = counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/counts")
+    whole.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/progress").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(whole.schema).parquet(f"{out}/counts")
 
 
 # pooled samples against references

@@ -121,7 +121,7 @@ def test_reads_with_other_letters_join(spark):
     for n in (1, 5, 7, 12):
         seq = list("".join(rng.choice("ACGT") for _ in range(100)))
         for i in range(n):
-            seq[4 + 8 * i] = "N"
+            seq[4 + 48 // n * i] = "N"
         seq = "".join(seq)
         turned = seq[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
         out = similarity.cluster(rows_of(spark, [seq, seq, turned]), Options.nucleotide(identity=0.95 if n < 6 else 0.8)).collect()

@@ -45,6 +45,9 @@ def test_small_rna_table(spark, bases):
     refs = spark.createDataFrame([(k, f"mir{k}", s) for k, s in enumerate(short[:2])], "seq_idx long, id string, seq string")
     out = {r.annotation: (r.a, r.b) for r in pipelines.small_rna_table(table, refs, ["a", "b"]).collect()}
     assert out == {"mir0": (2, 2), "mir1": (3, 3), None: (4, 4)}
+    spikes = spark.createDataFrame([(0, "spike2", short[2]), (1, "other", bases[0][60:84])], "seq_idx long, id string, seq string")
+    out = {(r.annotation, r.spike): (r.a, r.b) for r in pipelines.small_rna_table(table, refs, ["a", "b"], spike_ins=spikes).collect()}
+    assert out == {("mir0", None): (2, 2), ("mir1", None): (3, 3), (None, "spike2"): (4, 4)}
 
 
 def test_three_stage_otus(spark, bases):
