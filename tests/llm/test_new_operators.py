@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,14 @@ def test_license_filters(spark):
     size = lambda n: len(licenses.scan(docs, dict(list(templates.items())[:n]))._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert size(300) == size(20)
     placed.unpersist()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    folder, connection = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "conversations"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found, wanted = queries.queries()[name](spark, folder), connection.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in wanted.description]
+    assert sorted(found.columns) == sorted(columns)
+    same([tuple(r[c] for c in columns) for r in found.collect()], wanted.fetchall())
