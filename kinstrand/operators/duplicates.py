@@ -80,6 +80,7 @@ def _none(ranked: DataFrame) -> DataFrame:
 
 def cluster(ranked: DataFrame, errors: int = 0, same_length: bool = True) -> DataFrame:
     """``ranked`` with rep_rank, is_rep, abundance: each joins the earliest representative that it equals, or else is a prefix of within ``errors``."""
+    ranked = greedy.stored(ranked)
     classes = exact(ranked)
     pairs = greedy.stored(prefix_pairs(ranked, errors, same_length))
     reps = greedy.representatives(pairs)
