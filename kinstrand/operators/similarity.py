@@ -190,17 +190,34 @@ def _in_stretches(found: DataFrame, queries: DataFrame, targets: DataFrame, aske
     return pairs.drop("shared").join(most.select("q", "r", "shared"), ["q", "r"])
 
 
+def _compared(queries: DataFrame, targets: DataFrame, options: Options, within: bool) -> DataFrame:
+    """``queries`` with ``compared``, the letters of a query that the shortest representative it may join can match, and ``least_s``, those that an alignment must cover."""
+    if within:
+        rows = queries.withColumn("compared", F.col("len"))
+    else:
+        shortest = F.broadcast(targets.agg(F.min("len").alias("shortest")))  # one row
+        allowed = F.greatest("shortest", F.floor(F.col("len") * options.length_share2), F.col("len") - options.length_gap2)
+        rows = queries.crossJoin(shortest).withColumn("compared", F.least("len", F.coalesce(allowed, "len")).cast("long")).drop("shortest")
+    bounded = options.cover_short > 0 or options.cover_least > 0
+    return rows.withColumn("least_s", S.coverage_minimum("compared", options.cover_short, options.cover_short_gap, options.cover_least) if bounded else F.lit(0).cast("long"))
+
+
 def candidates(queries: DataFrame, targets: DataFrame, options: Options, within: bool, postings: DataFrame | None = None) -> DataFrame:
-    """(q, r, strand, shared, first_word, required, required_aas, required_aa1) of pairs that may pass.
+    """(q, r, strand, shared, first_word, required, required_aas, required_aa1, least_s) of pairs that may pass.
+
+    What is required follows the letters that are compared: those of the query, or of the shortest target that it may join if that is
+    shorter, and with a local identity the part of them that an alignment must cover.
 
     ``within``: one ranked table against itself, r < q; else every target may be joined. ``postings``: those of the targets, as far as queries
     have their words, if they are known. Where lengths are bounded on both sides, words meet by classes of length (:func:`banded`).
     """
-    need = K.required_words("len", options.identity, options.word, 2 if options.alphabet == "aa" else 4, options.tolerance, options.alphabet == "nt", options.distance)
+    length = F.greatest("compared" if options.global_identity else "least_s", F.lit(1))
+    need = K.required_words(length, options.identity, options.word, 2 if options.alphabet == "aa" else 4, options.tolerance, options.alphabet == "nt", options.distance)
     floor = 1 if options.alphabet == "nt" else 0
     # words with other letters than ACGT can't be shared, so they aren't asked for
     lost = _skipped_words("seq", options) if options.alphabet == "nt" else F.lit(0)
-    q = queries.select(F.col("rank").alias("q"), F.col("len").alias("q_len"), *(F.greatest(c - lost, F.lit(floor)).alias(n) for n, c in need.items()))
+    sized = _compared(queries, targets, options, within)
+    q = sized.select(F.col("rank").alias("q"), F.col("len").alias("q_len"), "least_s", *(F.greatest(c - lost, F.lit(floor)).alias(n) for n, c in need.items()))
     asked = q.select("q", F.greatest("required_aan", F.lit(1)).alias("need"))
     # a word counts in each of the stretches that have it, so all words together may be fewer than in the stretches that a query covers
     stretches = _stretches("q_len", options)
@@ -230,7 +247,7 @@ def candidates(queries: DataFrame, targets: DataFrame, options: Options, within:
 
 #: What a query gets: its representative and the alignment to it, or nothing; and how many alignments it took.
 _ASKED = "q long, r long, strand string, identity float, distance float, aln_len long, q_beg int, q_end int, r_beg int, r_end int, place long, aligned long"
-_TURN = "q long, place long, r long, strand string, required_aas long, required_aa1 long, reached double, seq string"
+_TURN = "q long, place long, r long, strand string, required_aas long, required_aa1 long, least_s long, reached double, seq string"
 
 
 class _Query:
@@ -334,7 +351,7 @@ def _ask(options: Options, every: bool):
 
 
 def asked(pairs: DataFrame, queries: DataFrame, targets: DataFrame, options: Options, every: bool = False) -> DataFrame:
-    """A row for each query of ``pairs`` (q, r, strand, place, required_aas, required_aa1, reached), of :data:`_ASKED`; ``every``: for each pair that passes.
+    """A row for each query of ``pairs`` (q, r, strand, place, required_aas, required_aa1, least_s, reached), of :data:`_ASKED`; ``every``: for each pair that passes.
 
     Candidates are asked by ``place``. A query's sequence travels once, ahead of its candidates'; an alignment that can't be better than
     ``reached``, what the query has from before, isn't made.
@@ -351,7 +368,7 @@ def _in_order(pairs: DataFrame, options: Options) -> DataFrame:
     """``pairs`` with ``place``, the order in which a query asks: look-up order, plus strand first; by rank in accurate mode, where the first of equals counts."""
     order = ["strand", "first_word", "r"] if options.mode == "fast" else ["r", "strand"]
     place = F.row_number().over(Window.partitionBy("q").orderBy(*order))
-    return pairs.select("q", "r", "strand", place.alias("place"), "required_aas", "required_aa1", F.lit(None).cast("double").alias("reached"))
+    return pairs.select("q", "r", "strand", place.alias("place"), "required_aas", "required_aa1", "least_s", F.lit(None).cast("double").alias("reached"))
 
 
 def settled(pairs: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
@@ -371,7 +388,7 @@ def settled(pairs: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
         # in fast mode only what comes before a representative that passes can still take its place
         rest = rest.where("at is null or place < at") if fast else rest
         score = F.col("identity") if options.distance is None else -F.col("distance")
-        rest = rest.select("q", "r", "strand", "place", "required_aas", "required_aa1", F.greatest("reached", score).alias("reached"), (F.col("sure") | F.col("at").isNotNull()).alias("sure"))
+        rest = rest.select("q", "r", "strand", "place", "required_aas", "required_aa1", "least_s", F.greatest("reached", score).alias("reached"), (F.col("sure") | F.col("at").isNotNull()).alias("sure"))
         greedy.forget(left)
         left = greedy.stored(rest)
         greedy.forget(marked)
@@ -423,8 +440,7 @@ def _accept(row: dict, q: np.ndarray, r: np.ndarray, a: A.Alignment, o: Options)
         return None
     if o.cover_short > 0 or o.cover_least > 0:
         least_l = max(int(len(r) * o.cover_long), len(r) - o.cover_long_gap, o.cover_least)
-        least_s = max(int(len(q) * o.cover_short), len(q) - o.cover_short_gap, o.cover_least)
-        if a.r_end - a.r_beg + 1 < least_l or a.q_end - a.q_beg + 1 < least_s:
+        if a.r_end - a.r_beg + 1 < least_l or a.q_end - a.q_beg + 1 < row["least_s"]:
             return None
     beg, end = (a.q_beg, a.q_end) if row["strand"] == "+" else (len(q) - a.q_beg + 1, len(q) - a.q_end + 1)
     return row["q"], row["r"], row["strand"], float(identity), a.distance, min(length, long_), beg, end, a.r_beg, a.r_end, row["place"]

@@ -18,10 +18,10 @@ def named(clusters: DataFrame, names: DataFrame) -> DataFrame:
     return clusters.join(names.select("seq_idx", "id"), "seq_idx")
 
 
-def otus_of_sample(mates: DataFrame, share: float = 0.00001, identity: float = 0.99) -> DataFrame:
+def otus_of_sample(mates: DataFrame, share: float = 0.00001, identity: float = 0.99, cover: int = 50) -> DataFrame:
     """Clusters of one sample's read pairs (seq_idx, id, r1, r2) without chimeric and small ones.
 
-    Pairs at 100 %, their representatives at ``identity``, each mate alone at ``identity``; a pair
+    Pairs at 100 %, their representatives at ``identity``, each mate alone at ``identity`` of a local alignment of ``cover`` letters or more; a pair
     whose mates belong to different more abundant parents is a chimera. What stays is expanded again.
     """
     merged = mates.select("seq_idx", "id", S.merge_mates("r1", "r2").alias("seq"))
@@ -30,7 +30,7 @@ def otus_of_sample(mates: DataFrame, share: float = 0.00001, identity: float = 0
     reps = merged.join(size.select("seq_idx"), "seq_idx", "left_semi")
     options = Options.nucleotide(identity=identity, both_strands=False, word=10)
     otu = named(similarity.cluster(reps.select("seq_idx", "seq"), options), reps)
-    single = Options.nucleotide(identity=identity, both_strands=False, word=10)
+    single = Options.nucleotide(identity=identity, both_strands=False, word=10, global_identity=False, cover_least=cover)
 
     def parent(mate: str) -> DataFrame:
         rows = mates.join(size, "seq_idx").select("seq_idx", F.col(mate).alias("seq"))
@@ -117,18 +117,22 @@ def splice(references: DataFrame, hits1: DataFrame, hits2: DataFrame, keep1: int
 
 
 def spliced_references(references: DataFrame, reads1: DataFrame, reads2: DataFrame, keep1: int, keep2: int, columns: int = 45) -> DataFrame:
-    """The consensus of both mates' first columns is looked for in the references (word by word), which are then cut there."""
-
-    def starts(rows: DataFrame, flipped: bool) -> DataFrame:
-        cols = evaluation.consensus(rows, columns)
-        n = evaluation.consensus_length(cols)
-        text = cols.crossJoin(n).where("place <= keep").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x.letter), "").alias("c"))
-        primer = S.reverse_complement("c") if flipped else F.col("c")
-        found = references.crossJoin(F.broadcast(text.select(primer.alias("p"), F.length("c").alias("n"))))  # one row
-        at = F.instr("seq", F.substr("p", F.lit(1), F.lit(12))) if not flipped else F.instr("seq", F.expr("right(p, 12)")) + 11
-        return found.select("seq_idx", at.alias("start"), "n").where(F.col("start") > (11 if flipped else 0)).select("seq_idx", "start")
-
-    return splice(references, starts(reads1, False), starts(reads2, True), keep1, keep2)
+    """References (seq_idx, seq) cut where the consensus of both mates' first columns aligns: forward for the first, backward for the second.
+
+    The consensus is laid over each reference at 80 % local identity over 30 letters; letters of it before the alignment count on to where the mate begins.
+    """
+    rows = greedy.stored(references.select("seq_idx", S.normalise("seq").alias("seq")))
+    options = Options.nucleotide(identity=0.8, word=5, band=5, global_identity=False, cover_least=30, length_share2=0.01, length_gap2=similarity.UNSET)
+
+    def starts(mates: DataFrame, strand: str) -> DataFrame:
+        cols = greedy.stored(evaluation.consensus(mates, columns))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x.letter), "")
+        primer = cols.crossJoin(F.broadcast(evaluation.consensus_length(cols))).where("place <= keep").agg(F.lit(0).cast("long").alias("seq_idx"), text.alias("seq"))  # one row
+        before = F.col("r_beg") - 1
+        hits = similarity.compare(primer, rows, options).where(F.col("strand") == strand)
+        return hits.select(F.col("q").alias("seq_idx"), (F.col("q_beg") - before if strand == "+" else F.col("q_beg") + before).alias("start"))
+
+    return splice(rows, starts(reads1, "+"), starts(reads2, "-"), keep1, keep2)
 
 
 def down_to(sequences: DataFrame, names: DataFrame, *identities: float, hits: float | None = None) -> DataFrame:

@@ -165,3 +165,25 @@ def test_fragments(spark):
     assert [r.q for r in similarity.compare(first, second, Options(**base, fragment=60)).collect()] == [0]
     with pytest.raises(ValueError, match="residues"):
         Options.nucleotide(fragment=50)
+
+
+def test_requirements_follow_what_is_compared(spark):
+    """Half of a read, or a representative shorter than the query, has fewer words than the whole query: neither is lost."""
+    rng = random.Random(31)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    shared = letters(60)
+    reads = spark.createDataFrame([(0, shared + letters(80)), (1, shared + letters(70)), (2, letters(130))], "seq_idx long, seq string")
+    local = Options.nucleotide(identity=0.95, global_identity=False, cover_least=50, both_strands=False)
+    found = {r.seq_idx: r.cluster_id for r in similarity.cluster(reads, local).collect()}
+    assert found[0] == found[1] != found[2]
+    assert similarity.cluster(reads, Options.nucleotide(identity=0.95, both_strands=False)).where("is_rep").count() == 3
+
+    short = letters(60, "ACDEFGHIKLMNPQRSTVWY")
+    near = "".join("W" if i in (20, 41) else c for i, c in enumerate(short))
+    first = spark.createDataFrame([(7, short)], "seq_idx long, seq string")
+    second = spark.createDataFrame([(0, letters(50, "ACDEFGHIKLMNPQRSTVWY") + near + letters(50, "ACDEFGHIKLMNPQRSTVWY")), (1, letters(160, "ACDEFGHIKLMNPQRSTVWY")), (2, near)], "seq_idx long, seq string")
+    hits = similarity.compare(first, second, Options(identity=0.9, length_share2=0.3, length_gap2=similarity.UNSET)).collect()
+    assert {(r.q, r.r, r.q_beg, r.q_end) for r in hits} == {(0, 7, 51, 110), (2, 7, 1, 60)}
+    covered = Options(identity=0.9, length_share2=0.3, length_gap2=similarity.UNSET, cover_short=0.9)  # of the 60 letters that the shortest representative has
+    assert {r.q for r in similarity.compare(first, second, covered).collect()} == {0, 2}
+    assert similarity.compare(first.limit(0), second, covered).count() == 0

@@ -63,6 +63,31 @@ def test_splice(spark, bases):
     mates = spark.createDataFrame([(inner[:50], turn(inner)[:50])] * 4, "r1 string, r2 string")
     out = pipelines.spliced_references(refs, mates.select(F.col("r1").alias("seq")), mates.select(F.col("r2").alias("seq")), 30, 30).first()
     assert out.r1 == inner[:30] and out.r2 == turn(inner)[:30]
+    # wrong letters in either primer, a letter too many, one that begins within the consensus, and an unrelated reference
+    other = lambda s, *at: "".join("ACGT"["CGTA".index(c)] if i in at else c for i, c in enumerate(s))
+    wrong, longer = other(bases[0], 13, 18, 100, 104), bases[0][:35] + "A" + bases[0][35:]
+    table = spark.createDataFrame([(1, wrong), (2, longer), (3, bases[0][13:]), (4, bases[1]), (5, turn(bases[0])), (6, None)], "seq_idx long, seq string")
+    found = {r.seq_idx: (r.r1, r.r2) for r in pipelines.spliced_references(table, mates.select(F.col("r1").alias("seq")), mates.select(F.col("r2").alias("seq")), 30, 30).collect()}
+    assert found == {
+        1: (wrong[10:40], turn(wrong[80:110])),
+        2: (longer[10:40], turn(longer[81:111])),
+        3: ("NNN" + bases[0][13:40], turn(bases[0][80:110])),
+    }
+
+
+def test_mates_with_ragged_ends(spark, bases):
+    """A chimera whose mates carry foreign letters at their ends, which a local alignment leaves out."""
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ACGT") for _ in range(30))
+    rows, i = [], 0
+    for s, copies in zip(bases, (8, 6, 5), strict=True):
+        for _ in range(copies):
+            rows.append((i, f"r{i}", s[:60] + noise[:10], s[60:] + noise[10:20]))
+            i += 1
+    rows.append((i, f"r{i}", bases[0][:60], bases[1][60:]))
+    table = spark.createDataFrame(rows, "seq_idx long, id string, r1 string, r2 string")
+    out = pipelines.otus_of_sample(table, identity=0.97).collect()
+    assert len({r.cluster_id for r in out}) == 3 and f"r{i}" not in {r.id for r in out}
 
 
 def test_fragments(spark, bases):
