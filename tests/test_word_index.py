@@ -90,7 +90,11 @@ def test_length_bands_lose_no_pair(spark, options, within):
     rows = greedy.stored(similarity.prepare(table, options))
     queries = rows if within else greedy.stored(similarity.prepare(table.where("seq_idx < 30"), options, ranked=False))
     found = {(r.q, r.r, r.strand, r.shared, r.first_word) for r in similarity.candidates(queries, rows, options, within).collect()}
-    q = {r["rank"]: (r.seq, r.need) for r in queries.select("rank", "seq", K.required_words("len", options.identity, options.word, 2 if options.alphabet == "aa" else 4, 2, options.alphabet == "nt")["required_aan"].alias("need")).collect()}
+    # what is compared: the query, or in two sets no more of it than the shortest target that it may join has
+    shortest = min(len(r.seq) for r in rows.collect())
+    least = {r["rank"]: len(r.seq) if within else min(len(r.seq), max(shortest, int(len(r.seq) * options.length_share2), len(r.seq) - options.length_gap2)) for r in queries.collect()}
+    sized = queries.join(spark.createDataFrame(list(least.items()), "rank long, compared long"), "rank")
+    q = {r["rank"]: (r.seq, r.need) for r in sized.select("rank", "seq", K.required_words("compared", options.identity, options.word, 2 if options.alphabet == "aa" else 4, 2, options.alphabet == "nt")["required_aan"].alias("need")).collect()}
     r_ = {r["rank"]: r.seq for r in rows.collect()}
     bounds = {r["rank"]: (r.low, r.high) for r in queries.select("rank", S.lower_length("len", options.length_share2, options.length_gap2).alias("low"), S.upper_length("len", options.length_share, options.length_gap, options.cover_long, options.cover_long_gap).alias("high")).collect()}
     coded = (lambda s: s.translate(str.maketrans("ACGT", "0123"))) if options.alphabet == "nt" else (lambda s: "".join(chr(97 + S.AMINO_CODES[c]) for c in s))
