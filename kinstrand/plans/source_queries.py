@@ -166,7 +166,7 @@ def two_set_text(s, d):
     """Clusters of the second set around the first, as text."""
     first = aa(s, d, name="benchmark", key="item_id").select("seq_idx", F.concat(F.lit("i"), "seq_idx").alias("id"), F.length("seq").alias("len"))
     second = aa(s, d).select("seq_idx", F.concat(F.lit("d"), "seq_idx").alias("id"), F.length("seq").alias("len"))
-    hits = _two(s, d).join(second.select(F.col("seq_idx").alias("q"), F.col("len").alias("n")), "q").select("q", "r", (F.col("shared") / F.col("n")).alias("identity"))
+    hits = _two(s, d).join(second.select(F.col("seq_idx").alias("q"), F.col("len").alias("n")), "q").select("q", "r", (100.0 * F.col("shared") / F.col("n")).alias("percent"))
     return formats.cluster_text(formats.two_set_clusters(first, hits, second))
 
 

@@ -424,3 +424,13 @@ def test_last_round_over_several_subjects(spark):
     for order in (rows, rows[::-1]):  # rounds don't depend on the order of the table
         hits = spark.createDataFrame(order, "qid long, sid long, hsp_no long, score double").coalesce(1)
         assert sorted((r.qid, r.sid, r.hsp_no) for r in hsp.last_round(hits).collect()) == wanted
+
+
+def test_percentages_are_rounded_as_printf_does(spark):
+    shares = [(a, b) for b in range(1, 900, 7) for a in range(b // 2, b + 1, 3)] + [(425, 800), (505, 800), (0, 5), (1, 3)]
+    rows = spark.createDataFrame([(a, b, 100.0 * a / b) for a, b in shares] + [(0, 0, x) for x in (1.005, 0.125, 99.995, 1e-9, -53.125, 2.675)], "a long, b long, x double")
+    assert [r.t for r in rows.select("x", formats.two_places("x").alias("t")).collect()] == ["%.2f" % r.x for r in rows.collect()]
+    first = spark.createDataFrame([(7, "i7", 400)], "seq_idx long, id string, len int")
+    second = spark.createDataFrame([(1, "d1", 800)], "seq_idx long, id string, len int")
+    hits = spark.createDataFrame([(1, 7, 425, 800)], "q long, r long, shared long, n long").select("q", "r", (100.0 * F.col("shared") / F.col("n")).alias("percent"))
+    assert formats.cluster_text(formats.two_set_clusters(first, hits, second)).first()["value"].endswith("at 53.12%")
