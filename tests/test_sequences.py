@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinstrand.functions import alignment as A
+from kinstrand.functions import kmers as K
 from kinstrand.functions import sequences as S
 from kinstrand.operators import chimeras, duplicates, evaluation, greedy, hsp, ranking, reads, similarity
 from kinstrand.operators import clusters as C
@@ -434,3 +435,45 @@ def test_percentages_are_rounded_as_printf_does(spark):
     second = spark.createDataFrame([(1, "d1", 800)], "seq_idx long, id string, len int")
     hits = spark.createDataFrame([(1, 7, 425, 800)], "q long, r long, shared long, n long").select("q", "r", (100.0 * F.col("shared") / F.col("n")).alias("percent"))
     assert formats.cluster_text(formats.two_set_clusters(first, hits, second)).first()["value"].endswith("at 53.12%")
+
+
+def test_common_words_of_queries_that_need_many_do_not_join(spark):
+    """Sixty sequences share most of their words; the pairs that share enough come from the other ones."""
+    rng = random.Random(5)
+    common = protein(rng, 60)
+    rows = [(i, common + protein(rng, 60)) for i in range(60)] + [(60, common + protein(rng, 60))]
+    rows.append((61, rows[60][1]))
+    posts = greedy.stored(K.postings(spark.createDataFrame(rows, "rank long, seq string"), 5))
+    need = spark.createDataFrame([(i, 80) for i in range(62)], "q long, need int")
+    seen = []
+    plain, K.stored = K.stored, lambda df: seen.append(plain(df)) or seen[-1]
+    kept, K.forget = K.forget, lambda *tables: None
+    try:
+        pairs = [(r.q, r.r, r.shared) for r in K.pairs_sharing(posts, posts, need, True).collect()]
+    finally:
+        K.stored, K.forget = plain, kept
+    assert pairs == [(61, 60, 116)]
+    assert max(t.count() for t in seen if "least" in t.columns and "shared" in t.columns) <= 5  # candidates, of 1,891 pairs with common words
+
+
+def test_words_of_rows_with_one_key_count_together(spark):
+    rows = spark.createDataFrame([(1, "ACACA"), (1, "CAC"), (2, "AC"), (3, "zZ@9yACA")], "rank long, seq string")
+    found = sorted((r.rank, r.word, r.cnt) for r in K.postings(rows, 3).collect())
+    assert found == sorted([(1, "ACA", 2), (1, "CAC", 2), *((3, "zZ@9yACA"[i : i + 3], 1) for i in range(6))])
+
+
+def test_overlaps_meet_without_letters(spark):
+    """Rows that are dealt to meet hold numbers: no letters travel with each place of a sequence."""
+    rng = random.Random(8)
+    whole = protein(rng, 60)
+    rows = ranking.rank_by_length(spark.createDataFrame([(1, whole[:40]), (2, whole[25:]), (3, whole[10:30])], "seq_idx long, seq string"))
+    pairs = reads.overlap_pairs(rows, 12, both_strands=False)
+    assert sorted((r.q, r.r, r.overlap, r.q_off, r.r_off, r.side) for r in pairs.collect()) == [(1, 0, 15, 0, 25, 0)]
+
+    def columns(node):
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        mine = [node.output().apply(i).name() for i in range(node.output().size())] if node.nodeName() == "Generate" else []
+        return mine + [c for kid in kids for c in columns(kid)]
+
+    made = columns(pairs._jdf.queryExecution().optimizedPlan())
+    assert made and not [c for c in made if "seq" in c]
