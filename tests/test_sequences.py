@@ -477,3 +477,33 @@ def test_overlaps_meet_without_letters(spark):
 
     made = columns(pairs._jdf.queryExecution().optimizedPlan())
     assert made and not [c for c in made if "seq" in c]
+
+
+def test_pairs_sharing_counts_in_cells_what_a_join_gives(spark, monkeypatch):
+    """Sequences made of a few syllables: a join of words would make a row for each word that two of them have."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(["AB", "CD", "ABC", "E", "AA", "XYZ"][: rng.randint(1, 6)]) for _ in range(rng.randint(2, 40)))) for i in range(120)]
+    seqs = spark.createDataFrame(rows, "rank long, seq string")
+    posts, need = greedy.stored(K.postings(seqs, 3)), seqs.select(F.col("rank").alias("q"), (F.col("rank") % 30 + 1).alias("need"))
+    plain = lambda a, b: K.shared_words(a, b).join(need, "q").where("shared >= need")
+    told = lambda df: sorted((x.q, x.r, x.shared, x.first_word) for x in df.collect())
+    monkeypatch.setattr(K, "BLOCK", 800)  # several blocks on both sides
+    joins = []
+    shared = K._in_cells
+    monkeypatch.setattr(K, "_in_cells", lambda *a: joins.append(a[-2:]) or shared(*a))
+    assert told(K.pairs_sharing(posts, posts, need, True, dense=0)) == told(plain(posts, posts).where("r < q"))
+    few, many = greedy.stored(posts.where("rank in (3, 4, 5)")), greedy.stored(posts.where("rank >= 40"))
+    for a, b in ((few, many), (many, few)):
+        assert told(K.pairs_sharing(a, b, need, False, dense=0)) == told(plain(a, b))
+    assert len(joins) == 3 and all(min(x) >= 1 and max(x) > 1 for x in joins)
+
+
+def test_dense_words_are_counted_without_a_join(spark, monkeypatch):
+    """By itself: where every word is in most sequences, cells count."""
+    rng = random.Random(4)
+    seqs = spark.createDataFrame([(i, "".join(rng.choice("AB") for _ in range(60))) for i in range(400)], "rank long, seq string")
+    posts = greedy.stored(K.postings(seqs, 3))
+    used, shared = [], K._in_cells
+    monkeypatch.setattr(K, "_in_cells", lambda *a: used.append(1) or shared(*a))
+    need = seqs.select(F.col("rank").alias("q"), F.lit(50).alias("need"))
+    assert K.pairs_sharing(posts, posts, need, True).count() == K.shared_words(posts, posts).where("r < q and shared >= 50").count() and used
