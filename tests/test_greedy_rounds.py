@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,27 @@ def test_requirements_follow_what_is_compared(spark):
     covered = Options(identity=0.9, length_share2=0.3, length_gap2=similarity.UNSET, cover_short=0.9)  # of the 60 letters that the shortest representative has
     assert {r.q for r in similarity.compare(first, second, covered).collect()} == {0, 2}
     assert similarity.compare(first.limit(0), second, covered).count() == 0
+
+
+@pytest.mark.parametrize("block", [2_000_000, 120])
+def test_stretches_meet_in_cells(spark, monkeypatch, block):
+    """Pairs by neighbouring stretches are those of the definition, masked letters and short rows among them, and no pair that shares too little becomes a row."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("ACD") for _ in range(150))
+    texts = [base, base[40:110], base[:30] + base[90:], base[60:75] + "W" * 5, "ACDAC", *("".join(rng.choice("ACD") for _ in range(n)) for n in (33, 80, 81, 120))]
+    options = Options(distance=0.06, fragment=30, length_share2=0.01, length_gap2=similarity.UNSET, least_length=4, mask="W")
+    rows = greedy.stored(similarity.prepare(rows_of(spark, texts), options))
+    coded = {r["rank"]: r.seq for r in rows.collect()}
+    words = lambda s, i, j: Counter(w for x in range(i, min(j, len(s) - 4)) if "#" not in (w := s[x : x + 5]))
+
+    def shared(q, r):
+        reach = (len(q) - 5 + 20) // 30 + 2
+        return max(sum(sum((words(q, 0, len(q)) & words(r, 30 * f, 30 * f + 30)).values()) for f in range(g, g + reach)) for g in range((len(r) - 5) // 30 + 1))
+
+    each = [(q, r, shared(coded[q], coded[r])) for q in coded for r in coded]
+    monkeypatch.setattr(similarity.K, "STRETCH_BLOCK", block)
+    monkeypatch.setattr(similarity.K, "pairs_sharing", lambda *a, **b: pytest.fail("all pairs with a word in common are listed first"))
+    found = {(x.q, x.r, x.shared) for x in similarity.candidates(rows, rows, options, within=False).collect()}
+    assert found == {x for x in each if x[2]} and len(found) > 20  # the shortest target has one word, so one is asked for
+    least = lambda s: max(1, min(16 - 5, len(s) - 5 + 1))
+    assert {(x.q, x.r, x.shared) for x in similarity.candidates(rows, rows, options, within=True).collect()} == {x for x in each if x[1] < x[0] and x[2] >= least(coded[x[0]])}
