@@ -507,3 +507,20 @@ def test_dense_words_are_counted_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(K, "_in_cells", lambda *a: used.append(1) or shared(*a))
     need = seqs.select(F.col("rank").alias("q"), F.lit(50).alias("need"))
     assert K.pairs_sharing(posts, posts, need, True).count() == K.shared_words(posts, posts).where("r < q and shared >= 50").count() and used
+
+
+def test_chimera_seeds_find_all_common_words(spark):
+    """Every offset at which two reads have a word of thirty letters has a seed, and words are far more than seeds."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(6)]
+    reads = base + [a[: rng.randrange(30, 200)] + b[rng.randrange(100, 270) :] for a in base for b in base] + ["ACG" * 40, "AC" * 50, base[0][:30], base[0][5:35], "A" * 90]
+    rows = spark.createDataFrame([(i, x, 50 - i, len(x), 3) for i, x in enumerate(reads)], "id long, seq string, abundance long, n int, primer int")
+    at = {}
+    for i, x in enumerate(reads):
+        for j in range(3, len(x) - 29):
+            at.setdefault(x[j : j + 30], []).append((i, j))
+    want = {(q, p, pat - qat) for met in at.values() for q, qat in met if len(reads[q]) >= 63 for p, pat in met if p < q}
+    found = {(r.q, r.p, x) for r in chimeras._pairs(rows, 30, 1.0).collect() for x in r.offsets}
+    assert want <= found and len(want) > 100
+    pandas = rows.toPandas().assign(asks=True)
+    assert 3 * sum(len(x) for x in chimeras._seeds(30)([pandas[pandas["n"] >= 33]])) < sum(len(x) - 32 for x in reads if len(x) > 32)
