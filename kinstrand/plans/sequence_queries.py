@@ -144,11 +144,9 @@ _add("cluster_kmer_greedy_accurate", _greedy("accurate"), greedy_sql("accurate")
 
 # two sets: benchmark is the first; a document joins the item of which it has most words, half of them at least
 def _two(s, d):
-    first = aa(s, d, name="benchmark", key="item_id")
-    a = greedy.stored(K.postings(first, _K, key="seq_idx").withColumnRenamed("seq_idx", "rank"))
-    b = greedy.stored(K.postings(aa(s, d), _K, key="seq_idx").withColumnRenamed("seq_idx", "rank"))
-    need = first.select(F.col("seq_idx").alias("q"), F.ceil(F.length("seq") * 5 / 10).alias("need"))
-    pairs = K.pairs_sharing(a, b, need, within=False).select(F.col("r").alias("q"), F.col("q").alias("r"), "shared")
+    first = aa(s, d, name="benchmark", key="item_id").select(F.col("seq_idx").alias("rank"), F.ceil(F.length("seq") * 5 / 10).alias("need"), "seq")
+    second = aa(s, d).select(F.col("seq_idx").alias("rank"), F.lit(1).alias("need"), F.lit(1).alias("reach"), "seq")
+    pairs = K.pairs_in_stretches(second, first, _K, 0, within=False)
     return pairs.groupBy("q").agg(F.min_by(F.struct("r", "shared"), F.struct(-F.col("shared"), "r")).alias("b")).select("q", "b.r", "b.shared")
 
 

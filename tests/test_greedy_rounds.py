@@ -212,3 +212,18 @@ def test_stretches_meet_in_cells(spark, monkeypatch, block):
     assert found == {x for x in each if x[2]} and len(found) > 20  # the shortest target has one word, so one is asked for
     least = lambda s: max(1, min(16 - 5, len(s) - 5 + 1))
     assert {(x.q, x.r, x.shared) for x in similarity.candidates(rows, rows, options, within=True).collect()} == {x for x in each if x[1] < x[0] and x[2] >= least(coded[x[0]])}
+
+
+def test_two_sets_list_no_words(spark, monkeypatch):
+    """Documents meet items in cells: no word of a document becomes a row; words of ten letters count as defined."""
+    from kinstrand.plans import sequence_queries
+
+    monkeypatch.setattr(similarity.K, "postings", lambda *a, **b: pytest.fail("each word of each text becomes a row"))
+    sequence_queries.QUERIES["compare_2d_kmer"](spark, "/root/testdata/sf0.001").collect()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("AZ") for _ in range(rng.randrange(8, 60))) for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rank long, seq string")
+    words = [Counter(x[i : i + 10] for i in range(len(x) - 9)) for x in texts]
+    want = {(q, r, n, min(words[q] & words[r])) for q in range(30) for r in range(30) if (n := sum((words[q] & words[r]).values())) >= max(1, r % 3)}
+    found = similarity.K.pairs_in_stretches(rows.selectExpr("rank", "1 need", "1 reach", "seq"), rows.selectExpr("rank", "rank % 3 need", "seq"), 10, 0, within=False).collect()
+    assert {tuple(x) for x in found} == want and len(want) > 60
