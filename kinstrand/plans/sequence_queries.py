@@ -81,7 +81,7 @@ def _post(s, d):
 
 
 _add("kmer_counts", lambda s, d: _post(s, d), f"WITH rk AS ({ranked_sql()}), {_POST} SELECT rank, word, cnt FROM post")
-_add("kmer_index", lambda s, d: _post(s, d).groupBy("word").agg(F.count("*").alias("n_sequences"), F.sum("cnt").alias("n_words")).where("n_sequences > 1"),
+_add("kmer_index", lambda s, d: K.word_totals(aa(s, d), _K).where("n_sequences > 1"),
      f"WITH rk AS ({ranked_sql()}), {_POST} SELECT word, count(*)::BIGINT AS n_sequences, sum(cnt)::BIGINT AS n_words FROM post GROUP BY 1 HAVING count(*) > 1")
 _SHARED = f"WITH rk AS ({ranked_sql()}), {_POST}, sh AS (SELECT a.rank AS q, b.rank AS r, sum(least(a.cnt, b.cnt))::BIGINT AS shared, min(word) AS first_word FROM post a JOIN post b USING (word) WHERE b.rank < a.rank GROUP BY 1, 2)"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,18 @@ def test_two_sets_list_no_words(spark, monkeypatch):
     want = {(q, r, n, min(words[q] & words[r])) for q in range(30) for r in range(30) if (n := sum((words[q] & words[r]).values())) >= max(1, r % 3)}
     found = similarity.K.pairs_in_stretches(rows.selectExpr("rank", "1 need", "1 reach", "seq"), rows.selectExpr("rank", "rank % 3 need", "seq"), 10, 0, within=False).collect()
     assert {tuple(x) for x in found} == want and len(want) > 60
+
+
+@pytest.mark.parametrize("summed", [4_000_000, 50])
+def test_word_totals_add_up_in_tasks(spark, monkeypatch, summed):
+    """Words of all sequences with their numbers, whatever a task holds; words of copies in a task are dealt once."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("AZ") for _ in range(rng.randrange(5, 60))) for _ in range(40)] * 2
+    words = [Counter(x[i : i + 10] for i in range(len(x) - 9)) for x in texts]
+    want = {w: (sum(w in x for x in words), sum(x[w] for x in words)) for w in set().union(*words)}
+    monkeypatch.setattr(similarity.K, "_SUMMED", summed)
+    rows = spark.createDataFrame([(x,) for x in texts], "seq string")
+    assert {r.word: (r.n_sequences, r.n_words) for r in similarity.K.word_totals(rows, 10).collect()} == want
+    batch = pa.RecordBatch.from_arrays([pa.array([x.encode() for x in texts if len(x) > 9])], names=["b"])
+    dealt = sum(x.num_rows for x in similarity.K._totals(10)([batch]))
+    assert dealt == len(want) if summed > 50 else dealt < sum(map(len, words))
