@@ -74,3 +74,16 @@ def test_forest(spark, tmp_path, depth):
     for cluster in ET.fromstring(f"<clusters>{text}</clusters>"):
         go(int(cluster.get("id")), (), cluster)
     assert sorted(read) == sorted(wanted)
+
+
+def test_forest_makes_each_level_once(spark, monkeypatch):
+    """The lines' clusters are made once for all levels, and leaves, most of all nodes, aren't joined with their counts."""
+    from kinstrand.plans import cluster_queries
+
+    made = []
+    monkeypatch.setattr(cluster_queries, "clusters", lambda s, d, of=cluster_queries.clusters: made.append(d) or of(s, d))
+    monkeypatch.setattr("kinstrand.plans.fixtures.clusters", lambda *a: pytest.fail("clusters are made again"))
+    found = cluster_queries._nodes(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")
