@@ -87,3 +87,13 @@ def test_forest_makes_each_level_once(spark, monkeypatch):
     assert len(made) == 1
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")
+
+
+def test_exact_duplicates_deal_no_letters(spark):
+    """Equal sequences meet by digests, so plans that don't return letters don't deal them."""
+    from kinstrand.operators import duplicates
+
+    rows = spark.createDataFrame([(0, "ACCA"), (1, "ACCA"), (2, "ACC"), (3, ""), (4, None), (5, "")], "rank long, seq string")
+    found = duplicates.exact(rows)
+    assert sorted((r["rank"], r.rep_rank, r.abundance) for r in found.collect()) == [(0, 0, 2), (1, 0, 2), (2, 2, 1), (3, 3, 2), (5, 3, 2)]
+    assert "hashpartitioning(seq" not in found.select("rank", "rep_rank")._jdf.queryExecution().executedPlan().toString()
