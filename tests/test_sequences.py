@@ -524,3 +524,19 @@ def test_chimera_seeds_find_all_common_words(spark):
     assert want <= found and len(want) > 100
     pandas = rows.toPandas().assign(asks=True)
     assert 3 * sum(len(x) for x in chimeras._seeds(30)([pandas[pandas["n"] >= 33]])) < sum(len(x) - 32 for x in reads if len(x) > 32)
+
+
+def test_pair_lists_in_blocks(spark, monkeypatch):
+    """Groups of many blocks, null groups and a null term: the pairs of a plain loop, with none of them dealt after they are made."""
+    monkeypatch.setattr(evaluation, "PAIR_BLOCK", 7)
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 2, 3, None]), i, rng.choice(["a", "b", "b", None])) for i in range(150)]
+    out = evaluation.pair_list(spark.createDataFrame(rows, "cluster_id long, id long, term string"))
+    wanted = []
+    for c, i, t in rows:
+        for d, j, u in rows[i + 1 :]:
+            if (c is not None and c == d) or (t is not None and t == u):
+                wanted.append((i, j, "B" if c is None or c != d else "T" if t is not None and t == u else "C"))
+    assert sorted(map(tuple, out.collect())) == sorted(wanted)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "Aggregate [a#" not in plan
