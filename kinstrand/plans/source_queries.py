@@ -39,23 +39,23 @@ _C = f"WITH c AS ({CLUSTERS})"
 
 
 def _records(s, d):
-    """Documents as records: a description, and letters folded to lines of sixty."""
+    """Documents as records, in order: a description, and letters folded to lines of sixty."""
     descr = F.concat("doc_id", F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" of "), F.coalesce("source", F.lit("")))
-    rows = table(s, d, "documents").select("doc_id", descr.alias("descr"), S.letters_only(F.coalesce("text", F.lit(""))).alias("seq"))
+    rows = formats.in_order(table(s, d, "documents").select("doc_id", "lang", "source", "text"), "doc_id").select("doc_id", descr.alias("descr"), S.letters_only(F.coalesce("text", F.lit(""))).alias("seq"))
     return rows.withColumn("seq_raw", F.regexp_replace("seq", "(.{60})", "$1\n"))
 
 
 @_add("fasta_scan", f"SELECT CAST(doc_id AS VARCHAR) AS id, {_DESCR} AS descr, {AA} AS seq_raw FROM documents")
 def fasta_scan(s, d):
     path = _folder(s)
-    formats.write_fasta(_records(s, d), path, order="doc_id")
+    formats.write_fasta(_records(s, d), path, order=None)
     return formats.read_fasta(s, path).select("id", "descr", "seq_raw")
 
 
 @_add("fasta_scan_gz", SQL["fasta_scan"])
 def fasta_scan_gz(s, d):
     path = _folder(s)
-    _records(s, d).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(formats.fasta_text().alias("value")).write.option("compression", "gzip").text(path)
+    _records(s, d).select(formats.fasta_text().alias("value")).write.option("compression", "gzip").text(path)
     return formats.read_fasta(s, path).select("id", "descr", "seq_raw")
 
 
@@ -63,7 +63,7 @@ def fasta_scan_gz(s, d):
 def fasta_batches(s, d):
     """The same records as a stream, two files at a time."""
     path, out = _folder(s), _folder(s)
-    formats.write_fasta(_records(s, d), path, order="doc_id")
+    formats.write_fasta(_records(s, d), path, order=None)
     stream = formats.batches(s, path, files_per_batch=2)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(out)
@@ -80,9 +80,9 @@ def fasta_sequences(s, d):
     path = _folder(s)
     text = F.coalesce("text", F.lit(""))
     text = F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.regexp_replace(text, r"[^A-Za-z\s]", ""))
-    text = F.concat(F.translate(text, "\n", " "), F.when(F.col("doc_id") % 2 == 0, "*").otherwise(""))
-    rows = table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("descr"), text.alias("seq_raw"))
-    formats.write_fasta(rows, path, order="doc_id")
+    text = F.concat(F.replace(text, F.lit("\n"), F.lit(" ")), F.when(F.col("doc_id") % 2 == 0, "*").otherwise(""))
+    rows = formats.in_order(table(s, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("descr"), text.alias("seq_raw"))
+    formats.write_fasta(rows, path, order=None)
     return formats.sequences(formats.read_fasta(s, path))[0].select("id", "seq", "seq_idx")
 
 
@@ -96,7 +96,7 @@ def fastq_scan(s, d):
     fold = lambda c, n: F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(c, f"(.{{{n}}})(?=.)", "$1\n")).otherwise(F.col(c))
     rows = _records(s, d).where("seq <> ''").withColumn("seq_raw", fold("seq", 60))
     rows = rows.withColumn("qual", F.concat(F.when(F.col("doc_id") % 3 == 0, "@").otherwise("I"), F.repeat(F.lit("I"), F.length("seq") - 1))).withColumn("qual", fold("qual", 45))
-    formats.write_fastq(rows, path, order="doc_id")
+    formats.write_fastq(rows, path, order=None)
     return formats.read_fastq(s, path).select("id", "descr", "seq_raw", "qual")
 
 
@@ -104,7 +104,7 @@ def fastq_scan(s, d):
 def mates_scan(s, d):
     paths = _folder(s), _folder(s)
     for path, part in zip(paths, (F.expr("substring(seq, 1, length(seq) div 2)"), F.expr("substring(seq, length(seq) div 2 + 1)")), strict=True):
-        formats.write_fasta(_records(s, d).withColumn("seq_raw", part), path, order="doc_id")
+        formats.write_fasta(_records(s, d).withColumn("seq_raw", part), path, order=None)
     return formats.read_mates(s, *paths).select("seq_idx", "id", "r1", "r2")
 
 

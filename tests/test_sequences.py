@@ -540,3 +540,31 @@ def test_pair_lists_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and "Aggregate [a#" not in plan
+
+
+def test_fasta_numbers_over_splits(spark, tmp_path):
+    """Numbers are dense in file order over many small splits; what is written costs once for a row, not again for the sample that cuts ranges."""
+    rng, seen = random.Random(4), spark.sparkContext.accumulator(0)
+    rows = [(i, "".join(rng.choice("ACDE GH") for _ in range(rng.randrange(40))) + rng.choice(["", "*", "*\n", "-", "**"])) for i in range(700)]
+
+    def text(i, s):
+        seen.add(1)
+        return s
+
+    dealt = formats.in_order(spark.createDataFrame(rows, "i long, s string").repartition(5), "i")
+    formats.write_fasta(dealt.select(F.col("i").cast("string").alias("descr"), F.udf(text, "string")("i", "s").alias("seq_raw")), str(tmp_path / "x"), order=None)
+    assert seen.value == len(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        records = formats.read_fasta(spark, str(tmp_path / "x"))
+        assert records.select("block").distinct().count() > 10
+        good, bad = formats.sequences(records)
+        found, rejected = sorted((r.seq_idx, r.id, r.seq) for r in good.collect()), {int(r.id) for r in bad.collect()}
+    finally:
+        for name, value in zip(("maxPartitionBytes", "openCostInBytes"), before, strict=True):
+            spark.conf.set(f"spark.sql.files.{name}", value)
+    valid = [(str(i), s.replace(" ", "").rstrip("\n").removesuffix("*")) for i, s in rows if "-" not in s and "**" not in s]
+    assert found == [(k, i, s) for k, (i, s) in enumerate(x for x in valid if len(x[1]) > 10)]
+    assert rejected == {i for i, s in rows if "-" in s or "**" in s}
