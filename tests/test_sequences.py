@@ -568,3 +568,15 @@ def test_fasta_numbers_over_splits(spark, tmp_path):
     valid = [(str(i), s.replace(" ", "").rstrip("\n").removesuffix("*")) for i, s in rows if "-" not in s and "**" not in s]
     assert found == [(k, i, s) for k, (i, s) in enumerate(x for x in valid if len(x[1]) > 10)]
     assert rejected == {i for i, s in rows if "-" in s or "**" in s}
+
+
+def test_postings_are_dealt_by_letters(spark, monkeypatch):
+    """Many letters make more tasks than partitions that are set, with the same words; few don't."""
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(rng.randrange(200)))) for i in range(120)], "rank long, seq string")
+    few = K.postings(rows, 6)
+    assert few.rdd.getNumPartitions() == 8
+    monkeypatch.setattr(K, "DEALT", 300, raising=False)
+    many = K.postings(rows, 6)
+    assert many.rdd.getNumPartitions() > 30
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
