@@ -580,3 +580,16 @@ def test_postings_are_dealt_by_letters(spark, monkeypatch):
     many = K.postings(rows, 6)
     assert many.rdd.getNumPartitions() > 30
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_member_lines_are_matched_once(spark, tmp_path):
+    """Ids like the rest of a line, other line ends and lines that are no members; one expression matches a line, whatever columns are asked for."""
+    text = ">Cluster 7 note\r\n0\t120aa, >a... at b... *\r\n1\t9nt, >x\ty... at 1:9:2:10/+/98.50%\r\nno member\n2 8aa, >.. ... at 80%\n\n>Cluster 8\n"
+    (tmp_path / "x.clstr").write_bytes(text.encode())
+    found = formats.read_clusters(spark, str(tmp_path / "x.clstr"))
+    rows = sorted((r.cluster_id, r.member_no, r.len, r.unit, r.id, r.is_rep, r.identity, r.strand, r.q_beg, r.r_end, r.note) for r in found.collect())
+    assert rows == [
+        (7, 0, 120, "aa", "a", False, None, None, None, None, "note"),  # the first "... at " ends the id
+        (7, 1, 9, "nt", "x\ty", False, 98.5, "+", 1, 10, "note"), (7, 2, 8, "aa", ".. ", False, 80.0, None, None, None, "note"),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(formats._MEMBER[:20]) == 1
