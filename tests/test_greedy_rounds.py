@@ -243,3 +243,20 @@ def test_word_totals_add_up_in_tasks(spark, monkeypatch, summed):
     batch = pa.RecordBatch.from_arrays([pa.array([x.encode() for x in texts if len(x) > 9])], names=["b"])
     dealt = sum(x.num_rows for x in similarity.K._totals(10)([batch]))
     assert dealt == len(want) if summed > 50 else dealt < sum(map(len, words))
+
+
+def test_rounds_write_little(spark, monkeypatch):
+    """A chain of many rounds: the first maximal independent set, two tables written for each round and two besides."""
+    from kinstrand.operators import greedy
+
+    written = []
+    keep = greedy.stored
+    monkeypatch.setattr(greedy, "stored", lambda df: written.append(1) or keep(df))
+    pairs = [(k, k // 3) for k in range(1, 250)] + [(k, k // 2) for k in range(100, 160)]
+    found = {r["rank"]: r.is_rep for r in greedy.representatives(spark.createDataFrame(pairs, "q long, r long")).collect()}
+    reps = set()
+    for k in range(250):
+        if not any(q == k and r in reps for q, r in pairs):
+            reps.add(k)
+    assert found == {k: k in reps for k in range(250)}
+    assert len(written) <= 2 * 4 + 2
