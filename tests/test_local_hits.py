@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinstrand.functions import local
 from kinstrand.functions.alignment import Scoring
@@ -102,3 +103,30 @@ def test_down_to_thirty_per_cent(spark, superfamilies):
     for r in out.collect():
         families.setdefault(r.cluster_id, set()).add(rows[int(r.id[1:])][0])
     assert all(len(f) == 1 for f in families.values())
+
+
+def test_bands_are_aligned_by_many_tasks(spark, superfamilies, monkeypatch):
+    """Tasks follow the number of bands, not their bytes; hits are the same, with words as numbers or as text."""
+    _, table = superfamilies
+    found = table.withColumnRenamed("seq_idx", "id")
+    hits = lambda: sorted(map(tuple, hsp.search(found, found, evalue=1e-6, within=True).drop("hsp_no", "evalue").collect()))
+    few, tasks, many = hits(), [], hsp._extended
+    monkeypatch.setattr(hsp, "ALIGNED", 4, raising=False)
+
+    def counted(reach):
+        seen = spark.sparkContext.accumulator(0)
+        tasks.append(seen)
+        run = many(reach)
+
+        def each(batches):
+            seen.add(1)
+            yield from run(batches)
+
+        return each
+
+    monkeypatch.setattr(hsp, "_extended", counted)
+    assert hits() == few and tasks[0].value > 15
+    word = lambda i: F.substr("seq", i, F.lit(4))
+    plain = found.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - 3), word)).alias("at", "word"))
+    spelled = lambda n: "".join(chr(n >> 8 * (3 - i) & 255) for i in range(4))
+    assert sorted((r.id, r.at, spelled(r.word)) for r in hsp.K.places(found, 4, "at").collect()) == sorted(map(tuple, plain.collect()))
