@@ -593,3 +593,32 @@ def test_member_lines_are_matched_once(spark, tmp_path):
         (7, 1, 9, "nt", "x\ty", False, 98.5, "+", 1, 10, "note"), (7, 2, 8, "aa", ".. ", False, 80.0, None, None, None, "note"),
     ]
     assert found._jdf.queryExecution().optimizedPlan().toString().count(formats._MEMBER[:20]) == 1
+
+
+def test_blocks_of_sequences_count_what_a_join_gives(spark, monkeypatch):
+    """Many small blocks, few meetings at once, words that a sequence has often, and bounded lengths."""
+    rng = random.Random(1)
+    seqs = ["".join(rng.choice("ABC") for _ in range(rng.randint(3, 120))) for _ in range(120)] + ["A" * 90, "A" * 50, "A" * 30]
+    seqs.sort(key=len, reverse=True)
+    rows = spark.createDataFrame([(i, rng.randint(0, 25), x) for i, x in enumerate(seqs)], "rank long, need long, seq string")
+    posts = K.postings(rows, 4)
+    shared = K.shared_words(posts, posts).where("r < q").join(rows.selectExpr("rank AS q", "need"), "q").where("shared >= need")
+    whole = {(x.q, x.r, x.shared, x.first_word) for x in shared.collect()}
+    monkeypatch.setattr(K, "MEETING_BLOCK", 1500)
+    monkeypatch.setattr(K, "_MET", 100)
+    told = [tuple(x) for x in K.pairs_in_blocks(rows, 4).collect()]
+    assert len(told) == len(whole) and set(told) == whole
+    near = K.pairs_in_blocks(rows.withColumn("reach", F.length("seq") + 5), 4)
+    assert {tuple(x) for x in near.collect()} == {x for x in whole if len(seqs[x[1]]) <= len(seqs[x[0]]) + 5}
+    assert K.pairs_in_blocks(rows.where("rank < 0"), 4).count() == 0
+
+
+def test_documents_meet_without_a_row_for_each_common_word(spark, monkeypatch):
+    """The queries on pairs of documents list no postings and deal no pairs that share too little."""
+    from kinstrand.plans import sequence_queries
+
+    for name in ("pairs_sharing", "postings", "shared_words"):
+        monkeypatch.setattr(sequence_queries.K, name, lambda *a, **b: pytest.fail("words are rows"))
+    texts = [(i, protein(random.Random(i % 7), 80)) for i in range(14)]
+    monkeypatch.setattr(sequence_queries, "ranked", lambda s, d: ranking.rank_by_length(spark.createDataFrame(texts, "seq_idx long, seq string")))
+    assert {(x.q, x.r) for x in sequence_queries.QUERIES["candidates"](spark, "").collect()} == {(i + 7, i) for i in range(7)}
